@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcase.llm import bpe, common, decontaminate, language
+from sparkcase.llm import bpe, common, decontaminate, language, near_dup, pii
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,11 +15,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, stays of each class of near-duplicates."""
+    return near_dup.deduplicated(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more lies in benchmark passages go."""
     return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that disclose them are replaced in the texts; n_chars follows."""
+    clean = pii.sanitised(docs)
+    length = F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", length).select(*docs.columns)
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each text, decodes it again, and returns the digests of both."""
     import public_tokenizers
@@ -29,7 +41,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
+    ("near_dedup", near_dedup),
     ("decontamination", decontamination),
+    ("personal_data", personal_data),
     ("byte_bpe", byte_bpe),
 ]
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from .bpe import op4_byte_bpe
 from .decontaminate import op9_decontamination
+from .html import op8_html_extraction
 from .language import op2_language_id
+from .near_dup import op3_near_dedup
+from .pii import op5_pii
 from .sharding import op10_sharding
 from .token_files import op6_token_files
+from .topk import op1_exact_topk
 from .urls import op7_url_filters
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_language_id, op4_byte_bpe, op6_token_files, op7_url_filters, op9_decontamination, op10_sharding)
+    for f in (
+        op1_exact_topk, op2_language_id, op3_near_dedup, op4_byte_bpe, op5_pii, op6_token_files, op7_url_filters,
+        op8_html_extraction, op9_decontamination, op10_sharding,
+    )
 }
 #: Digests, automata and trained models have no plain SQL; tests/llm holds brute-force versions.
 ORACLES: dict[str, str] = {}
