@@ -1,0 +1 @@
+"""Column functions: time and money, text, similarity, injection patterns."""

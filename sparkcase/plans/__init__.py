@@ -1,4 +1,9 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and their SQL."""
+
+from . import behaviour, evaluation, reconciliation, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _slate in (reconciliation.slate, behaviour.slate, texts.slate, evaluation.slate):
+    QUERIES.update(_slate.queries)
+    ORACLES.update(_slate.oracles)

@@ -1,0 +1,85 @@
+"""Readers and writers of the tables, labels, reports and indexes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+FILES = {"customers": "customers.csv", "kyc_records": "kyc_records.csv", "transactions": "transactions.csv", "ledger": "ledger.csv"}
+
+
+def read_raw(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV of strings, every cell as it is, with _row_number by place in the file (files in order of name)."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", False).csv(path)
+    return rows.withColumn("_row_number", F.monotonically_increasing_id() + 1)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A label CSV whose empty strings stay empty strings."""
+    return spark.read.option("header", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sha256) of the files in a folder."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify(spark: SparkSession, path: str, expected: DataFrame | None) -> bool | None:
+    """True if all files have the expected (file, sha256), None without expectations; else an error."""
+    if expected is None:
+        return None
+    wrong = expected.alias("e").join(checksums(spark, path).alias("f"), "file", "left").filter(~F.col("e.sha256").eqNullSafe(F.col("f.sha256")))
+    names = [r["file"] for r in wrong.select("file").limit(5).collect()]
+    if names:
+        raise ValueError(f"files differ from the manifest: {', '.join(names)}")
+    return True
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("multiLine", True).json(path)
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def write_records(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A CSV with header; nested columns become JSON text."""
+    flat = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.StructType, T.ArrayType, T.MapType)) else F.col(c) for c in df.columns]
+    df.select(flat).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_dataset(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Each table as CSV, and a manifest (table, file, sha256) of what was written, itself written as JSON."""
+    spark = next(iter(tables.values())).sparkSession
+    parts = []
+    for name, df in tables.items():
+        write_csv(df, f"{path}/{name}")
+        parts.append(checksums(spark, f"{path}/{name}/*.csv").select(F.lit(name).alias("table"), "file", "sha256"))
+    manifest = parts[0]
+    for p in parts[1:]:
+        manifest = manifest.unionByName(p)
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
+def upsert(spark: SparkSession, path: str, changes: DataFrame, key: str, version: str) -> DataFrame:
+    """Appends changed rows to a table and returns its current rows: the latest version of each key."""
+    changes.write.mode("append").parquet(path)
+    rows = spark.read.parquet(path)
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), version).alias("x"))
+    return newest.select(key, "x.*")
+
+
+def markdown(df: DataFrame, limit: int = 200) -> str:
+    """A small report table as Markdown."""
+    rows = df.limit(limit).collect()
+    line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *(line(["" if v is None else v for v in r]) for r in rows)])
