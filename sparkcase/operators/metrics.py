@@ -123,7 +123,7 @@ def bootstrap(df: DataFrame, cluster: str, value: Column, replicates: int = 200,
         total += p
         steps.append(F.when(u > total, 1).otherwise(0))
         p /= k + 1
-    weighted = rows.withColumn("w", sum(steps[1:], steps[0])).groupBy("r").agg((F.sum(F.col("v") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("mean"))
+    weighted = rows.withColumn("w", sum(steps[1:], steps[0])).groupBy("r").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum(F.col("n") * F.col("w"))).alias("mean"))
     return weighted.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
