@@ -27,8 +27,9 @@ def velocity(events: DataFrame, window: str = "10 minutes", slide: str = "1 minu
 
 def band_windows(events: DataFrame, low: float = 9_000.0, high: float = 10_000.0, window: str = "30 days", slide: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Just-below-threshold amounts per customer and currency in sliding windows, from three on."""
-    inside = events.withWatermark("ts", delay).filter((F.col("amount") >= low) & (F.col("amount") < high))
-    return inside.groupBy(F.window("ts", window, slide), "customer", "currency").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("window.start", "window.end", "customer", "currency", "n")
+    inside = (F.col("amount") >= low) & (F.col("amount") < high)  # counted, not filtered, so that other rows move the watermark
+    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", window, slide), "customer", "currency").agg(F.count_if(inside).alias("n"))
+    return rows.filter("n >= 3").select("window.start", "window.end", "customer", "currency", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
