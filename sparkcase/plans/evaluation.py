@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import wilson
-from ..operators import evidence, history as H, metrics, models
+from ..operators import evidence, history as H, metrics, models, structured
 from ..session import table
 from .common import Slate, history, rounded
 
@@ -134,3 +134,37 @@ def case_report(spark, sf_dir):
     rows = evidence.report(e, e.select("case_id").distinct())
     ids = F.array_join(F.transform("items", lambda x: x["evidence_id"].cast("long").cast("string")), ",")
     return rows.select("case_id", F.col("n_items").alias("n"), ids.alias("ids"))
+
+
+@slate("SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AND json_valid(props) AS valid FROM events")
+def payload_leaves(spark, sf_dir):
+    """The leaves of each event's JSON payload."""
+    e = table(spark, sf_dir, "events").withColumn("x", structured.leaves(F.col("props")))
+    return e.select("event_id", F.get(F.filter("x", lambda x: x["path"] == "k"), F.lit(0))["value"].alias("k"), (F.size("x") > 0).alias("valid"))
+
+
+@slate("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'no complete JSON object' WHEN conv_id % 3 = 0 THEN 'action: not allowed' ELSE '' END AS errors FROM conversations WHERE NOT regexp_matches(text, '[{}]')")
+def structured_parse(spark, sf_dir):
+    """The JSON answer in a turn's text and what is wrong with it; even turns are cut off."""
+    t = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike("[{}]"))
+    action = F.when(F.col("conv_id") % 3 == 0, "FLY").otherwise("REVIEW")
+    answer = F.concat(F.col("text"), F.lit(' {"action": "'), action, F.lit('", "confidence": 0.5'), F.when(F.col("turn") % 2 == 0, "").otherwise("} done"))
+    rows = structured.parsed(t.select("conv_id", "turn", answer.alias("answer")), structured.extracted(F.col("answer")), {"action": "string", "confidence": "double"}, {"action": ("CLEAR", "REVIEW", "ESCALATE")})
+    return rows.select("conv_id", "turn", F.array_join("errors", ",").alias("errors"))
+
+
+@slate("""WITH f AS (SELECT d.lang, l.toxic = 1 AS attack, d.n_chars > 2000 AS long_text, l.quality = 0 AS poor FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+u AS (SELECT lang, attack, 'long_text' AS detector, long_text AS hit FROM f UNION ALL SELECT lang, attack, 'poor', poor FROM f)
+SELECT lang, detector, count(*) FILTER (WHERE attack) AS attacks, count(*) FILTER (WHERE attack AND hit) AS found, count(*) FILTER (WHERE NOT attack AND hit) AS false_positives, round(CASE WHEN count(*) FILTER (WHERE attack) > 0 THEN count(*) FILTER (WHERE attack AND hit)::double / count(*) FILTER (WHERE attack) ELSE 0 END, 6) AS recall FROM u GROUP BY 1, 2""")
+def detector_evaluation(spark, sf_dir):
+    """Two plain detectors of toxic documents, by language."""
+    d, l = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf_dir, "labels")
+    rows = d.join(l, "doc_id").select("lang", (F.col("toxic") == 1).alias("attack"), (F.col("n_chars") > 2000).alias("long_text"), (F.col("quality") == 0).alias("poor"))
+    return rounded(structured.detectors(rows, ["long_text", "poor"], ("lang",)), "recall")
+
+
+@slate()
+def embedding_tripwire(spark, sf_dir):
+    """A logistic score of every embedding for the label 0."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), (F.col("label") == 0).cast("int").alias("label"))
+    return structured.tripwire(structured.fit_tripwire(e), e).select("vec_id", "label", "trip_score")
