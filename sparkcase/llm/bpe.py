@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, table
-from .pieces import cut
+from .pieces import TextEncoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Memoised pieces in a worker; when full, the memo starts anew.
-MEMO_PIECES = 1_500_000
 FIELDS = [
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType()),
 ]
@@ -132,35 +130,20 @@ class ByteBPE:
         return out
 
 
-class PieceMemo(dict):
-    """Piece to its ids as little-endian 32-bit integers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), "<u4").tobytes()
-        if len(self) > MEMO_PIECES:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
 @functools.lru_cache(maxsize=2)
-def _loaded(path: str) -> tuple[PieceMemo, dict[int, bytes]]:
+def _loaded(path: str) -> tuple[TextEncoder, dict[int, bytes]]:
     bpe = ByteBPE(read_ranks(path))
-    return PieceMemo(lambda piece: bpe.encode(piece.encode())), bpe.token
+    return TextEncoder(lambda piece: bpe.encode(piece.encode())), bpe.token
 
 
 def encode_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """df with n_tokens, ids (little-endian unsigned 32-bit) and decoded, the bytes the ids stand for."""
 
     def make():
-        memo, token = _loaded(path)
+        encode, token = _loaded(path)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            ids = [b"".join(map(memo.__getitem__, cut(t))) if t else b"" for t in batch.column(text_col).to_pylist()]
+            ids = [encode(t) if t else b"" for t in batch.column(text_col).to_pylist()]
             decoded = [b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
             return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())]
 

@@ -63,10 +63,24 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[df[c] for c in df.columns if c.lower() not in taken])
 
 
+#: Batches are handed on in parts of about so many bytes (or a single row).
+PART_BYTES = 4_000_000
+
+
+def halved(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if batch.nbytes <= PART_BYTES or batch.num_rows < 2:
+        if batch.num_rows:
+            yield batch
+        return
+    half = batch.num_rows // 2
+    yield from halved(batch.slice(0, half))
+    yield from halved(batch.slice(half))
+
+
 def append_columns(
     df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]
 ) -> DataFrame:
-    """df with the fields that make()(batch) computes for each Arrow batch.
+    """df with the fields that make()(batch) computes for each part of an Arrow batch.
 
     make runs once in each Python worker task. Columns of df that have a new
     field's name are replaced.
@@ -79,7 +93,8 @@ def append_columns(
         compute = None
         for batch in batches:
             compute = compute or make()
-            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=names)
+            for part in halved(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=names)
 
     return kept.mapInArrow(run, schema)
 

@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import PieceMemo
-from .common import append_columns, delete, fresh_path, table
+from .common import append_columns, delete, fresh_path, halved, table
 from .huffman import Codebook, code_lengths
-from .pieces import cut
+from .pieces import TextEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -65,8 +64,7 @@ def _encoder(path: str):
     plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
     if plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE":
         letters, model = _byte_letters(), tokenizer.model
-        memo = PieceMemo(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
-        return lambda text: b"".join(map(memo.__getitem__, cut(text)))
+        return TextEncoder(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -101,8 +99,8 @@ def id_counts(ids: DataFrame, size: int, kind: str) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=size)
+            for part in halved(batch):
+                total += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), kind), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
