@@ -1,9 +1,9 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is built. A text is
-parsed, from left to right, into the longest phrases that occur in a language's
-labelled text; a language in which it takes few phrases is near. Phrase counts
-are normalised as entropies, phrases * log2(labelled symbols) / symbols, and
+Texts are lower-cased, and runs of anything but letters are one blank. For each
+language a suffix automaton of labelled text is built. A text is parsed, from
+left to right, into the longest phrases that occur in a language's labelled
+text; a language in which it takes few phrases is near. Phrase counts are normalised as entropies, phrases * log2(labelled symbols) / symbols, and
 the language needing fewest wins (ties: the smaller name).
 
 The automata become one transition table, so that many stretches of text are
@@ -26,12 +26,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
 from .common import append_columns, table
+from .pieces import letters
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 40
@@ -49,8 +51,8 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         lowered = {k: [t.lower() for t in v] for k, v in samples.items()}
-        common = Counter(c for texts in lowered.values() for t in texts for c in _plain(t)).most_common(ALPHABET)
-        code = {c: i + 1 for i, (c, _) in enumerate(sorted(common))}  # 0: a symbol no language knows
+        common = Counter(c for texts in lowered.values() for t in texts for c in _plain(t) if c != " ").most_common(ALPHABET)
+        code = {c: i + 1 for i, c in enumerate(sorted([" ", *(c for c, _ in common)]))}  # 0: a letter no language knows
         self.letters = code
         self.width = len(code) + 2
         self.pad = self.width - 1
@@ -84,26 +86,30 @@ class CrossParser:
 
     @functools.cached_property
     def symbol_of(self) -> np.ndarray:
-        """The symbol of each code point."""
-        out = np.zeros(0x110000, np.uint8)
+        """The symbol of each code point; all but letters are a blank."""
+        out = np.where(letters(), 0, self.letters[" "]).astype(np.uint8)
         for c, code in self.letters.items():
             for variant in {c, c.upper()}:
                 if len(variant) == 1:
                     out[ord(variant)] = code
-        for alike, stands in (("0123456789", "0"), ("\t\n\r\x0b\x0c ", " ")):
-            for c in alike:
-                out[ord(c)] = self.letters.get(stands, 0)
         return out
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrase counts (languages x texts) and lengths of texts."""
+        """Phrase counts (languages x texts) and lengths of texts, runs of other than letters as one blank."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        points = self.symbol_of[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        blank = points == self.letters[" "]
+        kept = ~blank
+        kept[1:] |= ~blank[:-1]
+        kept[:1] = True
+        kept[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[kept], minlength=len(texts))
+        points = points[kept]
         pieces = -(-sizes // STRETCH)
         n = int(pieces.sum())
         grid = np.full(n * STRETCH, self.pad, np.uint8)
         skipped = np.concatenate(([0], np.cumsum(pieces * STRETCH - sizes)))[:-1]
-        grid[np.arange(len(points)) + np.repeat(skipped, sizes)] = self.symbol_of[points]
+        grid[np.arange(len(points)) + np.repeat(skipped, sizes)] = points
         steps = np.ascontiguousarray(grid.reshape(n, STRETCH).T).astype(np.int32)
         state = np.repeat(np.array(self.bases, np.int32)[:, None], n, axis=1)
         begun = np.zeros(state.shape, np.int32)
@@ -126,7 +132,7 @@ class CrossParser:
 
 
 def _plain(text: str) -> str:
-    return "".join("0" if c in "0123456789" else " " if c.isspace() else c for c in text)
+    return regex.sub(r"\P{L}+", " ", text)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> bytes:
