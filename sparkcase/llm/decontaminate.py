@@ -196,7 +196,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, coverage: int = CO
         def make():
             return lambda b: [pa.array([t and cut(t, s) for t, s in zip(b.column(text_col).to_pylist(), b.column("hit_spans").to_pylist())], pa.string())]
 
-        scanned = append_columns(scanned, [T.StructField(text_col, T.StringType())], make)
+        scanned = append_columns(scanned, [T.StructField("__cut", T.StringType())], make).withColumn(text_col, F.col("__cut"))
     return scanned.select(*documents.columns)
 
 
