@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRESETS = {"small": (1_000, 20_000), "medium": (10_000, 250_000), "large": (100_000, 1_000_000)}

@@ -9,13 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 4096
+
 
 def curve(df: DataFrame, score: str = "score", label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Per distinct score, from high to low: tp and fp at or above it, and the totals."""
+    """Per distinct score, from high to low: tp and fp at or above it, and the totals.
+
+    Scores are laid into BUCKETS ordered buckets. Only bucket totals are summed
+    in one order; within a bucket its own scores are, so no task orders all.
+    """
     at = df.groupBy(*keys, score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.groupBy(*keys).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
+    at = at.join(ends, list(keys)) if keys else at.join(F.broadcast(ends))  # without keys, one row
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(score) - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS)).otherwise(0)
+    at = at.withColumn("bucket", F.coalesce(place, F.lit(0)).cast("int")).drop("lo", "hi")
+    above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
-    rows = at.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "positives": F.sum("p").over(every), "rows": F.sum("n").over(every)})
+    totals = at.groupBy(*keys, "bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn")).select(
+        *keys, "bucket", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"),
+        F.sum("bp").over(every).alias("positives"), F.sum("bn").over(every).alias("rows"),
+    )
+    down = Window.partitionBy(*keys, "bucket").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = at.withColumns({"tp1": F.sum("p").over(down), "n1": F.sum("n").over(down)}).join(totals, [*keys, "bucket"])
+    rows = rows.withColumns({"tp": F.col("tp0") + F.col("tp1"), "seen": F.col("n0") + F.col("n1")}).drop("tp0", "tp1", "n0", "n1", "bucket")
     return rows.withColumn("fp", F.col("seen") - F.col("tp"))
 
 

@@ -6,6 +6,8 @@ postings of query terms are joined; statistics are partial aggregates.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +64,42 @@ def normalised(scores: DataFrame, tops: DataFrame) -> DataFrame:
     return scores.join(tops, "query_id").withColumn("bm25_share", share).drop("ceiling")
 
 
-def dense(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, doc_id, dense): exact products of every stated query with every document.
+def _in_blocks(queries: DataFrame, documents: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt out over blocks by hash, and the stated queries repeated for each block."""
+    d = documents.select("doc_id", "vector", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    return queries.select("query_id", F.col("vector").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")), d
 
-    queries is the stated, bounded set; documents stay where they are.
+
+def dense(queries: DataFrame, documents: DataFrame, blocks: int = 32) -> DataFrame:
+    """(query_id, doc_id, dense): the exact product of every stated query with every document, block by block."""
+    q, d = _in_blocks(queries, documents, blocks)
+    return d.join(q, "block").select("query_id", "doc_id", dot(F.col("q"), F.col("vector")).alias("dense"))
+
+
+def nearest(queries: DataFrame, documents: DataFrame, k: int, blocks: int = 32, places: int = 9) -> DataFrame:
+    """(query_id, doc_id, dense, rank): the k best documents of each stated query, itself left out.
+
+    Each block yields k rows a query at most, from one matrix product, so what
+    is shuffled to be merged grows with queries, not with pairs. Scores that
+    are equal in `places` decimals are ordered by doc_id.
     """
-    q = queries.select("query_id", F.col("vector").alias("q"))
-    return documents.join(F.broadcast(q)).select("query_id", "doc_id", dot(F.col("q"), F.col("vector")).alias("dense"))
+    q, d = _in_blocks(queries, documents, blocks)
+    kind = {c: t for c, t in [*q.dtypes, *d.dtypes]}
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            held = held.sort_values("doc_id", kind="stable")
+            ids = held["doc_id"].to_numpy()
+            matrix = np.stack([np.asarray(v, np.float64) for v in held["vector"]])
+            for query_id, vector in zip(asked["query_id"], asked["q"]):
+                scores = matrix @ np.asarray(vector, np.float64)
+                order = np.argsort(-np.round(scores, places), kind="stable")[: k + 1]
+                out += [(query_id, ids[i], float(scores[i])) for i in order if ids[i] != query_id]
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "dense"])
+
+    found = q.groupBy("block").cogroup(d.groupBy("block")).applyInPandas(best, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, dense double")
+    return ranked(found.withColumn("s", F.round("dense", places)), "s", k).drop("s")
 
 
 def ranked(scores: DataFrame, score: str, k: int, rank: str = "rank") -> DataFrame:

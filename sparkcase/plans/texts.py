@@ -68,15 +68,16 @@ def token_stats(spark, sf_dir):
 DENSE = """e AS (SELECT vec_id, embedding FROM embeddings), pr AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double)) AS s FROM e a, e b WHERE a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id)"""
 
 
-def _dense(spark, sf_dir):
+def _vectors(spark, sf_dir):
+    """The stated queries, every 25th vector, and all vectors."""
     e = table(spark, sf_dir, "embeddings")
     q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return retrieval.dense(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))).filter("query_id <> doc_id")
+    return q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
 
 @slate(f"WITH {DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM pr) SELECT query_id, doc_id, round(s, 5) AS dense, rank FROM r WHERE rank <= 5")
 def dense_topk(spark, sf_dir):
-    rows = retrieval.ranked(_dense(spark, sf_dir).withColumn("s", F.round("dense", 9)), "s", 5)
+    rows = retrieval.nearest(*_vectors(spark, sf_dir), 5)
     return rounded(rows.select("query_id", "doc_id", "dense", F.col("rank").cast("long").alias("rank")), "dense", places=5)
 
 
@@ -87,14 +88,14 @@ SELECT query_id, doc_id, round(rrf, 6) AS rrf, rank FROM k WHERE rank <= 5""")
 def rrf_fusion(spark, sf_dir):
     """Reciprocal rank fusion of a lexical and a dense list of 30 each."""
     words = retrieval.ranked(retrieval.bm25(_asks(spark, sf_dir), _docs(spark, sf_dir)).withColumn("s", F.round("bm25", 6)), "s", 30)
-    near = retrieval.ranked(_dense(spark, sf_dir).withColumn("s", F.round("dense", 9)), "s", 30).withColumn("query_id", F.floor(F.col("query_id") / 25).cast("long"))
+    near = retrieval.nearest(*_vectors(spark, sf_dir), 30).withColumn("query_id", F.floor(F.col("query_id") / 25).cast("long"))
     fused = retrieval.reciprocal_rank_fusion([words, near], 1_000).drop("rank").withColumn("s", F.round("rrf", 9))
     return rounded(retrieval.ranked(fused, "s", 5).select("query_id", "doc_id", "rrf", F.col("rank").cast("long").alias("rank")), "rrf")
 
 
 @slate(f"WITH {DENSE}, h AS (SELECT query_id, doc_id, 0.5::double * greatest(0, least(1, s)) + 0.5::double * CASE WHEN query_id % 7 = doc_id % 7 THEN 1 ELSE 0 END AS x FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, doc_id) AS rank FROM h) SELECT query_id, doc_id, round(x, 5) AS score, rank FROM r WHERE rank <= 5")
 def hybrid_fusion(spark, sf_dir):
-    near = _dense(spark, sf_dir)
+    near = retrieval.dense(*_vectors(spark, sf_dir)).filter("query_id <> doc_id")
     rows = near.select("query_id", F.col("doc_id").alias("customer_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dense"))).alias("score"))
     other = rows.withColumn("score", (F.col("query_id") % 7 == F.col("customer_id") % 7).cast("double"))
     mixed = resolution.hybrid(rows, other).withColumn("s", F.round("score", 9))

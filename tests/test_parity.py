@@ -2,13 +2,14 @@
 
 import datetime
 import math
+import os
 
 import duckdb
 import pytest
 
 from sparkcase.plans import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("PARITY_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
