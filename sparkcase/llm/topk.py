@@ -20,7 +20,7 @@ blocks of about BLOCK_QUERIES; every query block meets every index block, and
 the partial results are merged per query.
 
 Rows whose id or vector is null, or whose vector holds a null or non-finite
-component, take no part. Equal rows count once. Shorter vectors count as padded
+component (or one of 2**57 or more), take no part. Equal rows count once. Shorter vectors count as padded
 with zeros. Empty tables give no rows. Extra columns are ignored.
 """
 

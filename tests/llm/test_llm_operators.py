@@ -76,7 +76,7 @@ def test_top_k_equals_brute_force_with_ties_and_bad_vectors(spark):
     rows = [(i, [rng.choice([-0.5, -0.1, 0.1, 0.3]) for _ in range(6)]) for i in range(300)]
     rows += [(i, [0.1, 0.1, 0.1, 0.1, 0.1, 0.1]) for i in range(300, 360)]  # ties
     rows += [(400, None), (420, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (440, [float("nan")] * 6), (460, [float("inf")] * 6), (None, [0.1] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(*r, 1) for r in [*rows, rows[20], rows[21]]], "vec_id long, embedding array<float>, v int")  # repeated rows, a clashing name
     vectors = df.filter(topk.usable(F.col("embedding"))).select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
     got = defaultdict(list)
     for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
