@@ -13,7 +13,8 @@ are processed by descending impact. After each part of them
 
 A vector whose bound is below the k-th score is out; once few others remain
 (possible members, ties included) the rest of the segments is skipped and those
-are rescored exactly. If that proof never comes, all segments are processed.
+are rescored exactly. If that proof has not come at the last of CHECKS, all
+segments are processed, and the best accumulators are rescored.
 
 Vectors are dealt out by hash over blocks of about BLOCK_VECTORS, queries over
 blocks of about BLOCK_QUERIES; every query block meets every index block, and
@@ -40,7 +41,7 @@ SCALE = 64.0
 BLOCK_VECTORS = 16_384
 BLOCK_QUERIES = 1_024
 #: Shares of the postings after which the bounds are looked at.
-CHECKS = (0.3, 0.5, 0.7)
+CHECKS = (0.1, 0.2)
 #: Components beyond this are scored with Python integers, without skipping.
 EXACT_LIMIT = 1 << 20
 
@@ -56,10 +57,12 @@ class ImpactIndex:
         if self.wide:
             return
         dims, values, starts, postings, at = [], [], [], [], 0
+        self.codes = np.zeros((width, n), np.int32)  # each vector's segment in each dimension
         for d in range(width):
             column = self.vectors[:, d]
             by = np.argsort(column, kind="stable")
             new = np.flatnonzero(np.concatenate(([True], np.diff(column[by]) != 0)))
+            self.codes[d, by] = np.repeat(np.arange(len(new)), np.diff(np.append(new, n)))
             dims += [d] * len(new)
             values += column[by][new].tolist()
             starts += (at + new).tolist()
@@ -69,6 +72,7 @@ class ImpactIndex:
         self.starts = np.array([*starts, at], np.int64)
         self.postings = np.concatenate(postings) if postings else np.zeros(0, np.int32)
         self.first = np.searchsorted(self.dims, np.arange(width))  # the first segment of each dimension
+        self.n_segments = np.bincount(self.dims, minlength=width)
         self.doubles = self.vectors.astype(np.float64)  # products of limited components are exact
 
     def search(self, query: np.ndarray, query_id, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +113,16 @@ class ImpactIndex:
             members = np.flatnonzero((bound >= floor) & other)
             if len(members) <= max(8 * k, n // 8):  # the proof leaves only these
                 return self._best(members, self.doubles[members] @ q, k)
-        segments = order[begin:]
-        if len(segments):
-            touched = np.concatenate([self.postings[a:b] for a, b in zip(self.starts[segments].tolist(), self.starts[segments + 1].tolist())])
-            held += np.bincount(touched, np.repeat(impacts[segments] * unit + 1.0, sizes[begin:]), n)
-        scores = base + (held - np.mod(held, unit)) / unit
+        # No proof: all segments that are left are added, dimension by dimension in the order of the vectors.
+        rest = impacts.copy()
+        rest[order[:begin]] = 0.0
+        reached = (held - np.mod(held, unit)) / unit
+        for d in range(width):
+            reached += rest[self.first[d] : self.first[d] + self.n_segments[d]].take(self.codes[d])
         members = np.flatnonzero(other)
         if len(members) > k:
-            limit = np.partition(scores[members], len(members) - k)[len(members) - k]
-            members = members[scores[members] >= limit]
+            limit = np.partition(reached[members], len(members) - k)[len(members) - k]
+            members = members[reached[members] >= limit]
         return self._best(members, self.doubles[members] @ q, k)
 
     @staticmethod
