@@ -14,10 +14,12 @@ similarity is SIMILARITY or more; classes are the connected components.
    is exactly the weighted Jaccard similarity.
 2. Documents with the same words are one node (their least id).
 3. Bands of signature rows give buckets. The nodes of a bucket of up to SMALL
-   are compared with each other; those of a larger bucket only with its least
-   node, and then again in ever narrower buckets (of two, three... bands), so no
-   bucket causes all pairs of its nodes.
+   are compared with each other, those of a larger bucket with its least node.
 4. Compared pairs are verified by the exact overlap of their multisets.
+5. A larger bucket that is not one class by then is dealt into blocks, and any
+   two blocks meet in a group of their own, where all pairs of different classes
+   are compared exactly. So every pair that shares a bucket is compared or in
+   one class, and no bucket is the work of one task.
 
 A pair at the limit misses all BANDS buckets with probability below 1e-5.
 
@@ -46,7 +48,9 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 SMALL = 8
-LEVELS = 3
+#: Members and shingles of a block of a large bucket, on average.
+BLOCK = 128
+BLOCK_SHINGLES = 500_000
 BATCH_BYTES = 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -207,28 +211,87 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return append_columns(both, [T.StructField("close", T.BooleanType())], make).filter("close").select("a", "b")
 
 
-def candidates(nodes: DataFrame, similarity: float, bands: int) -> DataFrame:
-    """The pairs (a, b), a < b, of nodes (node, n, keys) that buckets call to be compared."""
-    pairs = None
+def candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b), a < b, of nodes (node, n, keys) to be compared first, and the members of large buckets."""
     members = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    for level in range(LEVELS):
-        if level:  # narrower buckets: a key also of the next bands
-            nearby = [F.get("keys", (F.col("band") + i) % bands) for i in range(level + 1)]
-            members = members.join(nodes.select("node", "keys"), "node").select("node", "n", "band", F.xxhash64("band", *nearby).alias("key"))
-        stats = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("least"))
-        inside = written(members.join(stats.filter("size > 1"), ["band", "key"]), "members")
-        small = inside.filter(F.col("size") <= SMALL).select("band", "key", "node", "n")
-        other = small.select("band", "key", F.col("node").alias("b"), F.col("n").alias("n_b"))
-        large = inside.filter(F.col("size") > SMALL)
-        here = small.join(other, ["band", "key"]).select(F.col("node").alias("a"), "n", "b", "n_b").unionByName(
-            large.select(F.col("least.node").alias("a"), F.col("least.n").alias("n"), F.col("node").alias("b"), F.col("n").alias("n_b")))
-        # No pair of such different sizes can be similar enough.
-        here = here.filter((F.col("a") < F.col("b")) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9)).select("a", "b")
-        pairs = here if pairs is None else pairs.unionByName(here)
-        members = large.select("node", "n", "band")
-        if members.isEmpty():
-            break
-    return pairs.distinct()
+    stats = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min(F.struct("node", "n")).alias("least"))
+    inside = written(members.join(stats.filter("size > 1"), ["band", "key"]), "members")
+    small = inside.filter(F.col("size") <= SMALL).select("band", "key", "node", "n")
+    other = small.select("band", "key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    large = inside.filter(F.col("size") > SMALL)
+    pairs = small.join(other, ["band", "key"]).select(F.col("node").alias("a"), "n", "b", "n_b").unionByName(
+        large.select(F.col("least.node").alias("a"), F.col("least.n").alias("n"), F.col("node").alias("b"), F.col("n").alias("n_b")))
+    # No pair of such different sizes can be similar enough.
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9))
+    return pairs.select("a", "b").distinct(), large.select("band", "key", "node", "size", "total")
+
+
+def mixed(large: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of large buckets that are not one class: band, key, node, class and the number of blocks."""
+    crowd = _labelled(large, label, "node")
+    several = crowd.groupBy("band", "key").agg(F.min("class_node").alias("lo"), F.max("class_node").alias("hi")).filter("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    return crowd.join(several.select("band", "key"), ["band", "key"]).select("band", "key", "node", F.col("class_node").alias("class"), blocks.alias("blocks"))
+
+
+def compared(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) of classes that similar pairs of a bucket's members join. members: as mixed gives them."""
+    mine = members.withColumn("mine", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("node", "class", "band", "key", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    told = nodes.select("node", "keys").hint("merge").join(texts, "node")
+    rows = met.hint("merge").join(told, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        u, v = joined(group, shingle, similarity)
+        return pa.table({"u": pa.array(u, group["class"].type), "v": pa.array(v, group["class"].type)})
+
+    schema = T.StructType([T.StructField(c, nodes.schema["node"].dataType) for c in ("u", "v")])
+    return rows.groupBy("band", "key", "lo", "hi").applyInArrow(run, schema).distinct()
+
+
+@lru_cache(maxsize=1)
+def _hashes() -> WordHashes:
+    return WordHashes()
+
+
+def joined(group: pa.Table, shingle: int, similarity: float) -> tuple[list, list]:
+    """Compares the members of two blocks (or one) of a bucket; a pair that meets in an earlier band is left to that."""
+    n_docs, band = group.num_rows, group["band"][0].as_py()
+    lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+    mine = group["mine"].to_numpy()
+    names, label = np.unique(np.array(group["class"].to_pylist()), return_inverse=True)
+    if len(names) < 2:
+        return [], []
+    keys = np.array(group["keys"].to_pylist(), np.int64)[:, :band]
+    texts, parts = utf8(group["text"]), []
+    for at in range(0, n_docs, 8192):  # as many as bags() numbers at once
+        some, e, c = bags([word_list(t) for t in texts[at : at + 8192]], _hashes(), shingle)
+        parts.append((some + at, e, c))
+    doc, element, count = map(np.concatenate, zip(*parts))
+    begin = np.searchsorted(doc, np.arange(n_docs + 1))
+    names_of, element = np.unique(element, return_inverse=True)
+    size = np.bincount(doc, count, n_docs)
+    held = np.zeros(len(names_of), np.int64)
+    into = np.arange(len(names))
+    for a in np.flatnonzero(mine == lo):
+        open_ = (label != label[a]) & (np.minimum(size, size[a]) >= similarity * np.maximum(size, size[a]) - 1e-9)
+        open_ &= (np.arange(n_docs) > a) if lo == hi else (mine == hi)
+        open_ &= ~(keys == keys[a]).any(axis=1)
+        if not open_.any():
+            continue
+        own = slice(begin[a], begin[a + 1])
+        held[element[own]] = count[own]
+        which = open_[doc]
+        shared = np.bincount(doc[which], np.minimum(count[which], held[element[which]]), n_docs)
+        held[element[own]] = 0
+        for b in np.flatnonzero(open_ & (shared >= similarity * (size[a] + size - shared) - 1e-9)):
+            x, y = sorted((label[a], label[b]))
+            if x != y:
+                label[label == y] = x
+                into[into == y] = x
+    moved = np.flatnonzero(into != np.arange(len(names)))
+    return names[moved].tolist(), names[into[moved]].tolist()
 
 
 def classes(
@@ -242,12 +305,24 @@ def classes(
         sketches.filter("digest is not null and id is not null").groupBy("digest")
         .agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes",
     )
-    pairs = written(candidates(nodes, similarity, bands), "pairs")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.withColumnsRenamed({"id": "node"}).join(involved.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    edges = verified(pairs, written(texts, "texts"), shingle, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs, large = candidates(nodes, similarity)
+    pairs = written(pairs, "pairs")
+
+    def texts_of(involved: DataFrame) -> DataFrame:
+        rows = docs.withColumnsRenamed({"id": "node"}).join(involved.distinct().hint("merge"), "node", "left_semi")
+        return written(rows.groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    edges = verified(pairs, texts, shingle, similarity).select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = components(written(edges, "edges"))
-    own = _labelled(nodes.select("digest", "node"), label, "node").select("digest", F.col("class_node").alias("class"))
+    crowd = written(mixed(large, label), "mixed")
+    if not crowd.isEmpty():
+        more = compared(crowd, nodes, texts_of(crowd.select("node")), shingle, similarity)
+        again = components(written(more, "edges"))
+        own = _labelled(_labelled(nodes.select("digest", "node"), label, "node").select("digest", F.col("class_node").alias("of_label")), again, "of_label")
+        own = own.select("digest", F.col("class_of_label").alias("class"))
+    else:
+        own = _labelled(nodes.select("digest", "node"), label, "node").select("digest", F.col("class_node").alias("class"))
     return sketches.select("id", "digest").join(own, "digest", "left").select(
         F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id")
     )

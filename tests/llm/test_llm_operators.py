@@ -185,6 +185,42 @@ def test_near_duplicate_classes_equal_brute_force(spark, documents):
     assert got == brute_classes(rows)
 
 
+def test_large_buckets_are_compared_whole(spark):
+    rng = random.Random(8)
+
+    def edited(w, name, edits):
+        w = list(w)
+        for k in rng.sample(range(4, len(w) - 4), edits):
+            w[k] = f"{name}x{k}"
+        return w
+
+    seed = [f"s{k}" for k in range(300)]
+    rows = [(i, edited(seed, f"c{i}", 4)) for i in range(1, 1001)] + [(5000, seed)]  # copies like the seed, not like each other
+    frame = [f"t{k}" for k in range(240)]  # a template with fillings, and some twins of them
+    filled = {i: frame + [f"f{i}y{k}" for k in range(50)] for i in range(6000, 6200)}
+    rows += list(filled.items()) + [(i + 1000, edited(filled[i], "twin", 2)) for i in range(6001, 6200, 7)]
+    rng.shuffle(rows)
+    ids, bag = {}, []
+    for _, w in rows:
+        bag.append({ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(len(w) - 4)})
+    held = np.zeros((len(rows), len(ids)), np.float32)
+    for at, x in enumerate(bag):
+        held[at, list(x)] = 1
+    shared, size = held @ held.T, held.sum(axis=1)
+    alike = shared >= 0.8 * (size[:, None] + size - shared) - 1e-9
+    at = {i: k for k, (i, _) in enumerate(rows)}
+    assert alike[at[5000]].sum() == 1001 and alike[at[1]].sum() < 100
+    label = np.array([i for i, _ in rows])
+    while True:
+        least = np.where(alike, label, label.max()).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(texts).collect()}
+    assert got == {i: int(c) for (i, _), c in zip(rows, label)}
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = [(r["doc_id"], r["class_id"]) for r in near_dup.classes(odd).collect()]
     assert len(got) == len(ODD) + 1 and got.count((1, 1)) == 2 and (2, 1) in got and (4, 4) in got and (None, None) in got
