@@ -168,3 +168,11 @@ def embedding_tripwire(spark, sf_dir):
     """A logistic score of every embedding for the label 0."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), (F.col("label") == 0).cast("int").alias("label"))
     return structured.tripwire(structured.fit_tripwire(e), e).select("vec_id", "label", "trip_score")
+
+
+@slate()
+def structured_parse_all(spark, sf_dir):
+    """The first complete JSON object in every turn's own text, with what is wrong with it as an answer."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("answer"))
+    rows = structured.parsed(t.withColumn("object", structured.extracted(F.col("answer"))), F.col("object"), {"action": "string", "confidence": "double"}, {"action": ("CLEAR", "REVIEW", "ESCALATE")})
+    return rows.select("conv_id", "turn", "object", F.array_join("errors", ",").alias("errors"))

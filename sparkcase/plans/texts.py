@@ -155,7 +155,7 @@ def jw_pairs(spark, sf_dir):
 def fuzzy_pairs(spark, sf_dir):
     """Parts against benchmark-free names: pairs that share a trigram, by token-sort ratio, the three best."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("customer_id"), F.col("p_name").alias("name"))
-    asks = parts.filter("customer_id % 200 = 0").select(F.col("customer_id").alias("query_id"), F.concat_ws(" ", F.reverse(F.split("name", " "))).alias("name"))
+    asks = parts.filter("customer_id % 100 = 0").select(F.col("customer_id").alias("query_id"), F.concat_ws(" ", F.reverse(F.split("name", " "))).alias("name"))
     return rounded(resolution.top(resolution.fuzzy(resolution.candidates_by_trigram(asks, parts)), 3), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -305,3 +305,10 @@ def claim_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike("[0-9]")).select(
         "conv_id", "turn", guardrails.tokens(F.concat("text", F.lit(" [1,234.5] "), F.col("conv_id").cast("string"), F.lit(" and 7.25"))).alias("t"))
     return rows.select("conv_id", "turn", F.array_join("t.numbers", " ").alias("numbers"))
+
+
+@slate()
+def claim_tokens_all(spark, sf_dir):
+    """The numbers of every turn, those with digits of their own among them."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", guardrails.tokens(F.col("text")).alias("t"))
+    return rows.select("conv_id", "turn", F.array_join("t.numbers", " ").alias("numbers"))

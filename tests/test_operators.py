@@ -348,3 +348,17 @@ def test_evidence_assembly(spark):
     assert len(evidence.templated_findings(items).first()["statements"]) == 4
     log = spark.createDataFrame([("c", 1, "ann", "override", ""), ("c", 2, "ann", "approve", "ok"), ("c", 3, "bob", "approve", "ok")], "case_id string, seq int, actor string, action string, comment string")
     assert [r["problem"] for r in evidence.sign_off(log).orderBy("seq").collect()][:2] == ["an override needs a comment", "a second person has to approve"]
+
+
+def test_queries_take_every_turn_and_search(spark, tmp_path):
+    from sparkcase.plans import QUERIES
+
+    turns = ["paid 950 and 1,234.5", "no number", 'so {"action": "REVIEW", "confidence": 0.5} done', 'a {b {"action": "FLY", "confidence": 1}', '{"action": "CLEAR"', "}{"]
+    spark.createDataFrame(list(enumerate(turns)), "conv_id long, text string").selectExpr("conv_id", "1L AS turn", "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    numbers = {r["conv_id"]: r["numbers"] for r in QUERIES["claim_tokens_all"](spark, str(tmp_path)).collect()}
+    assert numbers == {0: "950 1234.5", 1: "", 2: "0.5", 3: "1", 4: "", 5: ""}
+    parsed = {r["conv_id"]: (r["object"], r["errors"]) for r in QUERIES["structured_parse_all"](spark, str(tmp_path)).collect()}
+    none = (None, "no complete JSON object")
+    assert parsed == {0: none, 1: none, 2: ('{"action": "REVIEW", "confidence": 0.5}', ""), 3: ('{"action": "FLY", "confidence": 1}', "action: not allowed"), 4: none, 5: none}
+    spark.createDataFrame([(k, f"red blue green{k // 7}") for k in range(1, 401)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["query_id"] for r in QUERIES["fuzzy_pairs"](spark, str(tmp_path)).collect()} == {100, 200, 300, 400}
