@@ -16,6 +16,7 @@ Repeated rows are rendered alike; columns named like the outputs are replaced.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -74,26 +75,51 @@ def parse(html: str) -> Node:
     """The element tree of a page."""
     root = Node("#root")
     stack, at = [root], 0
+    # Beyond MAX_DEPTH: the open elements that are not nested, each with whether its text is hidden, and their number by tag.
+    beyond: list[tuple[str, bool]] = []
+    held: Counter[str] = Counter()
+
+    def drop(i: int) -> None:
+        held.subtract(tag for tag, _ in beyond[i:])
+        del beyond[i:]
 
     def close(names, borders) -> None:
+        if any(held[x] > 0 for x in names):
+            for i in range(len(beyond) - 1, -1, -1):
+                if beyond[i][0] in borders:
+                    return
+                if beyond[i][0] in names:
+                    drop(i)
+                    if not any(held[x] > 0 for x in names):
+                        break
+        if any(held[x] > 0 for x in borders):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in borders:
                 return
             if stack[i].tag in names:
+                drop(0)
                 del stack[i:]
 
     while m := _TOKEN.match(html, at):
         at = m.end()
         end, tag, attributes, text = m.groups()
+        hidden = bool(beyond) and beyond[-1][1]
         if text is not None:
-            stack[-1].children.append(text)
+            if not hidden:
+                stack[-1].children.append(text)
         elif tag is None:
-            if m[0] == "<":
+            if m[0] == "<" and not hidden:
                 stack[-1].children.append("<")
         elif end:
             tag = tag.lower()
+            if stack[-1].tag not in RAW and held[tag] > 0:
+                drop(next(i for i in range(len(beyond) - 1, -1, -1) if beyond[i][0] == tag))
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    if tag not in RAW:
+                        drop(0)
                     del stack[i:]
                     break
                 if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
@@ -108,15 +134,21 @@ def parse(html: str) -> Node:
                 row = Node("tr")
                 stack[-1].children.append(row)
                 stack.append(row)
+            hidden = bool(beyond) and beyond[-1][1]
             node = Node(tag, attributes)
-            stack[-1].children.append(node)
+            if not hidden:
+                stack[-1].children.append(node)
             if tag in RAW:
                 stop = re.compile(f"</{tag}", re.I).search(html, at)
                 node.children.append(html[at : stop.start() if stop else len(html)])
                 at = stop.start() if stop else len(html)
                 stack.append(node)
-            elif tag not in VOID and not attributes.rstrip().endswith("/") and len(stack) < MAX_DEPTH:
-                stack.append(node)
+            elif tag not in VOID and not attributes.rstrip().endswith("/"):
+                if len(stack) < MAX_DEPTH and not beyond:
+                    stack.append(node)
+                else:
+                    beyond.append((tag, hidden or not node.visible()))
+                    held[tag] += 1
     return root
 
 
@@ -211,19 +243,44 @@ class Renderer:
 
     def aligned(self, table: Node) -> list[str]:
         rows, captions = [], []
+        # What lies between the parts of a table comes before it, as in browsers.
+        stray = Node("#stray")
+
+        def leave() -> None:
+            if stray.children:
+                captions.extend(self.nested(stray))
+                stray.children = []
+
+        def cells(node: Node, row: list[list[str]]) -> None:
+            for child in node.children:
+                if not isinstance(child, str) and child.visible() and child.tag in ("td", "th"):
+                    row.append(self.nested(child))
+                elif not isinstance(child, str) and child.visible() and child.tag == "form":
+                    cells(child, row)
+                else:
+                    stray.children.append(child)
 
         def collect(node: Node) -> None:
             for child in node.children:
-                if isinstance(child, str) or not child.visible():
+                if isinstance(child, str):
+                    stray.children.append(child)
+                elif not child.visible():
                     continue
-                if child.tag == "tr":
-                    rows.append([self.nested(c) for c in child.children if not isinstance(c, str) and c.tag in ("td", "th") and c.visible()])
+                elif child.tag == "tr":
+                    rows.append([])
+                    cells(child, rows[-1])
                 elif child.tag == "caption":
+                    leave()
                     captions.extend(self.nested(child))
+                elif child.tag in ("tbody", "thead", "tfoot", "form"):
+                    collect(child)
+                elif child.tag in ("td", "th"):  # in a form outside rows
+                    rows.append([self.nested(child)])
                 else:
-                    collect(child) if child.tag in ("tbody", "thead", "tfoot") else captions.extend(self.nested(child))
+                    stray.children.append(child)
 
         collect(table)
+        leave()
         columns = max(map(len, rows), default=0)
         width = [max((len(line) for r in rows if c < len(r) for line in r[c]), default=0) for c in range(columns)]
         lines = list(captions)

@@ -433,6 +433,18 @@ def test_rendering(page, text):
     assert html.rendered(page)[0] == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"), ("<table><tr><div>a</div></tr></table>", "a"),
+    ("<table>note<tr><td>x</td></tr></table>", "note\nx"), ("<table><tbody>one<b>two</b><tr>three<td>x</table>", "onetwothree\nx"),
+    ("<table><tr><td hidden>no<td>yes<span hidden>no</span></table>", "yes"), ("<table><form><tr><td>a</form></table>", "a"),
+    ("<table><form><td>a<td>b</form></table>", "a\nb"), ("<table><tr><form hidden><td>no</td></form><td>yes</table>", "yes"),
+    ("<div>" * 300 + "<p hidden>no<b>no</b></p>yes" + "</div>" * 300, "yes"), ("<div>" * 300 + "<p hidden>no<p>yes", "yes"),
+    ("<div>" * 300 + "<div hidden>no<script>s</script>no</div>yes<script>s</script>!", "yes!"),
+])
+def test_text_in_malformed_tables_and_beyond_the_depth(page, text):
+    assert html.rendered(page)[0] == text
+
+
 def test_deep_and_long_pages(spark):
     assert html.rendered("<div>" * 5000 + "x")[0] == "x"
     assert html.rendered("<a href=\"" * 20_000)[1] == 0
