@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, table
-from .pieces import TextEncoder
+from .pieces import TextEncoder, packed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 FIELDS = [
@@ -133,7 +133,7 @@ class ByteBPE:
 @functools.lru_cache(maxsize=2)
 def _loaded(path: str) -> tuple[TextEncoder, dict[int, bytes]]:
     bpe = ByteBPE(read_ranks(path))
-    return TextEncoder(lambda piece: bpe.encode(piece.encode())), bpe.token
+    return TextEncoder(lambda piece: packed(bpe.encode(piece.encode()))), bpe.token
 
 
 def encode_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:

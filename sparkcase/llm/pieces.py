@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -38,8 +40,9 @@ def _latin_pattern() -> re.Pattern:
     """The pattern for texts of Latin-1 characters, as explicit sets for the faster standard library."""
     sets = {k: re.escape("".join(chr(i) for i in np.flatnonzero(_classes()[:256] == k))) for k in (_LETTER, _NUMBER, _SPACE)}
     word, number, space = sets.values()
+    # The first three begin with different characters, so the commonest comes first.
     return re.compile(
-        f"'(?:[stmd]|re|ve|ll)| ?[{word}]+| ?[{number}]+| ?[^{space}{word}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
+        f" ?[{word}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^{space}{word}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
     )
 
 
@@ -75,16 +78,30 @@ def _cut_any(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(at, at[1:])]
 
 
+def packed(ids: list[int], narrow: bool = False) -> bytes:
+    """ids as little-endian unsigned integers of 32 bits (narrow: 16)."""
+    out = array("H" if narrow else "I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Memo(dict):
-    """A memo of at most twice `size` entries: when full, only what is asked for again is kept."""
+    """A memo of at most twice `size` entries of short keys: when full, only what is asked for again is kept."""
+
+    #: Keys of more characters are computed anew each time, so that the memo's bytes are bounded too.
+    LONGEST = 64
 
     def __init__(self, compute: Callable, size: int):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 
     def __missing__(self, key):
-        found = self.old.pop(key, None)
-        if found is None:
+        if len(key) > self.LONGEST:
+            return self.compute(key)
+        if key in self.old:
+            found = self.old.pop(key)
+        else:
             found = self.compute(key)
         if len(self) >= self.size:
             self.old = dict(self)
@@ -94,10 +111,10 @@ class Memo(dict):
 
 
 class TextEncoder:
-    """text -> ids as little-endian 32-bit integers, by an encoder of single pieces whose results are memoised."""
+    """text -> ids as little-endian unsigned integers, by an encoder of single pieces whose results are memoised."""
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], memo_size: int = 500_000):
-        self.pieces = Memo(lambda piece: np.array(encode_piece(piece), "<u4").tobytes(), memo_size)
+    def __init__(self, encode_piece: Callable[[str], bytes], memo_size: int = 500_000):
+        self.pieces = Memo(encode_piece, memo_size)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, cut(text)))

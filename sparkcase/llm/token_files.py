@@ -2,7 +2,8 @@
 
 First, every text is encoded where it lies, and the ids are counted over the
 whole corpus. Counts give one canonical length-limited Huffman code. Then each
-document's ids are coded, dealt out by ranges of doc_id, sorted, and written.
+document's ids are coded once, dealt out by ranges of (doc_id, hash of the text)
+whose borders come from these two columns, sorted, and written.
 The files are Parquet (so any store that Spark reaches will do, and a lost task
 is simply run again): one row a document with the ids before it in its part,
 its number of ids, its bits, and the bit offset of every block of 256 ids. The
@@ -10,8 +11,9 @@ code's lengths are a small table beside it. Reading decodes blocks by a lookup
 table, all blocks of a batch together.
 
 Nulls: a null text is an empty one and has only the end id. A null doc_id sorts
-first; rows of equal doc_id are ordered by their text's hash. An empty table
-gives empty files and no rows.
+first; rows of equal doc_id are ordered by their text's hash, and equal rows stay
+next to each other. An empty table gives empty files and no rows. Only the id
+and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,20 +22,23 @@ import functools
 import json
 import os
 import zlib
+from bisect import bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, delete, fresh_path, halved, table
 from .huffman import Codebook, code_lengths
-from .pieces import TextEncoder
+from .pieces import TextEncoder, packed
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+#: Ids that are coded at once, about.
+GROUP_IDS = 400_000
 FIELDS = [
     T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("payload", T.BinaryType()), T.StructField("blocks", T.ArrayType(T.IntegerType())),
@@ -48,24 +53,34 @@ def _byte_letters() -> dict[int, str]:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(path: str):
-    """text -> ids as little-endian 32-bit, by the tokenizers library.
+def _encoder(path: str, narrow: bool) -> Callable[[str], bytes]:
+    """text -> ids as little-endian integers of 32 bits (narrow: 16), as the tokenizers library gives them.
 
     A byte-level vocabulary without normalizer or prefix blank is applied by
-    the library's model to each distinct piece once; any other to whole texts.
+    the library's model to each distinct piece once. Texts that hold an added
+    token, and texts under any other vocabulary, go through the library whole.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     spec = json.loads(tokenizer.to_str())
     before = spec.get("pre_tokenizer") or {}
+
+    def whole(text: str) -> bytes:
+        return packed(tokenizer.encode(text, add_special_tokens=False).ids, narrow)
+
     plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-    if plain and not spec.get("normalizer") and spec["model"]["type"] == "BPE":
-        letters, model = _byte_letters(), tokenizer.model
-        return TextEncoder(lambda piece: [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
-    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    if not plain or spec.get("normalizer") or spec["model"]["type"] != "BPE":
+        return whole
+    letters, tokenize = _byte_letters(), tokenizer.model.tokenize
+
+    def of_piece(piece: str) -> bytes:
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1")
+        return packed([t.id for t in tokenize(raw.translate(letters))], narrow)
+
+    added, by_pieces = [t["content"] for t in spec.get("added_tokens", ())], TextEncoder(of_piece)
+    return lambda text: whole(text) if any(t in text for t in added) else by_pieces(text)
 
 
 def vocabulary_size(path: str) -> int:
@@ -79,14 +94,8 @@ def encoded(df: DataFrame, path: str, end_id: int, narrow: bool, text_col: str =
     kept = df.select(*[c for c in df.columns if c != text_col], F.xxhash64(text_col).alias("text_hash"), text_col)
 
     def make():
-        encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
-
-        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = []
-            for t in batch.column(text_col).to_pylist():
-                ids = (encode(t) if t else b"") + end
-                out.append(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids)
-            return [pa.array(out, pa.binary())]
+        encode, end = _encoder(path, narrow), packed([end_id], narrow)
+        return lambda batch: [pa.array([(encode(t) if t else b"") + end for t in batch.column(text_col).to_pylist()], pa.binary())]
 
         return compute
 
@@ -111,6 +120,14 @@ def id_counts(ids: DataFrame, size: int, kind: str) -> np.ndarray:
     return counts
 
 
+def borders(ids: DataFrame, id_col: str, parts: int) -> list[tuple]:
+    """The least (id, text hash) of each part but the first, in order: at most parts rows, from these two columns alone."""
+    keys = [F.col(id_col), F.col("text_hash")]
+    dealt = ids.select(*keys).repartitionByRange(parts, *keys)
+    rows = dealt.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*keys)).alias("least")).collect()
+    return sorted((True, r["least"][0], r["least"][1]) if r["least"][0] is not None else (False, r["least"][1]) for r in rows)[1:]
+
+
 def write_files(df: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes path/documents and path/code for the whole table."""
     spark = df.sparkSession
@@ -122,35 +139,43 @@ def write_files(df: DataFrame, path: str, vocabulary: str, end_id: int = END_ID,
     lengths = code_lengths(id_counts(ids, size, kind))
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     code = spark.sparkContext.broadcast(lengths.astype(np.uint8))  # a byte an id of the vocabulary
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = borders(ids, id_col, parts)
 
     def coder():
         book = Codebook(code.value)
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            places = zip(batch.column(id_col).to_pylist(), batch.column("text_hash").to_pylist())
+            part = [bisect_right(least, (i is not None, i, h) if i is not None else (False, h)) for i, h in places]
             arrays = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
             sizes = np.array([len(a) for a in arrays], np.int64)
-            payloads, blocks = book.encode(np.concatenate(arrays).astype(np.int64), sizes)
-            return [pa.array(sizes), pa.array(payloads, pa.binary()), pa.array([b.tolist() for b in blocks], pa.list_(pa.int32()))]
+            payloads, blocks = [], []
+            for group in np.split(np.arange(len(arrays)), np.flatnonzero(np.diff(np.cumsum(sizes) // GROUP_IDS)) + 1):
+                found, firsts = book.encode(np.concatenate([arrays[i] for i in group]).astype(np.int64), sizes[group])
+                payloads += found
+                blocks += [b.tolist() for b in firsts]
+            return [pa.array(part, pa.int32()), pa.array(sizes), pa.array(payloads, pa.binary()), pa.array(blocks, pa.list_(pa.int32()))]
 
         return compute
 
-    coded = append_columns(ids, FIELDS[2:], coder).drop("ids")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, "text_hash").drop("text_hash")
+    # The ids are coded once, on the way to the parts.
+    coded = append_columns(ids, [FIELDS[0], *FIELDS[2:]], coder).drop("ids")
+    ordered = coded.repartitionById(parts, F.col("part")).sortWithinPartitions(id_col, "text_hash").drop("text_hash")
 
     def placer():
-        part, before = TaskContext.get().partitionId(), 0
+        before = 0
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             nonlocal before
             n = batch.column("n_tokens").to_numpy()
             first = before + np.cumsum(n) - n
             before += int(n.sum())
-            return [pa.array(np.full(len(n), part, np.int32)), pa.array(first.astype(np.int64))]
+            return [pa.array(first.astype(np.int64))]
 
         return compute
 
-    append_columns(ordered, FIELDS[:2], placer).write.option("compression", "uncompressed").parquet(f"{path}/documents")
+    append_columns(ordered, FIELDS[1:2], placer).write.option("compression", "uncompressed").parquet(f"{path}/documents")
     delete(spark, held)
 
 

@@ -341,7 +341,6 @@ def test_token_files_equal_the_library(spark, documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     got = {r["doc_id"]: r for r in QUERIES["op6_token_files"](spark, SF).collect()}
     start = 0
     for i in sorted(documents):
@@ -361,6 +360,17 @@ def test_token_files_of_odd_rows(spark, odd, tmp_path):
     assert all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (3, 4))
 
 
+def test_texts_with_added_tokens_are_encoded_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    encode = token_files._encoder(public_tokenizers.path(token_files.VOCABULARY), True)
+    for text in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "x\x00\x7f\u00ad y"):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(encode(text), "<u2")) == ids
+    assert len(encode("hello <|endoftext|> world")) == 8
+
+
 def test_huffman_round_trip_and_lengths():
     rng = np.random.default_rng(4)
     for counts in (np.array([0, 5]), np.array([1, 1, 1]), np.bincount(rng.zipf(1.3, 20_000) % 3000), 2 ** np.arange(40)):
