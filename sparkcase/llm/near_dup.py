@@ -14,12 +14,16 @@ similarity is SIMILARITY or more; classes are the connected components.
    is exactly the weighted Jaccard similarity.
 2. Documents with the same words are one node (their least id).
 3. Bands of signature rows give buckets. The nodes of a bucket of up to SMALL
-   are compared with each other, those of a larger bucket with its least node.
-4. Compared pairs are verified by the exact overlap of their multisets.
-5. A larger bucket that is not one class by then is dealt into blocks, and any
-   two blocks meet in a group of their own, where all pairs of different classes
-   are compared exactly. So every pair that shares a bucket is compared or in
-   one class, and no bucket is the work of one task.
+   are compared with each other, those of a larger bucket with a centre, which
+   is another node in every CENTRES-th band.
+4. Compared pairs are verified by the exact overlap of their multisets (as
+   64-bit hashes of the shingles).
+5. In a larger bucket that is not one class by then, every node outside the
+   bucket's largest class is compared with every node of another class: the
+   nodes are dealt into blocks, and two blocks meet in a group of their own. So
+   every pair that shares a bucket is compared or in one class, and no bucket is
+   the work of one task. Two nodes of the largest class never meet again, so the
+   rows sent grow with the square of what lies outside it, in blocks.
 
 A pair at the limit misses all BANDS buckets with probability below 1e-5.
 
@@ -48,8 +52,9 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
 SMALL = 8
+CENTRES = 3
 #: Members and shingles of a block of a large bucket, on average.
-BLOCK = 128
+BLOCK = 512
 BLOCK_SHINGLES = 500_000
 BATCH_BYTES = 4_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -185,23 +190,33 @@ def sketched(df: DataFrame, text_col: str, shingle: int, bands: int, rows: int)
     return append_columns(df, fields, make).drop(text_col)
 
 
+def bag(words: list[bytes], hashes: WordHashes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of one document's words: 64-bit hashes, ascending, and counts."""
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    n = max(len(h) - shingle + 1, min(len(h), 1))
+    out = h[:n].copy()
+    for k in range(1, min(shingle, len(h))):
+        out = mix(out * _GOLD + h[k : k + n])
+    return np.unique(out, return_counts=True)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' multisets overlap enough. texts: (node, text)."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    # Merge joins at every size: what would be broadcast grows with the documents.
-    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "text_a", "text_b")
+    # Merge joins at every size: what would be broadcast grows with the documents. The text of a, which may have
+    # many pairs, comes last and is not shuffled once a pair; a hot a is split by the skew join.
+    both = pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "text_a", "text_b")
 
     def make():
         hashes = WordHashes()
 
         @lru_cache(maxsize=64)
-        def bag(text: bytes):
-            _, element, count = bags([word_list(text)], hashes, shingle)
-            return element, count
+        def bag_of(text: bytes):
+            return bag(word_list(text), hashes, shingle)
 
         def close(a: bytes, b: bytes) -> bool:
-            (ea, ca), (eb, cb) = bag(a), bag(b)
+            (ea, ca), (eb, cb) = bag_of(a), bag_of(b)
             _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
             shared = int(np.minimum(ca[ia], cb[ib]).sum())
             return shared >= similarity * (int(ca.sum()) + int(cb.sum()) - shared) - 1e-9
@@ -214,30 +229,48 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 def candidates(nodes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b), a < b, of nodes (node, n, keys) to be compared first, and the members of large buckets."""
     members = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    stats = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.min(F.struct("node", "n")).alias("least"))
-    inside = written(members.join(stats.filter("size > 1"), ["band", "key"]), "members")
+    stats = members.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node", F.col("band") % CENTRES), "node", "n")).alias("centre")
+    )
+    # Written first: the join of plain tables is a skew join, which splits a large bucket.
+    stats = written(stats.filter("size > 1"), "buckets")
+    inside = written(members.hint("merge").join(stats, ["band", "key"]), "members")
     small = inside.filter(F.col("size") <= SMALL).select("band", "key", "node", "n")
     other = small.select("band", "key", F.col("node").alias("b"), F.col("n").alias("n_b"))
     large = inside.filter(F.col("size") > SMALL)
-    pairs = small.join(other, ["band", "key"]).select(F.col("node").alias("a"), "n", "b", "n_b").unionByName(
-        large.select(F.col("least.node").alias("a"), F.col("least.n").alias("n"), F.col("node").alias("b"), F.col("n").alias("n_b")))
+    pairs = small.join(other, ["band", "key"]).filter(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "n", "b", "n_b").unionByName(
+        large.filter(F.col("node") != F.col("centre.node")).select(
+            F.least("centre.node", "node").alias("a"), F.col("centre.n").alias("n"), F.greatest("centre.node", "node").alias("b"), F.col("n").alias("n_b")))
     # No pair of such different sizes can be similar enough.
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9))
-    return pairs.select("a", "b").distinct(), large.select("band", "key", "node", "size", "total")
+    pairs = pairs.filter(F.least("n", "n_b") >= similarity * F.greatest("n", "n_b") - 1e-9)
+    return pairs.select("a", "b").distinct(), large.select("band", "key", "node", "n")
 
 
 def mixed(large: DataFrame, label: DataFrame) -> DataFrame:
-    """The members of large buckets that are not one class: band, key, node, class and the number of blocks."""
-    crowd = _labelled(large, label, "node")
-    several = crowd.groupBy("band", "key").agg(F.min("class_node").alias("lo"), F.max("class_node").alias("hi")).filter("lo <> hi")
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    return crowd.join(several.select("band", "key"), ["band", "key"]).select("band", "key", "node", F.col("class_node").alias("class"), blocks.alias("blocks"))
+    """The members of large buckets that are not one class: band, key, node, class, block, and the bucket's numbers of minor and of all blocks.
+
+    Members outside the bucket's largest class lie in the minor blocks, which come first.
+    """
+    crowd = written(_labelled(large, label, "node").withColumnRenamed("class_node", "class"), "crowd")
+    by_class = crowd.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    most = F.max(F.struct("size", "class", "total"))
+    blocks = lambda size, total: F.ceil(F.greatest(size / BLOCK, total / BLOCK_SHINGLES)).cast("int")
+    several = by_class.groupBy("band", "key").agg(
+        F.count(F.lit(1)).alias("classes"), most.alias("most"), F.sum("size").alias("size"), F.sum("total").alias("total")
+    ).filter("classes > 1").select(
+        "band", "key", F.col("most.class").alias("major"), blocks(F.col("size") - F.col("most.size"), F.col("total") - F.col("most.total")).alias("minors"),
+        blocks(F.col("most.size"), F.col("most.total")).alias("majors"),
+    )
+    rows = crowd.hint("merge").join(written(several, "buckets"), ["band", "key"])
+    dealt = F.xxhash64("node", "band")
+    block = F.when(F.col("class") == F.col("major"), F.col("minors") + F.pmod(dealt, F.col("majors"))).otherwise(F.pmod(dealt, F.col("minors")))
+    return rows.select("band", "key", "node", "class", block.cast("int").alias("mine"), "minors", (F.col("minors") + F.col("majors")).alias("blocks"))
 
 
 def compared(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Edges (u, v) of classes that similar pairs of a bucket's members join. members: as mixed gives them."""
-    mine = members.withColumn("mine", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
-    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    others = F.when(F.col("mine") < F.col("minors"), F.col("blocks")).otherwise(F.col("minors"))
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     met = met.select("node", "class", "band", "key", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
     told = nodes.select("node", "keys").hint("merge").join(texts, "node")
     rows = met.hint("merge").join(told, "node")
@@ -264,12 +297,10 @@ def joined(group: pa.Table, shingle: int, similarity: float) -> tuple[list, list
     if len(names) < 2:
         return [], []
     keys = np.array(group["keys"].to_pylist(), np.int64)[:, :band]
-    texts, parts = utf8(group["text"]), []
-    for at in range(0, n_docs, 8192):  # as many as bags() numbers at once
-        some, e, c = bags([word_list(t) for t in texts[at : at + 8192]], _hashes(), shingle)
-        parts.append((some + at, e, c))
-    doc, element, count = map(np.concatenate, zip(*parts))
-    begin = np.searchsorted(doc, np.arange(n_docs + 1))
+    parts = [bag(word_list(t), _hashes(), shingle) for t in utf8(group["text"])]
+    begin = np.cumsum([0, *(len(e) for e, _ in parts)])
+    doc = np.repeat(np.arange(n_docs), np.diff(begin))
+    element, count = map(np.concatenate, zip(*parts))
     names_of, element = np.unique(element, return_inverse=True)
     size = np.bincount(doc, count, n_docs)
     held = np.zeros(len(names_of), np.int64)
