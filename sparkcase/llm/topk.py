@@ -4,21 +4,25 @@ Vectors are integer components. A block of vectors is indexed by posting
 segments: for each dimension and each (quantised) value, the vectors that have
 it. A query's impact on a segment is its component times that value, less the
 least such product of the dimension, so impacts are never negative. Segments
-are processed by descending impact. After each part of them
+are processed in rounds of descending impact. After each round
 
-- the exact scores of the leading accumulators give a proven lower bound of the
-  k-th score, and
-- no vector can gain more than the next impact in each dimension where it has
-  not been seen, which bounds every vector's score from above.
+- a vector's bound is the sum of its processed impacts and, in each dimension
+  where it has not been seen, of the next impact or the dimension's largest one,
+  whichever is less, and
+- the exact scores of the leading vectors give a proven lower bound of the k-th
+  score.
 
-A vector whose bound is below the k-th score is out; once few others remain
-(possible members, ties included) the rest of the segments is skipped and those
-are rescored exactly. If that proof has not come at the last of CHECKS, all
-segments are processed, and the best accumulators are rescored.
+A vector whose bound is below the k-th score is out, and later rounds leave it
+alone. Once few possible members remain (ties included) the rest of the segments
+is skipped on that proof and the members are rescored exactly. Rounds never end
+otherwise: with all segments processed the bound is the score itself.
+
+A round adds many segments at once, so the index keeps, in place of lists, each
+vector's segment in every dimension, and a round looks up their gains.
 
 Vectors are dealt out by hash over blocks of about BLOCK_VECTORS, queries over
 blocks of about BLOCK_QUERIES; every query block meets every index block, and
-the partial results are merged per query.
+the partial results are merged per query. An index takes two bytes a component.
 
 Rows whose id or vector is null, or whose vector holds a null or non-finite
 component (or one of 2**57 or more), take no part. Equal rows count once. Shorter vectors count as padded
@@ -28,6 +32,7 @@ with zeros. Empty tables give no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import pickle
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -39,11 +44,11 @@ from .common import table, written
 K = 20
 SCALE = 64.0
 BLOCK_VECTORS = 16_384
-BLOCK_QUERIES = 1_024
+BLOCK_QUERIES = 2_048
 #: Shares of the postings after which the bounds are looked at.
-CHECKS = (0.1, 0.2)
-#: Components beyond this are scored with Python integers, without skipping.
-EXACT_LIMIT = 1 << 20
+CHECKS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Indexes of vectors with larger components hold Python integers and skip nothing.
+EXACT_BITS = 25
 
 
 class ImpactIndex:
@@ -51,79 +56,83 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # so that ties go to smaller ids
-        self.ids, self.vectors = ids[order], vectors[order]
-        n, width = self.vectors.shape
-        self.wide = bool(np.abs(self.vectors).max(initial=0) > EXACT_LIMIT) if self.vectors.dtype != object else True
+        self.ids, vectors = ids[order], vectors[order]
+        n, width = vectors.shape
+        # Sums of up to width impacts of two components, and differences of them, are exact in doubles below it.
+        self.limit = (1 << EXACT_BITS) // max(width, 1)
+        self.wide = bool(np.abs(vectors).max(initial=0) > self.limit)
         if self.wide:
+            self.vectors = vectors
             return
-        dims, values, starts, postings, at = [], [], [], [], 0
-        self.codes = np.zeros((width, n), np.int32)  # each vector's segment in each dimension
-        for d in range(width):
-            column = self.vectors[:, d]
-            by = np.argsort(column, kind="stable")
-            new = np.flatnonzero(np.concatenate(([True], np.diff(column[by]) != 0)))
-            self.codes[d, by] = np.repeat(np.arange(len(new)), np.diff(np.append(new, n)))
-            dims += [d] * len(new)
-            values += column[by][new].tolist()
-            starts += (at + new).tolist()
-            postings.append(by.astype(np.int32))
-            at += n
-        self.dims, self.values = np.array(dims, np.int64), np.array(values, np.int64)
-        self.starts = np.array([*starts, at], np.int64)
-        self.postings = np.concatenate(postings) if postings else np.zeros(0, np.int32)
-        self.first = np.searchsorted(self.dims, np.arange(width))  # the first segment of each dimension
-        self.n_segments = np.bincount(self.dims, minlength=width)
-        self.doubles = self.vectors.astype(np.float64)  # products of limited components are exact
-
-    def search(self, query: np.ndarray, query_id, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, scores) of the k best, the query's own id left out."""
-        other = self.ids != query_id
-        if self.wide or (len(query) and max(abs(int(x)) for x in query) > EXACT_LIMIT):
-            members = np.flatnonzero(other)
-            scores = np.array([sum(int(a) * int(b) for a, b in zip(query, self.vectors[i])) for i in members], object)
-            return self._best(members, scores, k)
-        n, width = self.vectors.shape
-        q = query.astype(np.float64)
-        products = q[self.dims] * self.values
-        least = np.minimum.reduceat(products, self.first) if width else products
-        impacts = products - least[self.dims] if width else products
-        base = float(least.sum())
-        order = np.argsort(-impacts, kind="stable")
-        sizes = np.diff(self.starts)[order]
-        upto = np.cumsum(sizes)
-        total, begin, floor = int(upto[-1]) if len(upto) else 0, 0, -np.inf
-        # Each accumulator holds impact * 2 * width + the number of dimensions seen: exact in doubles.
-        unit, held = 2.0 * max(width, 1), np.zeros(n)
-        for share in CHECKS:
-            end = int(np.searchsorted(upto, share * total, side="right"))
-            if end <= begin or end >= len(order):
-                continue
-            segments = order[begin:end]
-            touched = np.concatenate([self.postings[a:b] for a, b in zip(self.starts[segments].tolist(), self.starts[segments + 1].tolist())])
-            held += np.bincount(touched, np.repeat(impacts[segments] * unit + 1.0, sizes[begin:end]), n)
-            begin = end
-            seen = np.mod(held, unit)
-            reached = (held - seen) / unit
-            lead = np.argpartition(-reached, min(4 * k, n - 1))[: 4 * k + 1]
-            lead = lead[other[lead]]
-            exact = self.doubles[lead] @ q
-            if len(exact) >= k:
-                floor = max(floor, float(np.partition(exact, len(exact) - k)[len(exact) - k]))
-            bound = base + reached + impacts[order[end]] * (width - seen)
-            members = np.flatnonzero((bound >= floor) & other)
-            if len(members) <= max(8 * k, n // 8):  # the proof leaves only these
-                return self._best(members, self.doubles[members] @ q, k)
-        # No proof: all segments that are left are added, dimension by dimension in the order of the vectors.
-        rest = impacts.copy()
-        rest[order[:begin]] = 0.0
-        reached = (held - np.mod(held, unit)) / unit
+        values, self.n_segments, self.codes = [], [], np.zeros((width, n), np.int16 if n < 1 << 15 else np.int32)
         for d in range(width):
-            reached += rest[self.first[d] : self.first[d] + self.n_segments[d]].take(self.codes[d])
-        members = np.flatnonzero(other)
-        if len(members) > k:
-            limit = np.partition(reached[members], len(members) - k)[len(members) - k]
-            members = members[reached[members] >= limit]
-        return self._best(members, self.doubles[members] @ q, k)
+            found, code = np.unique(vectors[:, d], return_inverse=True)
+            self.codes[d] = code
+            values.append(found)
+            self.n_segments.append(len(found))
+        self.values = np.concatenate([np.zeros(0, np.int64), *values])
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The first segment of each dimension, and the number of all."""
+        return np.concatenate(([0], np.cumsum(self.n_segments))).astype(np.int64)
+
+    @cached_property
+    def dims(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n_segments)), self.n_segments)
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """The number of vectors in each segment."""
+        return np.concatenate([np.zeros(0, np.int64), *(np.bincount(c, minlength=k) for c, k in zip(self.codes, self.n_segments))])
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Each vector's segment in each dimension."""
+        return self.codes.astype(np.intp) + self.first[:-1, None]
+
+    @cached_property
+    def doubles(self) -> np.ndarray:
+        return np.ascontiguousarray(self.values.astype(np.float64)[self.places].T)
+
+    def search(self, query: np.ndarray, query_id, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """(positions, scores) of the k best, the query's own id left out, and the share of the postings processed."""
+        alive = np.flatnonzero(self.ids != query_id)
+        if self.wide or (len(query) and max(abs(int(x)) for x in query) > self.limit):
+            vectors = self.vectors if self.wide else self.values[self.places].T
+            scores = np.array([sum(int(a) * int(b) for a, b in zip(query, vectors[i])) for i in alive], object)
+            return *self._best(alive, scores, k), 1.0
+        width, n = self.codes.shape
+        q, done = query.astype(np.float64), 0.0
+        if width and n:
+            products = q[self.dims] * self.values
+            least = np.minimum.reduceat(products, self.first[:-1])
+            impacts = products - least[self.dims]
+            most = np.maximum.reduceat(impacts, self.first[:-1])[self.dims]
+            order = np.argsort(-impacts, kind="stable")
+            upto, floor = np.cumsum(self.sizes[order]), -np.inf
+            places, base = self.places[:, alive] if len(alive) < n - 1 else self.places, float(least.sum())
+            whole = places is self.places  # the query's own column is masked below
+            for share in CHECKS:
+                end = int(np.searchsorted(upto, share * upto[-1], side="right"))
+                following = float(impacts[order[end]]) if end < len(order) else 0.0
+                # What a segment adds to a bound: its impact once it is processed, before that the most an unseen one can add.
+                gain = np.maximum(impacts, np.minimum(following, most))
+                bound = np.full(places.shape[1], base)
+                for row in places:
+                    bound += gain.take(row)
+                if whole:
+                    bound, whole = bound[alive], False
+                done = float(upto[end - 1] / upto[-1]) if end else 0.0
+                lead = alive[np.argpartition(-bound, 4 * k)[: 4 * k + 1]] if len(alive) > 4 * k + 1 else alive
+                exact = self.doubles[lead] @ q
+                if len(exact) >= k:
+                    floor = max(floor, float(np.partition(exact, len(exact) - k)[len(exact) - k]))
+                alive = alive[bound >= floor]
+                if len(alive) <= max(8 * k, n // 8):  # the proof leaves only these
+                    break
+                places = self.places[:, alive]
+        return *self._best(alive, self.doubles[alive] @ q, k), done
 
     @staticmethod
     def _best(members: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +174,7 @@ def top_k(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: st
         if len(asked) and len(indexed):
             built: ImpactIndex = pickle.loads(indexed["index"].iloc[0])
             for query_id, query in zip(asked["id"], matrix(asked["v"])):
-                at, scores = built.search(query, query_id, k)
+                at, scores, _ = built.search(query, query_id, k)
                 out += [(query_id, built.ids[i], int(s)) for i, s in zip(at, scores)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 

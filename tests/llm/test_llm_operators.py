@@ -98,8 +98,9 @@ def test_the_index_skips_segments_only_on_proof():
     near = rng.integers(20, 30, (40, 16))
     far = rng.integers(-30, 5, (4000, 16))
     index = topk.ImpactIndex(np.arange(4040), np.concatenate((near, far)))
-    at, scores = index.search(near[0], 0, 20)
-    exact = index.vectors @ near[0]
+    at, scores, share = index.search(near[0], 0, 20)
+    assert share < 0.55
+    exact = index.doubles @ near[0]
     exact[0] = -(1 << 40)
     order = np.lexsort((np.arange(4040), -exact))[:20]
     assert at.tolist() == order.tolist() and scores.tolist() == exact[order].tolist()
@@ -107,6 +108,35 @@ def test_the_index_skips_segments_only_on_proof():
     assert huge.search(np.array([1 << 40]), 0, 2)[1].tolist() == [1 << 81, 5 << 40]
 
 
+def test_every_query_of_the_given_table_stops_on_proof(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    vectors = np.floor(np.array([r["embedding"] for r in rows], np.float64) * 64).astype(np.int64)
+    index = topk.ImpactIndex(ids, vectors)
+    shares = []
+    for query in np.flatnonzero(ids % 20 == 0):
+        at, scores, share = index.search(vectors[query], ids[query], 20)
+        shares.append(share)
+        exact = vectors @ vectors[query]
+        best = [i for i in np.lexsort((ids, -exact)) if i != query][:20]
+        assert at.tolist() == best and scores.tolist() == exact[best].tolist()
+    assert len(shares) >= 50 and np.mean(np.array(shares) < 0.95) >= 0.99, np.mean(shares)
+    print(len(shares), np.mean(shares), max(shares))
+
+
+def test_components_beyond_exact_doubles_are_scored_as_integers():
+    rng = np.random.default_rng(9)
+    for width in (1, 64, 768):
+        limit = (1 << topk.EXACT_BITS) // width
+        for scale in (limit, 4 * limit):
+            vectors = rng.integers(-scale, scale + 1, (300, width))
+            vectors[5] = vectors[6]
+            at, scores, _ = topk.ImpactIndex(np.arange(300), vectors).search(vectors[5], 5, 20)
+            exact = [sum(int(a) * int(b) for a, b in zip(vectors[5], v)) for v in vectors]
+            best = sorted((i for i in range(300) if i != 5), key=lambda i: (-exact[i], i))[:20]
+            assert at.tolist() == best and [int(s) for s in scores] == [exact[i] for i in best]
+
+
 # 2. language
 
 
