@@ -358,6 +358,73 @@ def test_terms_that_disclose_an_entity_become_spans(spark):
     assert clean[500] == "the [TERM] report by [EMAIL] was sent" and clean[0] == common[0][1] and len(clean) == 203
 
 
+def brute_terms(texts):
+    """Term spans of each text by PMI over lines, straight from the definition."""
+    term = re.compile(r"[^\W\d_]{4,}")
+    lines, placed = [], []
+    for d, text in enumerate(texts):
+        at = 0
+        for line in text.split("\n"):
+            spans = brute_spans(line)
+            masked = list(line)
+            for _, a, b in spans:
+                masked[a:b] = " " * (b - a)
+            entities = {f"{k}:{line[a:b]}" for k, a, b in spans}
+            masked = "".join(masked)
+            lines.append((line, entities, {m[0].lower() for m in term.finditer(masked)} if entities else set(), {m[0] for m in term.finditer(line.lower())}))
+            placed.append((d, at, masked, entities))
+            at += len(line) + 1
+    n_c, n_t, n_ct, kinds = Counter(), Counter(), Counter(), defaultdict(set)
+    for line, entities, terms, every in lines:
+        n_c.update(entities)
+        n_t.update(every)
+        for c in entities:
+            for t in terms:
+                n_ct[c, t] += 1
+                kinds[c, t].add(line)
+    n, told = len(lines), defaultdict(set)
+    for (c, t), x in n_ct.items():
+        own = np.log2(n / n_c[c])
+        if len(kinds[c, t]) >= 2 and own > 0 and np.log2(n * x / (n_c[c] * n_t[t])) >= 0.9 * own:
+            told[c].add(t)
+    out = [set() for _ in texts]
+    for d, at, masked, entities in placed:
+        known = set().union(*(told[c] for c in entities))
+        out[d] |= {(at + m.start(), at + m.end()) for m in term.finditer(masked) if m[0].lower() in known}
+    return [sorted(x) for x in out]
+
+
+def test_term_spans_equal_brute_force(spark):
+    rng = random.Random(23)
+    values = ["a@b.cc", "ann@x.org", "+1 555 123 4567", "1.2.3.4", "4242424242424242"]
+    vocabulary = [f"{a}{b}word" for a in "abcdefgh" for b in "xyzw"]
+
+    def line():
+        some = rng.choices(vocabulary, weights=[1 + 40 // (i + 1) for i in range(len(vocabulary))], k=rng.randint(1, 6))
+        if rng.random() < 0.3:
+            who = rng.randrange(len(values))
+            some += [values[who]] * rng.randint(1, 2) + [f"secret{'abcde'[who]}name"] * (rng.random() < 0.8)
+            rng.shuffle(some)
+        return " ".join(some)
+
+    texts = ["\n".join(line() for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    texts += ["zebraword a@b.cc a@b.cc here\nzebraword a@b.cc a@b.cc there", "\n\n", ""] + ["footer bob@q.io contact"] * 40
+    rows = pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    expected = brute_terms(texts)
+    assert sum(map(len, expected)) > 20
+    for r in rows:
+        assert [(s["start"], s["end"]) for s in r["terms"]] == expected[r["id"]], texts[r["id"]]
+
+
+def test_a_long_line_of_many_addresses(spark):
+    text = " ".join(f"user{i}@host{i}.org next" for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "\n" * 20_000 + "x@y.zz")], "doc_id long, text string")
+    got = {r["id"]: [(s["start"], s["end"]) for s in r["base"]] for r in pii.found(df).collect()}
+    assert got == {1: [(a, b) for _, a, b in brute_spans(text)], 2: [(20_000, 20_006)]}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert clean[1] == " ".join(["[EMAIL] next"] * 3000)
+
+
 def test_sanitising_replaces_overlapping_spans_once(spark):
     df = spark.createDataFrame([(1, "call +1234567890 1.1.1.1 now"), (2, None), (3, "a@b.cc_d@e.ff")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
