@@ -519,6 +519,33 @@ def test_templates_of_high_blocked_purity_are_rejected(spark):
     assert got[400] == (None, "block") and got[401] == (None, "allow") and got[200] == ("bad.net/news/", "allow")
 
 
+def test_templates_decide_where_no_rule_fits(spark):
+    rows = QUERIES["op7_url_filters"](spark, "/root/testdata/sf0.1").filter("rule is null").collect()
+    blocked = [r for r in rows if r["verdict"] == "block"]
+    # /es/ is blocked wherever a rule knows it; /de/ is blocked in one place and allowed in another, /en/ mostly allowed.
+    assert len(blocked) >= 100 and {r["path"][:4] for r in blocked} == {"/es/"}
+    spanish = [r for r in rows if r["path"].startswith("/es/")]
+    assert len(blocked) >= 2 / 3 * len(spanish)
+    for r in rows:
+        assert (r["purity"] >= urls.REJECT_PURITY) == (r["verdict"] == "block")
+
+
+def test_purity_is_smoothed_from_template_to_host_to_all(spark):
+    seen = [("a.net", "/x/1", "block")] * 6 + [("b.net", "/x/2", None)] * 2 + [("b.net", "/y", "allow")] * 3
+    rows = spark.createDataFrame([(h, p.strip("/").split("/"), v) for h, p, v in seen], "host string, t0 array<string>, verdict string")
+    got = {(r["host"], r["template"]): r["purity"] for r in urls.templates(rows).collect()}
+    everywhere = (6 + 1) / (9 + 2)
+    a, b = (6 + 4 * everywhere) / (6 + 4), (0 + 4 * everywhere) / (3 + 4)
+    assert got["a.net", "/x/1"] == pytest.approx((6 + 4 * (6 + 4 * a) / 10) / 10)
+    assert got["b.net", "/x/2"] == pytest.approx(b) and got["b.net", "/y"] == pytest.approx((4 * (4 * b) / 7) / 7)
+
+
+def test_deep_paths_are_kept_whole(spark):
+    rows = [(i, f"http://h.net/{'a/' * 12}{name}/end") for i, name in enumerate("bcdefghijklmnopqrstuvwxyz")] + [(50, "http://h.net/" + "b/" * 300 + "z")]
+    got = {r["page_id"]: r["template"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[0] == "/" + "a/" * 12 + "*/end" and got[50] == "/" + "b/" * 300 + "z"
+
+
 def test_nodes_of_many_rare_children_become_wildcards(spark):
     rows = [(i, f"http://h.net/user/{name}/posts") for i, name in enumerate("abcdefghijklmnopqrstuvwxyz")]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).select("template").distinct().collect()
