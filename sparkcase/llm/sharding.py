@@ -8,12 +8,14 @@ moves only the slots it must. Everything is DataFrame and SQL expressions.
 
 The number of slots is fixed, so the map is bounded (4,096 rows by default) and
 may be broadcast however much data there is. A hot source or group of equal
-texts does no harm, as only the id decides the slot; a repeated id lands in one
-slot with all its rows.
-
-Nulls: a null text has 0 bytes and the checksum of an empty text. A null id is
-hashed like the text "null". Repeated rows each get their own place. An empty
-table gives an empty result.
+texts does no harm, as only the id decides the slot. Places within a slot are
+numbered in SUBSLOTS parts (by a hash of the whole record), so that neither a
+slot nor a repeated id is one task: the sizes of all parts are a bounded table.
+
+Nulls: a null text has 0 bytes and the checksum of an empty text. Rows of null
+id are dealt by their texts. Repeated rows each get their own place; only equal
+rows of one id share a part. An empty table gives an empty result. Columns named
+like the outputs are replaced, others are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ SLOTS = 4096
 SHARDS = 24
 OVERHEAD_BYTES = 8
 LAW = "bytes"
+SUBSLOTS = 64
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """df's id with the record's size, its text's checksum and its virtual slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), text)))
     return df.select(
         F.col(id_col),
         (F.octet_length(text) + F.lit(OVERHEAD_BYTES)).cast("long").alias("size"),
@@ -41,9 +44,13 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot
     )
 
 
-def slot_stats(rows: DataFrame) -> DataFrame:
-    """Bytes and rows of each virtual slot that has any."""
-    return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+def slot_stats(rows: DataFrame, slots: int | None = None) -> DataFrame:
+    """Bytes and rows of each virtual slot that has any; with slots, of all of these, so that a map of them can place any later record."""
+    stats = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    if slots is None:
+        return stats
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+    return every.join(stats, "vslot", "left").fillna(0, ["bytes", "rows"])
 
 
 def build_map(stats: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -90,37 +97,66 @@ def grow_map(slot_map: DataFrame, shards: int) -> DataFrame:
 
 def write_map(slot_map: DataFrame, path: str) -> DataFrame:
     """Appends a version of a map to its table and reads that version back."""
+    spark = slot_map.sparkSession
+    version = slot_map.agg(F.max("version")).first()[0]
+    if version is None:  # a map of an empty table
+        return slot_map
     slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
-    return slot_map.sparkSession.read.schema(slot_map.schema).parquet(path)
+    return read_map(spark, path, version)
+
+
+def read_map(spark, path: str, version: int | None = None) -> DataFrame:
+    """One version of a map's table: the latest by default."""
+    table_ = spark.read.parquet(path).select("version", "vslot", "shard", "bytes", "rows")
+    if version is None:
+        version = table_.agg(F.max("version")).first()[0]
+    return table_.filter(F.col("version") == version)
+
+
+def rebalance(rows: DataFrame, path: str, shards: int) -> DataFrame:
+    """Writes the next version of the map at path, for one shard more and the sizes that rows have now; returns it."""
+    latest = read_map(rows.sparkSession, path)
+    now = latest.select("version", "vslot", "shard").join(slot_stats(rows), "vslot", "left").fillna(0, ["bytes", "rows"])
+    return write_map(grow_map(now, shards), path)
 
 
 def assign(rows: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """rows with shard and slot, the row's gapless place in its shard.
 
-    Places run by virtual slot, then id. The window covers one virtual slot at
-    a time; the places before a slot are sums over the bounded map.
+    Places run by virtual slot, then part. The window covers one part of a
+    virtual slot at a time; the places before it are sums over a bounded table
+    of at most SUBSLOTS counts a slot.
     """
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slot_map.select("vslot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("vslot").orderBy(id_col, "size", "text_crc32")
+    part = F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(SUBSLOTS)).cast("int")
+    rows = rows.withColumn("part", part)
+    counts = rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("vslot", "part", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("vslot", "part").orderBy(id_col, "size", "text_crc32")
     return (
         rows.withColumn("place", F.row_number().over(within) - 1)
-        .join(F.broadcast(bases), "vslot")  # at most SLOTS rows
+        .join(F.broadcast(bases), ["vslot", "part"])  # at most SLOTS * SUBSLOTS rows
         .withColumn("slot", (F.col("base") + F.col("place")).cast("long"))
-        .drop("base", "place")
+        .drop("base", "place", "part")
     )
 
 
 def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Each record's id, size, checksum, virtual slot, shard and place; the map is kept as a table."""
+    """Each record's id, size, checksum, virtual slot, shard and place, and next_shard, its shard once there is one more.
+
+    Both versions of the map are kept as a table: the second is the edit that a rebalancing makes.
+    """
     rows = measured(df, id_col, text_col, slots)
-    slot_map = write_map(build_map(slot_stats(rows), shards), fresh_path(df.sparkSession, "slotmap"))
-    return assign(rows, slot_map, id_col)
+    path = fresh_path(df.sparkSession, "slotmap")
+    first = write_map(build_map(slot_stats(rows, slots), shards), path)
+    second = write_map(grow_map(first, shards), path)
+    later = F.broadcast(second.select("vslot", F.col("shard").cast("int").alias("next_shard")))  # at most SLOTS rows
+    return assign(rows, first, id_col).join(later, "vslot")
 
 
 def op10_sharding(spark, sf_dir):
     placed = shard(table(spark, sf_dir, "documents"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "vslot",
+        F.lit(None).cast("int").alias("grown_shard"), "vslot", "next_shard",
     )

@@ -692,6 +692,28 @@ def test_sharding_of_odd_rows(odd):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
 
 
+def test_versions_of_the_map_stay_apart(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(200)], "doc_id long, text string")
+    rows, path = sharding.measured(docs, slots=64), f"{tmp_path}/map"
+    first = sharding.write_map(sharding.build_map(sharding.slot_stats(rows, 64), 5), path)
+    second = sharding.write_map(sharding.grow_map(first, 5), path)
+    assert {r["version"] for r in second.collect()} == {2} and first.count() == second.count() == sharding.read_map(spark, path).count()
+    old = {r["doc_id"]: r["shard"] for r in sharding.assign(rows, sharding.read_map(spark, path, 1)).collect()}
+    new = {r["doc_id"]: r["shard"] for r in sharding.assign(rows, second).collect()}
+    assert len(old) == len(new) == 200 and all(new[i] in (old[i], 5) for i in old) and 5 in new.values()
+    more = docs.unionByName(spark.createDataFrame([(i, "y" * 9) for i in range(200, 400)], docs.schema))
+    third = sharding.rebalance(sharding.measured(more, slots=64), path, 6)
+    assert {r["version"] for r in third.collect()} == {3} and third.agg(F.sum("rows")).first()[0] == 400
+
+
+def test_repeated_and_null_ids_get_places_of_their_own(spark):
+    docs = spark.createDataFrame([(None, f"text {i % 40}") for i in range(200)] + [(7, f"other {i}") for i in range(200)], "doc_id long, text string")
+    rows = sharding.shard(docs, shards=3).collect()
+    assert len(rows) == 400 and len({r["vslot"] for r in rows}) > 10
+    for s in range(3):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
 # the pipeline
 
 
