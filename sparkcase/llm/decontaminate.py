@@ -1,12 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The items' words, as numbers, go into suffix automata of bounded size, which
-the driver builds from one bounded chunk of items after another and broadcasts.
-Each task streams its documents' words through them: the automaton gives the
-longest match that ends at each word, so every occurrence of a window of WINDOW
-item words (or of a whole shorter item) is found without hashing windows.
-Documents are not shuffled. With several chunks the hits are united per word,
-so the result does not depend on the chunking.
+The items' words, as numbers, go into suffix automata of bounded size, built in
+tasks from one chunk of items each and written as a table (an item longer than a
+chunk goes in overlapping parts, which have the same windows). Each task streams
+its documents' words through an automaton: it gives the longest match that ends
+at each word, so every occurrence of a window of WINDOW item words (or of a whole
+shorter item) is found without hashing windows. One chunk is broadcast at a time
+(its size is bounded by CHUNK_WORDS). With a single chunk documents are not
+shuffled. With several, each makes a pass over the texts that writes the hits of
+each hit text; they are united per word and joined to the documents by the
+text's digest, so the result does not depend on the chunking.
 
 Nulls: a null text has no words. Items with a null id or without words are
 left out. An item id that several rows have counts once. Extra columns of the
@@ -16,8 +19,10 @@ work: without items nothing is hit, without documents there are no rows.
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -27,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
-from .common import append_columns, table, utf8, word_list
+from .common import append_columns, halved, table, utf8, without, word_list, written
 
 WINDOW = 13
-#: A broadcast automaton holds at most about so many words (a longer item has its own).
+#: A broadcast automaton holds about so many words.
 CHUNK_WORDS = 200_000
 #: A document is contaminated from one hit word in so many.
 COVERAGE = 20
@@ -106,19 +111,54 @@ class ItemMatcher:
                         found.add(item)
 
 
-def item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_words: int):
-    """Lists of (item, words), each of bounded size; the driver holds one at a time."""
-    chunk, held = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).dropna()
-    for item, text in rows.distinct().toLocalIterator():
-        if words := word_list(text.encode()):
-            if chunk and held + len(words) > chunk_words:
-                yield chunk
-                chunk, held = [], 0
-            chunk.append((item, words))
-            held += len(words)
-    if chunk:
-        yield chunk
+def automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, chunk_words: int) -> tuple[DataFrame, int]:
+    """The pickled matchers of a benchmark's items, as a table (chunk, matcher), and the number of chunks."""
+    longest = max(chunk_words, 2 * window)
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna().distinct()
+
+    def parts(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), utf8(batch.column("text"))):
+                words = word_list(text)
+                for at in range(0, max(len(words) - window + 1, min(len(words), 1)), longest - window + 1):
+                    out.append((item, b" ".join(words[at : at + longest]), min(len(words) - at, longest)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())],
+                names=["item", "words", "n"],
+            )
+
+    items = written(rows.mapInArrow(parts, "item string, words binary, n long"), "items")
+    chunks = -(-(items.agg(F.sum("n")).first()[0] or 0) // chunk_words)
+
+    def build(group: pa.Table) -> pa.Table:
+        matcher = ItemMatcher([(i, w.split()) for i, w in zip(group["item"].to_pylist(), group["words"].to_pylist())], window)
+        return pa.table({"chunk": group["chunk"][:1], "matcher": pa.array([pickle.dumps(matcher)], pa.binary())})
+
+    dealt = items.withColumn("chunk", F.pmod(F.xxhash64("item", "words"), F.lit(max(chunks, 1))).cast("int"))
+    return written(dealt.groupBy("chunk").applyInArrow(build, "chunk int, matcher binary"), "automata"), chunks
+
+
+def marked(matcher: ItemMatcher, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    """Which words lie inside a window's occurrence, and the items found."""
+    hit, found = np.zeros(len(words), bool), set()
+    if words:
+        matcher.mark(words, hit, found)
+    return hit, found
+
+
+def runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])))).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def _fields(texts: list[bytes | None], hits: list[np.ndarray], found: list[set[str]]) -> list[pa.Array]:
+    return [
+        pa.array([len(h) for h in hits], pa.int64()),
+        pa.array([int(h.sum()) for h in hits], pa.int64()),
+        pa.array([sorted(f) for f in found], pa.list_(pa.string())),
+        pa.array([spans(t, h) for t, h in zip(texts, hits)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    ]
 
 
 def scan(
@@ -130,44 +170,78 @@ def scan(
     hit_spans holds the code points (end exclusive) of the runs of hit words.
     """
     context = documents.sparkSession.sparkContext
-    matchers = [
-        context.broadcast(pickle.dumps(ItemMatcher(chunk, window)))
-        for chunk in item_chunks(benchmark, item_col, item_text_col, chunk_words)
-    ]
+    built, chunks = automata(benchmark, item_col, item_text_col, window, chunk_words)
+    if chunks > 1:
+        return _scan_in_passes(documents, built, chunks, text_col)
+    blob = context.broadcast(built.first()["matcher"]) if chunks else None
 
     def make():
-        only = pickle.loads(matchers[0].value) if len(matchers) == 1 else None
+        matcher = pickle.loads(blob.value) if blob else None
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = utf8(batch.column(text_col))
             words = [word_list(t or b"") for t in texts]
-            hits = [np.zeros(len(w), bool) for w in words]
-            found: list[set[str]] = [set() for _ in words]
-            for blob in matchers:  # one automaton in memory at a time
-                matcher = only or pickle.loads(blob.value)
-                for row in zip(words, hits, found):
-                    if row[0]:
-                        matcher.mark(*row)
-            return [
-                pa.array([len(w) for w in words], pa.int64()),
-                pa.array([int(h.sum()) for h in hits], pa.int64()),
-                pa.array([sorted(f) for f in found], pa.list_(pa.string())),
-                pa.array([spans(t, h) for t, h in zip(texts, hits)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-            ]
+            both = [marked(matcher, w) if matcher else (np.zeros(len(w), bool), set()) for w in words]
+            return _fields(texts, [h for h, _ in both], [f for _, f in both])
 
         return compute
 
     return append_columns(documents, FIELDS, make)
 
 
+def _scan_in_passes(documents: DataFrame, built: DataFrame, chunks: int, text_col: str) -> DataFrame:
+    """As scan, one pass over the texts a chunk: only the hits of texts that have any are kept between passes."""
+    context, passes = documents.sparkSession.sparkContext, []
+    schema = "__digest string, __runs array<struct<a:int,b:int>>, __items array<string>"
+    for chunk in range(chunks):
+        row = built.filter(F.col("chunk") == chunk).first()
+        if row is None:  # no item was dealt to it
+            continue
+        blob = context.broadcast(row["matcher"])
+
+        def run(batches, blob=blob):
+            matcher = pickle.loads(blob.value)
+            for batch in batches:
+                for part in halved(batch):
+                    out = []
+                    for text in utf8(part.column(0)):
+                        hit, found = marked(matcher, word_list(text or b""))
+                        if found:
+                            out.append((hashlib.sha256(text).hexdigest(), [{"a": a, "b": b} for a, b in runs(hit)], sorted(found)))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([x[0] for x in out], pa.string()),
+                        pa.array([x[1] for x in out], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                        pa.array([x[2] for x in out], pa.list_(pa.string())),
+                    ], names=["__digest", "__runs", "__items"])
+
+        # Equal texts have equal hits: one row a text and pass.
+        passes.append(written(documents.select(text_col).mapInArrow(run, schema).dropDuplicates(["__digest"]), "hits"))
+        blob.unpersist()
+    every = reduce(DataFrame.unionByName, passes).groupBy("__digest").agg(
+        F.flatten(F.collect_list("__runs")).alias("__runs"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+    joined = without(documents, ["__digest", "__runs", "__items"]).withColumn("__digest", F.sha2(text_col, 256)).join(written(every, "hits"), "__digest", "left")
+
+    def make():
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = utf8(batch.column(text_col))
+            hits = [np.zeros(len(word_list(t or b"")), bool) for t in texts]
+            for hit, some in zip(hits, batch.column("__runs").to_pylist()):
+                for r in some or ():
+                    hit[r["a"] : r["b"]] = True
+            return _fields(texts, hits, [set(x or ()) for x in batch.column("__items").to_pylist()])
+
+        return compute
+
+    return append_columns(joined, FIELDS, make).drop("__digest", "__runs", "__items")
+
+
 def spans(text: bytes | None, hit: np.ndarray) -> list[dict[str, int]]:
     """Code points of the runs of hit words of a text."""
     if not hit.any():
         return []
     # ASCII letters keep their places when lower-cased; other letters are words either way.
     at = [m.span() for m in _WORD.finditer(text.decode().translate(_LOWER))]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])))).tolist()
-    return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])]
+    return [{"start": at[a][0], "end": at[b - 1][1]} for a, b in runs(hit)]
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
