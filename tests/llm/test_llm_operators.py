@@ -167,6 +167,42 @@ def test_cross_parsing_counts_longest_phrases():
     assert counts.tolist() == [[brute(t, "abracadabra") for t in texts], [brute(t, "zzzyyy") for t in texts]]
 
 
+def test_long_texts_are_parsed_as_one(monkeypatch):
+    rng = random.Random(31)
+    sample = {"a": ["".join(rng.choice("abc ") for _ in range(400))], "b": ["ab" * 100 + "cacb"], "c": ["c"]}
+    parser = language.CrossParser(sample)
+
+    def brute(text, learned):
+        count = at = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in learned:
+                size += 1
+            at, count = at + size, count + 1
+        return count
+
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 300))) for _ in range(40)] + ["ab" * 400, "ab" * 60 + "x" + "ba" * 90, "", "c" * 77]
+    plain = {k: language._plain(v[0]).decode() for k, v in sample.items()}
+    for stretch in (512, 16, 3, 1):
+        monkeypatch.setattr(language, "STRETCH", stretch)
+        counts, sizes = parser.phrases(texts)
+        assert sizes.tolist() == [len(t) for t in texts]
+        assert counts.tolist() == [[brute(t, plain[k]) for t in texts] for k in sorted(plain)], stretch
+
+
+def test_languages_of_large_alphabets_stay_apart():
+    rng = random.Random(37)
+
+    def words(first, last, n):
+        known = ["".join(chr(rng.randint(first, last)) for _ in range(rng.randint(2, 6))) for _ in range(60)]
+        return lambda: " ".join(rng.choice(known) for _ in range(n))
+
+    make = {"en": words(97, 122, 40), "fr": words(97, 122, 40), "ru": words(0x430, 0x44F, 40), "uk": words(0x430, 0x44F, 40), "zh": words(0x4E00, 0x5E00, 40), "ja": words(0x4E00, 0x5E00, 40)}
+    parser = language.CrossParser({k: [f() for _ in range(30)] for k, f in make.items()})
+    for k, f in make.items():
+        assert [x for x, _ in parser.predict([f().upper() for _ in range(10)])] == [k] * 10
+
+
 def test_language_of_odd_rows(spark, odd):
     model = language.fit(spark.createDataFrame([(1, "hello there world", "en"), (2, "bonjour le monde", "fr"), (3, None, "fr"), (4, "x", None)], "doc_id long, text string, lang string"))
     got = {(r["doc_id"]): (r["lang_pred"], r["score"]) for r in language.predict(odd, model).collect()}
