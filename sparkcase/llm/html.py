@@ -5,11 +5,15 @@ script and style, and end tags implied by what follows (p, li, dt, dd, option,
 table parts). Invisible are head parts, scripts, styles, templates, comments,
 and elements hidden by attribute or inline style. Everything else is emitted in
 order: blocks on their own lines, paragraphs and headings apart by an empty
-line, list items with bullets or numbers indented by nesting, preformatted text
-as it is, and tables with their cells aligned in columns.
-
-Nulls: a null page has a null text and 0 blocks; an empty one an empty text.
-Pages of any length are rendered whole; nesting beyond MAX_DEPTH is flattened.
+line, list items with bullets or numbers (from the list's start or their own
+value) indented by nesting, preformatted text as it is, text of svg and math, and
+tables with their cells aligned in columns, cells that span columns or rows
+included. A cell of more than ALIGNED characters in a line goes over its column's
+edge, so that no line is padded to it; its text is whole.
+
+Nulls: a null page has a null text and 0 blocks; an empty one an empty text. An
+empty table gives no rows. Pages of any length are rendered whole; elements
+nested beyond MAX_DEPTH are not indented further, but hide their text if hidden.
 Repeated rows are rendered alike; columns named like the outputs are replaced.
 """
 
@@ -29,9 +33,12 @@ from .common import append_columns, table
 #: Fixed sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript meta link iframe object audio video canvas svg math datalist noembed noframes".split())
+HIDDEN = frozenset(
+    "head script style title template noscript meta link iframe object audio video canvas datalist noembed noframes annotation annotation-xml".split()
+)
+SVG_HIDDEN = frozenset("desc defs metadata symbol".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
-BLOCK = APART | frozenset("html body div article section nav header footer aside main address li dt dd form details summary figcaption center tr caption".split())
+BLOCK = APART | frozenset("html body div article section nav header footer aside main address li dt dd form details summary figcaption center tr caption svg:text".split())
 CLOSES_P = BLOCK - frozenset("html body tr caption".split())
 #: An opening tag ends these open elements, up to a border.
 IMPLIED_END = {
@@ -43,10 +50,14 @@ IMPLIED_END = {
 }
 SCOPES = frozenset("table td th html body button".split())
 MAX_DEPTH = 200
+ALIGNED = 120
+#: Fixed limits of the HTML standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?|([^<]++)|<", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
+_INTEGER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _STYLE_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -63,6 +74,10 @@ class Node:
                 return unescape(value.strip("\"'"))
         return None
 
+    def number(self, name: str) -> int | None:
+        found = _INTEGER.match(self.attribute(name) or "")
+        return int(found[1]) if found else None
+
     def visible(self) -> bool:
         if self.tag in HIDDEN:
             return False
@@ -113,6 +128,8 @@ def parse(html: str) -> Node:
                 stack[-1].children.append("<")
         elif end:
             tag = tag.lower()
+            if tag == "text" and any(x.tag == "svg:text" for x in stack):
+                tag = "svg:text"
             if stack[-1].tag not in RAW and held[tag] > 0:
                 drop(next(i for i in range(len(beyond) - 1, -1, -1) if beyond[i][0] == tag))
                 continue
@@ -135,6 +152,9 @@ def parse(html: str) -> Node:
                 stack[-1].children.append(row)
                 stack.append(row)
             hidden = bool(beyond) and beyond[-1][1]
+            if tag in SVG_HIDDEN or tag == "text":
+                if any(x.tag == "svg" for x in stack):
+                    attributes, tag = (attributes, "svg:text") if tag == "text" else (f" hidden {attributes}", tag)
             node = Node(tag, attributes)
             if not hidden:
                 stack[-1].children.append(node)
@@ -182,7 +202,8 @@ class Renderer:
         return inner.lines
 
     def walk(self, node: Node) -> None:
-        number = 0
+        number = (node.number("start") if node.tag == "ol" else None) or 0
+        number -= node.tag == "ol" and node.number("start") is not None
         for child in node.children:
             if isinstance(child, str):
                 self.inline.append(unescape(child) if "&" in child else child)
@@ -207,7 +228,8 @@ class Renderer:
                 elif tag == "table":
                     self.whole(self.aligned(child))
                 elif tag == "li":
-                    number += 1
+                    own = child.number("value")
+                    number = number + 1 if own is None else own
                     mark = f"{number}. " if node.tag == "ol" else "- "
                     lines = self.nested(child)
                     self.whole([(mark if i == 0 else " " * len(mark)) + line if line else line for i, line in enumerate(lines)])
@@ -251,10 +273,15 @@ class Renderer:
                 captions.extend(self.nested(stray))
                 stray.children = []
 
-        def cells(node: Node, row: list[list[str]]) -> None:
+        def cell(node: Node) -> tuple[list[str], int, int]:
+            """The cell's lines and how many columns and rows it spans."""
+            columns, down = (min(max(node.number(k) or 1, 1), most) for k, most in (("colspan", MOST_COLUMNS), ("rowspan", MOST_ROWS)))
+            return self.nested(node), columns, down
+
+        def cells(node: Node, row: list[tuple[list[str], int, int]]) -> None:
             for child in node.children:
                 if not isinstance(child, str) and child.visible() and child.tag in ("td", "th"):
-                    row.append(self.nested(child))
+                    row.append(cell(child))
                 elif not isinstance(child, str) and child.visible() and child.tag == "form":
                     cells(child, row)
                 else:
@@ -275,19 +302,47 @@ class Renderer:
                 elif child.tag in ("tbody", "thead", "tfoot", "form"):
                     collect(child)
                 elif child.tag in ("td", "th"):  # in a form outside rows
-                    rows.append([self.nested(child)])
+                    rows.append([cell(child)])
                 else:
                     stray.children.append(child)
 
         collect(table)
         leave()
-        columns = max(map(len, rows), default=0)
-        width = [max((len(line) for r in rows if c < len(r) for line in r[c]), default=0) for c in range(columns)]
-        lines = list(captions)
+        placed, held = [], {}  # held: for a column, how many rows a cell above still takes
         for r in rows:
-            for i in range(max(map(len, r), default=0)):
-                lines.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[c]) for c, cell in enumerate(r)))
-        return lines
+            at, line = 0, []
+            for lines, columns, down in r:
+                while held.get(at, 0) > 0:
+                    at += 1
+                line.append((at, columns, lines))
+                at += columns
+            for c in [c for c in held if held[c] > 0]:
+                held[c] -= 1
+            for (c, columns, _), (_, _, down) in zip(line, r):
+                if down > 1:
+                    held.update({x: max(held.get(x, 0), down - 1) for x in range(c, c + columns)})
+            placed.append(line)
+        width: Counter[int] = Counter()
+        for line in placed:
+            for c, columns, lines in line:
+                if columns == 1:
+                    width[c] = max(width[c], max((len(x) for x in lines if len(x) <= ALIGNED), default=0))
+        edge = [0]
+        for c in range(max((c + columns for line in placed for c, columns, _ in line), default=0)):
+            edge.append(edge[-1] + (width[c] + 2 if width[c] else 0))
+        out = list(captions)
+        for line in placed:
+            for i in range(max((len(lines) for _, _, lines in line), default=0)):
+                text: list[str] = []
+                end = 0
+                for c, _, lines in line:
+                    if i < len(lines) and lines[i]:
+                        # At its column's edge, or two blanks after what goes over it.
+                        begin = max(edge[c], end + 2 if end else 0)
+                        text.append(" " * (begin - end) + lines[i])
+                        end = begin + len(lines[i])
+                out.append("".join(text))
+        return out
 
 
 def rendered(html: str) -> tuple[str, int]:

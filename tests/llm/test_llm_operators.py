@@ -615,6 +615,98 @@ def test_text_in_malformed_tables_and_beyond_the_depth(page, text):
     assert html.rendered(page)[0] == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<ol start=3><li>x<li value=9>y<li>z</ol>", "3. x\n9. y\n10. z"), ("<ol start=0><li>x</ol>", "0. x"), ("<ol start=a><li>x</ol>", "1. x"),
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>22<td>3</table>", "ab     c\n1  22  3"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
+    ("<svg><title>no</title><desc>no</desc><text>one</text><text>two</text></svg>", "one\ntwo"), ("<text>a</text>b", "ab"),
+    ("<table><tr><td>" + "w" * 500 + "<td>x<tr><td>a<td>b</table>", "w" * 500 + "  x\na  b"),
+])
+def test_spans_numbers_and_drawings(page, text):
+    assert html.rendered(page)[0] == text
+
+
+def test_every_visible_word_comes_once_and_in_order():
+    """Random trees, written as pages with and without end tags, against a walk of the trees."""
+    rng, count = random.Random(41), [0]
+
+    def tree(depth, inside):
+        if depth <= 0 or rng.random() < 0.3:
+            count[0] += 1
+            return f"word{count[0]}"
+        tag = rng.choice(["div", "span", "ul", "ol", "blockquote", "b", "section", "table", "svg", "math", "pre", "script", "p"])
+        if inside == "p" and tag in ("div", "ul", "ol", "blockquote", "section", "table", "pre", "p"):
+            tag = "span"
+        hidden = rng.random() < 0.1
+        n = rng.randint(0, 4)
+        inner = "p" if tag == "p" or inside == "p" else None
+        if tag == "table":
+            return (tag, hidden, [("tr", False, [("td", rng.random() < 0.1, [tree(depth - 2, None)]) for _ in range(rng.randint(1, 3))]) for _ in range(n)])
+        if tag in ("ul", "ol"):
+            return (tag, hidden, [("li", rng.random() < 0.1, [tree(depth - 1, None)]) for _ in range(n)])
+        if tag == "script":
+            return (tag, hidden, [f"no{rng.random()}"])
+        return (tag, hidden, [tree(depth - 1, inner) for _ in range(n)])
+
+    def page(x):
+        if isinstance(x, str):
+            return f" {x} "
+        tag, hidden, children = x
+        style = rng.choice([" hidden", ' style="display:none"', " HIDDEN=''"]) if hidden else ""
+        end = "" if tag in ("li", "td", "tr") and rng.random() < 0.5 else f"</{tag}>"
+        return f"<{tag}{style}>{''.join(map(page, children))}{end}"
+
+    def visible(x):
+        if isinstance(x, str):
+            return [x]
+        tag, hidden, children = x
+        return [] if hidden or tag == "script" else [w for c in children for w in visible(c)]
+
+    def flat(x):  # no table row has cells of several lines, so words keep their order
+        return isinstance(x, str) or (x[0] != "table" or all(isinstance(c, str) for r in x[2] for d in r[2] for c in d[2])) and all(map(flat, x[2]))
+
+    in_order = 0
+    for _ in range(400):
+        body = ("div", False, [tree(5, None) for _ in range(4)])
+        got = re.findall(r"word[0-9]+", html.rendered(page(body))[0])
+        assert sorted(got) == sorted(visible(body)), body
+        if flat(body):
+            in_order += 1
+            assert got == visible(body), body
+    assert in_order > 100
+
+
+def test_cells_begin_at_their_columns_edges():
+    rng = random.Random(43)
+    for _ in range(200):
+        n_columns = rng.randint(1, 5)
+        rows, page = [], []
+        for _ in range(rng.randint(1, 5)):
+            at, row = 0, []
+            while at < n_columns:
+                span = rng.randint(1, min(2, n_columns - at))
+                row.append((at, span, "w" * rng.randint(1, 9) if span == 1 else "s"))
+                at += span
+            rows.append(row)
+            page.append("<tr>" + "".join(f"<td colspan={s}>{t}</td>" for _, s, t in row))
+        width = [max([len(t) for r in rows for c, s, t in r if s == 1 and c == k], default=0) for k in range(n_columns)]
+        edge = [sum(w + 2 for w in width[:k] if w) for k in range(n_columns)]
+        lines = html.rendered(f"<table>{''.join(page)}</table>")[0].split("\n")
+        assert len(lines) == len(rows)
+        for line, row in zip(lines, rows):
+            drawn = [" "] * 200
+            if any(edge[c] == edge[d] for (c, _, _), (d, _, _) in zip(row, row[1:])):
+                continue  # columns that only spanning cells have
+            for c, _, t in row:
+                drawn[edge[c] : edge[c] + len(t)] = t
+            assert line == "".join(drawn).rstrip()
+
+
+def test_wide_cells_do_not_pad_other_rows():
+    page = "<table><tr><td>" + "w" * 200_000 + "<td>x" + "<tr><td>a<td>b" * 5000 + "</table>"
+    assert len(html.rendered(page)[0]) < 300_000
+
+
 def test_deep_and_long_pages(spark):
     assert html.rendered("<div>" * 5000 + "x")[0] == "x"
     assert html.rendered("<a href=\"" * 20_000)[1] == 0
