@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,17 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) is a local one made and set.
+    Only where a local session names none (as in tests) is a local one made and
+    set; on a cluster a folder of one machine would lose what others write.
     """
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir():
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
         return found
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sparkcase-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sparkcase-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: The paths handed out in this process and not deleted yet.
+_made: list[str] = []
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -55,6 +65,13 @@ def delete(spark: SparkSession, path: str) -> None:
     """Removes a table written by this module, through Hadoop's file system."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def made() -> list[str]:
+    """The tables written so far; those of a step may be deleted once its own result is written."""
+    return list(_made)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ SCALE = 64.0
 BLOCK_VECTORS = 16_384
 BLOCK_QUERIES = 2_048
 #: Shares of the postings after which the bounds are looked at.
-CHECKS = (0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+CHECKS = (0.6, 0.7, 0.8, 0.9, 1.0)
 #: Indexes of vectors with larger components hold Python integers and skip nothing.
 EXACT_BITS = 25
 

@@ -845,6 +845,41 @@ def test_repeated_and_null_ids_get_places_of_their_own(spark):
 # the pipeline
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, lang_pred string, score string, lettered int, n_words string, n_hit string, item_ids int, hit_spans string, ids string"
+    texts = ["the first document is about some things", "another one of other things to say", None, "", "12", "the first document is about some things", "w " * 50_000]
+    rows = [(i, t, "en", "s", len(t or ""), "MINE", "own", 7, "mine", "x", 3, "spans", "i") for i, t in enumerate([*texts, texts[1]])] + [(None, texts[0], "en", "s", 1, "MINE", "own", 7, "mine", "x", 3, "spans", "i")]
+    docs = spark.createDataFrame([*rows, rows[0]], schema)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == docs.columns
+            for r in out.collect():
+                assert (r["lang_pred"], r["score"], r["lettered"], r["n_words"], r["n_hit"], r["item_ids"], r["hit_spans"], r["ids"]) == ("MINE", "own", 7, "mine", "x", 3, "spans", "i")
+        last = corpus_pipeline.STAGES[-1][1](spark, table, SF)
+        assert last.count() == table.count()
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert sorted(k for k in kept if k is not None) == [0, 1, 2, 3, 4, 6] and kept.count(None) == 1
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [0, 0, 0, 1, 5, 6, 7]
+
+
+def test_no_local_folder_stands_in_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+
+    from sparkcase.llm import common
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
 def test_pipeline_keeps_one_clean_document_of_each_kind(spark, tmp_path):
     import corpus_pipeline
 
