@@ -1,18 +1,33 @@
-"""A training-data pipeline over documents; each stage is written as Parquet and reread."""
+"""A training-data pipeline over documents; each stage is written as Parquet and reread.
+
+All stages but the last return the columns of documents, whatever their names.
+Nulls: a null text goes with the first stage (no language); the stages alone keep
+it and take it for an empty one (near-duplicates: for a class of its own). Rows of
+null doc_id stay where the operator keeps them. Equal rows of one doc_id are one
+document for near-duplicates. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcase.llm import bpe, common, decontaminate, language, near_dup, pii
 
 
+def _renamed(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """operator(docs) with all columns but the text under other names meanwhile, so that no output replaces one."""
+    names = {c: c if c == "text" else f"__kept{i}" for i, c in enumerate(docs.columns)}
+    found = operator(docs.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    return found.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language is found (no text, no letter) go."""
     model = language.fit(docs.filter(~language.held_out()))
-    kept = language.predict(docs, model).filter(F.col("lang_pred") != language.UNKNOWN)
-    return kept.select(*docs.columns)
+    return _renamed(docs, lambda d: language.predict(d, model).filter(F.col("lang_pred") != language.UNKNOWN))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more lies in benchmark passages go."""
-    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    benchmark = common.table(spark, sf_dir, "benchmark")
+    return _renamed(docs, lambda d: decontaminate.decontaminate(d, benchmark))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage has written on its way goes once its result is written."""
     docs = common.table(spark, sf_dir, "documents")
+    before = common.made()
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        for path in [p for p in common.made() if p not in before][:-1]:
+            common.delete(spark, path)
     return docs
