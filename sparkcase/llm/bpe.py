@@ -9,7 +9,8 @@ answer is memoised per pair, and the ids of each piece are memoised too. Such a
 sequence of fitting tokens is unique, so it equals what merging by rank gives.
 
 Nulls: a null text is encoded as an empty one and has no ids. Texts of any
-length are encoded whole. Repeated rows are encoded alike.
+length are encoded whole. Repeated rows are encoded alike; an empty table gives
+no rows. Columns named like the outputs are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import append_columns, table
 from .pieces import TextEncoder, packed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Pairs of tokens whose compatibility a worker remembers: about 50 MB.
+MEMO_PAIRS = 500_000
 FIELDS = [
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType()),
 ]
@@ -48,7 +51,7 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
-        self.fit_memo: dict[tuple[int, int], bool] = {}
+        self.fit_memo: dict[int, bool] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int | None] = {}
@@ -91,11 +94,12 @@ class ByteBPE:
                 due, right = right + 1, b[0]
 
     def fits(self, left: int, right: int) -> bool:
-        found = self.fit_memo.get((left, right))
+        pair = left << 32 | right
+        found = self.fit_memo.get(pair)
         if found is None:
-            if len(self.fit_memo) > 2_000_000:
+            if len(self.fit_memo) >= MEMO_PAIRS:
                 self.fit_memo.clear()
-            found = self.fit_memo[left, right] = self._fits(left, right)
+            found = self.fit_memo[pair] = self._fits(left, right)
         return found
 
     def encode(self, piece: bytes) -> list[int]:

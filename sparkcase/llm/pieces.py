@@ -111,9 +111,12 @@ class Memo(dict):
 
 
 class TextEncoder:
-    """text -> ids as little-endian unsigned integers, by an encoder of single pieces whose results are memoised."""
+    """text -> ids as little-endian unsigned integers, by an encoder of single pieces whose results are memoised.
 
-    def __init__(self, encode_piece: Callable[[str], bytes], memo_size: int = 500_000):
+    Workers outlive their tasks, so the memo (about 100 MB at most) stays with them.
+    """
+
+    def __init__(self, encode_piece: Callable[[str], bytes], memo_size: int = 250_000):
         self.pieces = Memo(encode_piece, memo_size)
 
     def __call__(self, text: str) -> bytes:
