@@ -60,3 +60,36 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     scale = 1 + z * z / n
     low = F.when(some, F.greatest(F.lit(0.0), (middle - spread) / scale)).otherwise(F.lit(0.0))
     return low, F.when(some, F.least(F.lit(1.0), (middle + spread) / scale)).otherwise(F.lit(1.0))
+
+
+SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,63}$"
+PAYLOAD_CHARS = 1500
+
+
+def iso_time(ts: Column) -> Column:
+    """A time as ISO text, with a fraction only where it has one."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def safe_id(x: Column) -> Column:
+    """An id that may stand in a prompt as it is, else null."""
+    return F.when(x.rlike(SAFE_ID), x)
+
+
+def payload(x: Column, most: int = PAYLOAD_CHARS) -> Column:
+    """The first characters of a payload, with a mark where some are left out."""
+    return F.when(F.length(x) > most, F.concat(F.left(x, F.lit(most)), F.lit("…"))).otherwise(x)
+
+
+def percent_text(x: Column, places: int = 1) -> Column:
+    return F.format_string(f"%.{places}f%%", (x * 100).cast("double"))
+
+
+def duration_text(seconds: Column) -> Column:
+    """Seconds as "d days, h:mm:ss"; without days where there are none."""
+    s = seconds.cast("long")
+    day, rest = F.floor(s / 86_400), F.pmod(s, F.lit(86_400))
+    clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    days = F.concat(day.cast("string"), F.when(F.abs(day) == 1, F.lit(" day, ")).otherwise(F.lit(" days, ")))
+    return F.when(day == 0, clock).otherwise(F.concat(days, clock))

@@ -115,3 +115,63 @@ def sign_off(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn(
         "problem", F.when(again == 1, "already closed").when((F.col("action") == "override") & (F.coalesce(F.length("comment"), F.lit(0)) == 0), "an override needs a comment")
         .when((F.col("action") == "approve") & (before == F.col("actor")), "a second person has to approve"))
+
+
+def case_pool(tx: DataFrame, problems: DataFrame, since: str | None = None, least_history: int = 10) -> DataFrame:
+    """(transaction_id, customer_id, ts, category): transactions with more than so many earlier ones of their customer, from a time on.
+
+    problems: (transaction_id, category); transactions without one are clean.
+    """
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("customer_id").orderBy("ts", "transaction_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tx.withColumn("n_before", F.count(F.lit(1)).over(before)).filter(F.col("n_before") > least_history)
+    rows = rows if since is None else rows.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    kinds = problems.groupBy("transaction_id").agg(F.min("category").alias("category"))
+    return rows.join(kinds, "transaction_id", "left").select("transaction_id", "customer_id", "ts", F.coalesce("category", F.lit("clean")).alias("category"))
+
+
+def one_a_customer(pool: DataFrame, banned: DataFrame, per_category: int, seed: int) -> DataFrame:
+    """One case of each customer that is not banned (customer_id), and of these per_category of each category, in hash order."""
+    from pyspark.sql import Window
+
+    h = F.xxhash64("transaction_id", F.lit(seed))
+    free = pool.join(banned.select("customer_id").distinct(), "customer_id", "left_anti").withColumn("h", h)
+    one = free.groupBy("customer_id").agg(F.min_by(F.struct("transaction_id", "ts", "category", "h"), F.struct("h", "transaction_id")).alias("x")).select("customer_id", "x.*")
+    order = Window.partitionBy("category").orderBy("h", "transaction_id")
+    return one.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_category).drop("n", "h")
+
+
+def training_set(cases: DataFrame, statements: DataFrame, passages: DataFrame, seed: int, held: float = 0.1) -> DataFrame:
+    """(case_id, prompt, target, split): prompts from evidence and passages, template findings as targets, customers split by hash.
+
+    cases: (case_id, customer_id); statements: as templated_findings gives them; passages: (case_id, passages).
+    """
+    rows = cases.join(statements, "case_id").join(passages, "case_id", "left")
+    u = F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "case_id", "customer_id", prompt(F.col("statements"), F.coalesce("passages", none)).alias("prompt"), F.to_json(F.struct(F.col("statements").alias("findings"))).alias("target"),
+        F.when(u < held, "eval").otherwise("train").alias("split"),
+    )
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys two tables share."""
+    return a.select(key).intersect(b.select(key)).agg(F.count(F.lit(1)).alias("shared"))
+
+
+def marked_existing(candidates: DataFrame, cases: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """candidates with existing_case: whether a case for their key is there already."""
+    known = cases.select(key).distinct().withColumn("existing_case", F.lit(True))
+    return candidates.join(known, key, "left").fillna(False, ["existing_case"])
+
+
+def engine_context(tables: dict[str, DataFrame], quarantine: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, as_of): what the engines run on. Quarantined rows are refused; as_of is one row, the latest transaction's time.
+
+    quarantine: (table, reason, ...).
+    """
+    if bad := quarantine.groupBy("table").agg(F.count(F.lit(1)).alias("n")).orderBy("table").take(5):
+        raise ValueError("quarantined rows in " + ", ".join(f"{r['table']} ({r['n']})" for r in bad))
+    return tables, tables["transactions"].agg(F.max("timestamp").alias("as_of"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ FIRST = "ava noah mei rahul elodie omar lucia jonas amara kenji sofia ivan".spli
 LAST = "adams brown zhang chaudhary mueller haddad garcia larsen okafor tanaka rossi petrov".split()
 STREETS = "maple oak cedar hill lake park station mill".split()
 CITIES = {"US": "springfield", "GB": "leeds", "SG": "kampong baru", "DE": "mainz", "IN": "pune", "AE": "sharjah"}
-ANOMALIES = ("large_amount", "odd_hour", "new_country", "round_amount", "burst", "structuring", "dormant")
+#: Edits of rows that are there, and episodes of rows that are put in: rows of an episode, and seconds over which it lies.
+EDITS = ("large_amount", "odd_hour", "new_country", "round_amount", "structuring")
+EPISODES = {"burst": (6, 600), "velocity": (12, 86_400), "repeated": (5, 10 * 86_400)}
+ANOMALIES = (*EDITS, *EPISODES)
 DISCREPANCIES = ("missing_ledger", "duplicate_posting", "amount_mismatch", "currency_mismatch", "reference_mismatch", "late_posting")
 START = "2025-01-01"
 
@@ -74,26 +79,76 @@ def kyc_records(people: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def quotas(n: int, share: float) -> dict[str, int]:
+    """Rows of each kind of anomaly, round(share * n) in all; what does not divide goes to the first kind."""
+    total = round(share * n)
+    each = dict.fromkeys(ANOMALIES, total // len(ANOMALIES))
+    each[ANOMALIES[0]] += total - sum(each.values())
+    return each
+
+
+def shuffled_place(i: Column, n: int, seed: int) -> Column:
+    """The place of row i of n in a seeded order: a bijection, so that the first q places are exactly q rows, without a sort."""
+    step = max(int(n * 0.6180339887) + seed % 97, 1)
+    while gcd(step, n) != 1:
+        step += 1
+    return F.pmod(i * F.lit(step) + F.lit(seed * 7919), F.lit(n))
+
+
 def transactions(spark: SparkSession, n: int, n_customers: int, seed: int, anomalies: float = 0.0175) -> DataFrame:
-    """Lognormal amounts over half a year, of customers of uneven activity; labels name what was injected."""
-    i = F.col("id")
-    who = F.floor(F.pow(u(i, seed, "who"), F.lit(2.0)) * n_customers).cast("long")
-    odd = u(i, seed, "odd") < anomalies
-    kind = F.when(odd, pick(ANOMALIES, i, seed, "kind")).otherwise("none")
+    """n lognormal amounts over half a year, of customers of uneven activity, anomalies injected in exact numbers.
+
+    anomaly_type names what was done to a row; rows of an episode (put in, not edited) also have its episode_id.
+    """
+    quota = quotas(n, anomalies)
+    base = n - sum(quota[k] for k in EPISODES)
+    i, place = F.col("id"), shuffled_place(F.col("id"), base, seed)
+    edited = _rows(spark.range(base), i, seed, n_customers, _edit(place, quota), F.lit(None).cast("string"), None)
+    parts = [edited]
+    for k, (size, seconds) in EPISODES.items():
+        episode = F.floor(i / size).cast("long")
+        begin = F.floor(u(episode, seed, k, "begin") * (180 * 86_400 - seconds)).cast("long")
+        second = begin + F.floor((F.pmod(i, F.lit(size)) + u(i, seed, k, "in") * 0.9) * (seconds // size)).cast("long")
+        who = F.floor(u(episode, seed, k, "who") * n_customers).cast("long")
+        level = F.round(F.exp(5 + 0.5 * normal(episode, seed, k)), 0)
+        amount = level if k == "repeated" else F.round(level * (1 + 0.2 * u(i, seed, k, "amount")), 2)
+        parts.append(_rows(spark.range(quota[k]), i, seed, n_customers, F.lit(k), F.concat(F.lit(f"{k.upper()}-"), episode.cast("string")), (who, second, amount, episode)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _edit(place: Column, quota: dict[str, int]) -> Column:
+    """The edit of a row by its place: the first places, kind by kind, in their numbers."""
+    kind, upto = F.when(F.lit(False), ""), 0
+    for k in EDITS:
+        upto += quota[k]
+        kind = kind.when(place < upto, k)
+    return kind.otherwise("none")
+
+
+def _rows(ids: DataFrame, i: Column, seed: int, n_customers: int, kind: Column, episode_id: Column, given: tuple | None) -> DataFrame:
+    """Transactions of ids; given: who, second, amount and episode of rows of an episode, whose receiver is one new counterparty."""
+    who = given[0] if given else F.floor(F.pow(u(i, seed, "who"), F.lit(2.0)) * n_customers).cast("long")
     usual = F.round(F.exp(4 + 0.8 * normal(i, seed, "amount") + 0.5 * normal(who, seed, "level")), 2)
     amount = F.when(kind == "large_amount", usual * 40).when(kind == "structuring", 9_000 + F.round(u(i, seed, "s") * 900, 2)).when(kind == "round_amount", F.lit(5_000.0)).otherwise(F.greatest(usual, F.lit(0.01)))
-    second = F.floor(u(i, seed, "t") * 180 * 86_400).cast("long")
+    second = given[1] if given else F.floor(u(i, seed, "t") * 180 * 86_400).cast("long")
     second = F.when(kind == "odd_hour", second - second % 86_400 + 3 * 3600).otherwise(second)
     home = pick(list(CITIES), who, seed, "home")
     there = F.when(kind == "new_country", F.lit("PA")).otherwise(F.when(u(i, seed, "abroad") < 0.1, pick(list(CITIES), i, seed, "abroad2")).otherwise(home))
-    return spark.range(n).select(
-        F.format_string("TXN-%09d", i).alias("transaction_id"), F.format_string("CUST-%07d", who).alias("customer_id"),
-        F.expr(f"timestamp_ntz'{START} 00:00:00'").alias("start"), second.alias("second"), amount.alias("amount"), F.lit("USD").alias("currency"),
-        pick(("transfer_out", "transfer_in", "payment", "withdrawal", "deposit"), i, seed, "type").alias("transaction_type"),
-        F.format_string("CUST-%07d", who).alias("sender"), F.format_string("CP-%05d", F.floor(u(i, seed, "cp") * 500).cast("long")).alias("receiver"),
-        home.alias("sender_country"), there.alias("receiver_country"), pick(("mobile", "web", "branch", "atm", "pos"), i, seed, "ch").alias("channel"),
-        F.when(u(i, seed, "ref") < 0.9, F.format_string("REF-%09d", i)).alias("reference_id"), F.lit(True).alias("is_synthetic"), kind.alias("anomaly_type"),
-    ).withColumn("timestamp", F.col("start") + F.make_dt_interval(secs=F.col("second"))).drop("start", "second")
+    key = F.concat(kind, i.cast("string")) if given else i
+    number = F.concat(F.upper(F.left(kind, F.lit(1))), F.format_string("%08d", i)) if given else F.format_string("%09d", i)
+    receiver = F.format_string("CP-N%s", F.concat(F.upper(F.left(kind, F.lit(1))), given[3].cast("string"))) if given else F.format_string("CP-%05d", F.floor(u(i, seed, "cp") * 500).cast("long"))
+    rows = ids.select(
+        F.concat(F.lit("TXN-"), number).alias("transaction_id"), F.format_string("CUST-%07d", who).alias("customer_id"),
+        F.expr(f"timestamp_ntz'{START} 00:00:00'").alias("start"), second.alias("second"), (given[2] if given else amount).cast("double").alias("amount"), F.lit("USD").alias("currency"),
+        F.lit("transfer_out").alias("transaction_type") if given else pick(("transfer_out", "transfer_in", "payment", "withdrawal", "deposit"), i, seed, "type").alias("transaction_type"),
+        F.format_string("CUST-%07d", who).alias("sender"), receiver.alias("receiver"), home.alias("sender_country"), there.alias("receiver_country"),
+        pick(("mobile", "web", "branch", "atm", "pos"), key, seed, "ch").alias("channel"),
+        F.when(u(key, seed, "ref") < 0.9, F.concat(F.lit("REF-"), number)).alias("reference_id"), F.lit(True).alias("is_synthetic"), kind.alias("anomaly_type"), episode_id.alias("episode_id"),
+    )
+    return rows.withColumn("timestamp", F.col("start") + F.make_dt_interval(secs=F.col("second"))).drop("start", "second")
 
 
 def ledger(tx: DataFrame, seed: int, share: float = 0.015) -> DataFrame:

@@ -197,8 +197,88 @@ def ablations(cases: DataFrame) -> DataFrame:
     })
 
 
+#: The ablation's configurations (fixed): engines that count, least severity, whether settlement-status rules count.
+CONFIGURATIONS = (
+    ("full", ("recon", "anomaly", "kyc"), "medium", False), ("recon", ("recon",), "medium", False), ("anomaly", ("anomaly",), "medium", False),
+    ("kyc", ("kyc",), "medium", False), ("recon_anomaly", ("recon", "anomaly"), "medium", False), ("recon_kyc", ("recon", "kyc"), "medium", False),
+    ("anomaly_kyc", ("anomaly", "kyc"), "medium", False), ("low_severity", ("recon", "anomaly", "kyc"), "low", False),
+    ("high_severity", ("recon", "anomaly", "kyc"), "high", False), ("status_rules", ("recon", "anomaly", "kyc"), "medium", True),
+)
+#: Evidence ids of an engine begin so.
+ENGINE_PREFIXES = {"recon": "REC-", "anomaly": "ANOM-", "kyc": "KYCM-"}
+
+
+def of_engines(evidence: DataFrame, engines: tuple[str, ...]) -> DataFrame:
+    """Evidence of these engines, and what no engine made, by the prefix of evidence_id."""
+    off = [p for e, p in ENGINE_PREFIXES.items() if e not in engines]
+    kept = F.lit(True)
+    for p in off:
+        kept = kept & ~F.col("evidence_id").startswith(p)
+    return evidence.filter(kept)
+
+
+def component_ablation(evidence: DataFrame) -> DataFrame:
+    """(configuration, case_id, flagged) for every case of evidence and every configuration.
+
+    One pass: each item's reasons under every configuration, as an array, or-ed
+    by case; no copy of the evidence a configuration.
+    """
+    columns = {k: F.col(k) if k in evidence.columns else F.lit(None).cast(t) for k, t in FACTS.items()}
+
+    def counts(engines: tuple[str, ...], least: str, status_rules: bool) -> Column:
+        kept = F.lit(True)
+        for e, p in ENGINE_PREFIXES.items():
+            if e not in engines:
+                kept = kept & ~F.col("evidence_id").startswith(p)
+        return F.coalesce(kept, F.lit(True)) & (F.size(floor_reasons(columns, least, status_rules)) > 0)
+
+    flags = evidence.select("case_id", *[counts(*c).alias(name) for name, *c in CONFIGURATIONS])
+    by_case = flags.groupBy("case_id").agg(*[F.max(name).alias(name) for name, *_ in CONFIGURATIONS])
+    each = F.array(*[F.struct(F.lit(name).alias("configuration"), F.col(name).alias("flagged")) for name, *_ in CONFIGURATIONS])
+    return by_case.select("case_id", F.explode(each).alias("x")).select("x.configuration", "case_id", "x.flagged")
+
+
+def ablation_rates(flags: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per configuration: recall by kind of problem, false flags of clean cases, precision. truth: (case_id, category)."""
+    rows = flags.join(truth, "case_id")
+    hit = F.col("flagged").cast("double")
+    return rows.groupBy("configuration").agg(
+        F.avg(F.when(F.col("category") == "reconciliation", hit)).alias("recall_reconciliation"), F.avg(F.when(F.col("category") == "behavioural", hit)).alias("recall_behavioural"),
+        F.avg(F.when(F.col("category") == "clean", hit)).alias("false_flags"), F.avg(F.when(F.col("flagged"), (F.col("category") != "clean").cast("double"))).alias("precision"),
+    )
+
+
+def elsewhere(judged: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(case_id, claim_id, elsewhere): for unsupported claims, the items of the case that hold all that is missing and that the claim does not cite."""
+    index = evidence_index(evidence.filter("kind = 'evidence'")).select("case_id", "ref", F.col("t").alias("have"))
+    lacking = judged.filter("status = 'unsupported'").select("case_id", "claim_id", "claim", "refs").withColumn("mine", tokens(F.col("claim")))
+    rows = lacking.filter(any_of(F.col("mine"))).join(index, "case_id").filter(~F.array_contains("refs", F.col("ref")) & ~any_of(missing(F.col("mine"), F.col("have"))))
+    return rows.groupBy("case_id", "claim_id").agg(F.array_sort(F.collect_set("ref")).alias("elsewhere"))
+
+
+def verdict_counts(judged: DataFrame, *keys: str) -> DataFrame:
+    """How many claims have each status."""
+    return judged.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("supported", "unsupported", "unverifiable")])
+
+
+def perturbed_citations(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims (refs) that cite nothing, an unknown item, or an item of another kind of the case: change, claim, refs."""
+    kind = lambda ref: F.regexp_extract(ref, r"^([A-Za-z]+)", 1)
+    own = claims.select("case_id", "claim_id", kind(F.element_at("refs", 1)).alias("own"))
+    others = own.join(evidence.select("case_id", "ref", kind(F.col("ref")).alias("other")), "case_id").filter("own <> other")
+    wrong = others.groupBy("case_id", "claim_id").agg(F.min("ref").alias("wrong"))
+    rows = claims.join(wrong, ["case_id", "claim_id"], "left")
+    none = F.array().cast("array<string>")
+    forms = F.array(
+        F.struct(F.lit("no_citation").alias("change"), none.alias("refs")), F.struct(F.lit("unknown_evidence").alias("change"), F.array(F.lit("GHOST-1")).alias("refs")),
+        F.when(F.col("wrong").isNotNull(), F.struct(F.lit("wrong_citation").alias("change"), F.array("wrong").alias("refs"))),
+    )
+    each = rows.withColumn("x", F.explode(F.array_compact(forms)))
+    return each.withColumn("refs", F.col("x.refs")).withColumn("change", F.col("x.change")).drop("x", "wrong")
+
+
 def perturbed(claims: DataFrame) -> DataFrame:
-    """Each claim in changed forms (change, claim), for measuring what the verdicts catch."""
+    """Each claim in changed forms (change, claim), for measuring what the verdicts catch; see perturbed_citations for its references."""
     c = F.col("claim")
     number = F.regexp_extract(c, r"(\d+)", 1)
     forms = {

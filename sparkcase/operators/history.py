@@ -132,3 +132,18 @@ def entity_split(df: DataFrame, entity: str, seed: int, shares: tuple[float, flo
     """train, dev or test per entity by hash: no global order, so no single task."""
     u = F.pmod(F.xxhash64(F.col(entity), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
     return df.withColumn("split", F.when(u < shares[0], "train").when(u < shares[1], "dev").otherwise("test"))
+
+
+def leaks(split: DataFrame, time: str = "t", order: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """(earlier, later, latest, first): splits that hold rows at or after the first row of a later split; none in a proper split."""
+    ends = split.groupBy("split").agg(F.min(time).alias("first"), F.max(time).alias("latest"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("split"))
+    a = ends.select(F.col("split").alias("earlier"), place.alias("i"), "latest")
+    b = ends.select(F.col("split").alias("later"), place.alias("j"), "first")
+    return a.join(F.broadcast(b), F.col("i") < F.col("j")).filter(F.col("latest") >= F.col("first")).select("earlier", "later", "latest", "first")  # a row a split
+
+
+def assert_no_leak(split: DataFrame, time: str = "t") -> None:
+    """An error if a split holds rows of a later one's time."""
+    if found := leaks(split, time).take(1):
+        raise ValueError(f"{found[0]['earlier']} reaches into {found[0]['later']}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,17 +18,31 @@ MAX_WORDS, OVERLAP_WORDS, MIN_WORDS = 120, 20, 15
 
 
 def load(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("md", "txt")) -> tuple[DataFrame, DataFrame]:
-    """(documents: path, trust, text; rejected: path, reason) of a folder, by the binaryFile source."""
+    """(documents: path, trust, text; rejected: path, reason) of a folder, by the binaryFile source, in order of path.
+
+    Links that lead out of the folder are rejected; only a local folder has links.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    outside = _outside(root)
+    leaves = F.col("path").isin(*outside) if outside else F.lit(False)
     suffix = F.lower(F.substring_index("path", ".", -1))
     reason = (
-        F.when(~suffix.isin(*suffixes), "unsupported_type").when(F.col("length") > MAX_BYTES, "too_large")
+        F.when(leaves, "outside_folder").when(~suffix.isin(*suffixes), "unsupported_type").when(F.col("length") > MAX_BYTES, "too_large")
         .when(~F.is_valid_utf8(F.col("content").cast("string")), "not_utf8")
     )
     seen = files.withColumn("reason", reason)
     trust = F.when(F.col("path").rlike("/(untrusted|external)/"), "untrusted").otherwise("trusted")
     good = seen.filter("reason is null").select("path", trust.alias("trust"), F.decode("content", "UTF-8").alias("text"))
-    return good, seen.filter("reason is not null").select("path", "reason")
+    return good.orderBy("path"), seen.filter("reason is not null").select("path", "reason").orderBy("path")
+
+
+def _outside(root: str) -> list[str]:
+    """The files under a local folder, as the binaryFile source names them, that are links out of it."""
+    base = Path(root.removeprefix("file:"))
+    if not base.is_dir():
+        return []
+    inside = base.resolve()
+    return [f"file:{p}" for p in base.rglob("*") if p.is_symlink() and not p.resolve().is_relative_to(inside)]
 
 
 def front_matter(text: Column) -> Column:

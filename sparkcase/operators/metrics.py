@@ -156,3 +156,37 @@ def paired_effect(runs: DataFrame) -> DataFrame:
     both = runs.filter("paired_with is not null").join(control, "paired_with")
     return both.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("decision") != F.col("before")).alias("changed"),
                     F.count_if((F.col("decision") == "CLEAR") & (F.col("before") != "CLEAR")).alias("cleared"))
+
+
+def composition(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts of every combination of these columns, with totals (null) over each of them."""
+    return rows.cube(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def matching_by_slice(pairs: DataFrame, threshold: float, slice_: str = "slice") -> DataFrame:
+    """Precision and recall of pairs (score, gold) by slice; an array of slices counts in each."""
+    rows = pairs.withColumn(slice_, F.explode(slice_)) if pairs.schema[slice_].dataType.typeName() == "array" else pairs
+    said = F.col("score") >= threshold
+    out = rows.groupBy(slice_).agg(F.count_if(said & F.col("gold")).alias("tp"), F.count_if(said & ~F.col("gold")).alias("fp"), F.count_if(~said & F.col("gold")).alias("fn"))
+    ratio = lambda a, b: F.when(b > 0, a / b)
+    return out.select(slice_, ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+
+
+def poisoning_exposure(results: DataFrame, k: int = 5) -> DataFrame:
+    """One row over queries that have a poison document: how often it is among the first k, and above the first gold one.
+
+    results: (query_id, rank, kind), kind being gold, poison or other; ranks that are missing stand behind all others.
+    """
+    best = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("rank")))
+    by_query = results.groupBy("query_id").agg(best("poison").alias("poison"), best("gold").alias("gold"), F.max((F.col("kind") == "poison").cast("int")).alias("has"))
+    return by_query.filter("has = 1").agg(
+        F.count(F.lit(1)).alias("queries"), F.count_if(F.col("poison") <= k).alias("exposed"),
+        F.count_if((F.col("poison") <= k) & (F.col("gold").isNull() | (F.col("poison") < F.col("gold")))).alias("above_gold"),
+    )
+
+
+def paired_wins(scores: DataFrame, first: str, second: str) -> DataFrame:
+    """One row: in how many cases (case_id, system, score) the first system scores above, below or like the second."""
+    of = lambda name: F.max(F.when(F.col("system") == name, F.col("score")))
+    by_case = scores.groupBy("case_id").agg(of(first).alias("a"), of(second).alias("b")).filter("a is not null and b is not null")
+    return by_case.agg(F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") < F.col("b")).alias("losses"), F.count_if(F.col("a") == F.col("b")).alias("ties"))

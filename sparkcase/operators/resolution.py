@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import band
 from ..functions.similarity import jaro_winkler_udf, token_set_udf, token_sort_ratio
-from ..functions.text import trigrams, words
+from ..functions.text import name_parts, trigrams, words
 from . import retrieval
 
 ALPHA, FIRST_STAGE, TOP = 0.5, 20, 5
@@ -102,26 +102,79 @@ def explained(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reasons", F.array_compact(F.array(how, F.when(F.col("q_reordered"), "reordered"), F.when(F.col("q_initials"), "initials"))))
 
 
-def pair_features(pairs: DataFrame) -> DataFrame:
-    """Features of (query, customer) pairs, the name's structure from the alias nearest by Jaro-Winkler."""
-    near = pairs.withColumn("jw", jaro_winkler_udf("q_name", "name"))
-    best = near.groupBy("query_id", "customer_id", "q_name").agg(F.max_by("name", F.struct("jw", "name")).alias("alias"), F.max("jw").alias("jw"))
-    q, a = words(F.col("q_name")), words(F.col("alias"))
-    first, other = F.get(q, F.lit(0)), F.get(a, F.lit(0))
-
-    def compatible(x: Column, y: Column) -> Column:
-        short = (F.length(x) == 1) | (F.length(y) == 1)
-        return F.when((x == y) | (short & (F.left(x, F.lit(1)) == F.left(y, F.lit(1)))), 1.0).otherwise(0.0)
-
-    return best.withColumns({
-        "token_sort": token_sort_ratio(F.col("q_name"), F.col("alias")), "token_set": token_set_udf("q_name", "alias"),
-        "same_first": (first == other).cast("double"), "same_last": (F.element_at(q, -1) == F.element_at(a, -1)).cast("double"),
-        "first_compatible": compatible(first, other), "token_gap": F.abs(F.size(q) - F.size(a)).cast("double"),
-        "length_gap": F.abs(F.length("q_name") - F.length("alias")).cast("double"), "same_name": (F.col("q_name") == F.col("alias")).cast("double"),
-    })
-
-
-FEATURES = ["jw", "token_sort", "token_set", "same_first", "same_last", "first_compatible", "token_gap", "length_gap", "same_name"]
+#: First-stage signals of a pair, besides its rank in the hybrid list.
+SIGNALS = ["bm25", "bm25_char", "dense", "fuzzy", "hybrid"]
+
+
+def _near(x: Column, y: Column) -> Column:
+    """1 if equal, or one is the other's initial."""
+    short = (F.length(x) == 1) | (F.length(y) == 1)
+    return F.when((x == y) | (short & (F.left(x, F.lit(1)) == F.left(y, F.lit(1)))), 1.0).otherwise(0.0)
+
+
+def pair_features(pairs: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """The 17 features of (query, customer) pairs, the name's structure from the alias nearest by Jaro-Winkler.
+
+    pairs: (query_id, customer_id, q_name, name), a row an alias. signals:
+    (query_id, customer_id, rank and SIGNALS); what is not there is 0.
+    """
+    pairs = pairs.withColumns({"q": name_parts(F.col("q_name")), "a": name_parts(F.col("name"))})
+    near = pairs.withColumn("jw_full", jaro_winkler_udf("q.canonical", "a.canonical"))
+    best = near.groupBy("query_id", "customer_id", "q_name").agg(
+        F.max_by(F.struct("name", "a", "q"), F.struct("jw_full", "name")).alias("x"), F.max("jw_full").alias("jw_full"))
+    best = best.select("query_id", "customer_id", "q_name", F.col("x.name").alias("alias"), "jw_full", "x.q", "x.a")
+    middle = F.when((F.size("q.middle") == 0) | (F.size("a.middle") == 0), 1.0).otherwise(_near(F.get("q.middle", F.lit(0)), F.get("a.middle", F.lit(0))))
+    rows = best.withColumns({
+        "jw_first": jaro_winkler_udf("q.first", "a.first"), "jw_last": jaro_winkler_udf("q.last", "a.last"),
+        "token_set": token_set_udf("q.canonical", "a.canonical"), "first_compatible": _near(F.col("q.first"), F.col("a.first")),
+        "first_exact": (F.col("q.first") == F.col("a.first")).cast("double"), "last_exact": (F.col("q.last") == F.col("a.last")).cast("double"),
+        "middle_compatible": middle, "query_has_initials": F.col("q.has_initials").cast("double"), "query_reordered": F.col("q.reordered").cast("double"),
+        "token_gap": F.abs(F.size("q.tokens") - F.size("a.tokens")).cast("double"),
+    }).drop("q", "a")
+    if signals is None:
+        return rows.withColumns({k: F.lit(0.0) for k in [*SIGNALS, "inverse_rank"]})
+    given = signals.select("query_id", "customer_id", *SIGNALS, (F.lit(1.0) / F.col("rank")).alias("inverse_rank"))
+    return rows.join(given, ["query_id", "customer_id"], "left").fillna(0.0, [*SIGNALS, "inverse_rank"])
+
+
+FEATURES = [
+    *SIGNALS, "inverse_rank", "jw_full", "jw_first", "jw_last", "token_set", "first_compatible", "first_exact", "last_exact", "middle_compatible",
+    "query_has_initials", "query_reordered", "token_gap",
+]
+
+
+def first_stage(queries: DataFrame, entries: DataFrame, dense_scores: DataFrame, k: int = FIRST_STAGE) -> DataFrame:
+    """(query_id, customer_id, rank, SIGNALS): the k best of the hybrid list with their scores in every list.
+
+    dense_scores: (query_id, customer_id, score), the best alias of each customer.
+    """
+    lists = {
+        "bm25": lexical(queries, entries), "bm25_char": lexical(queries, entries, "trigrams"), "dense": dense_scores,
+        "fuzzy": fuzzy(candidates_by_trigram(queries, entries)),
+    }
+    best = top(hybrid(lists["bm25_char"], lists["dense"]), k).select("query_id", "customer_id", F.col("score").alias("hybrid"), "rank")
+    for name, scores in lists.items():
+        best = best.join(scores.select("query_id", "customer_id", F.col("score").alias(name)), ["query_id", "customer_id"], "left")
+    return best.fillna(0.0, list(lists))
+
+
+def full_system(model, queries: DataFrame, entries: DataFrame, customers: DataFrame, stage: DataFrame) -> DataFrame:
+    """The composed system: the first stage's pairs, reranked by the model, then verified by birth date and address."""
+    named = stage.select("query_id", "customer_id").join(queries.select("query_id", F.col("name").alias("q_name")), "query_id")
+    pairs = named.join(entries.select("customer_id", "name"), "customer_id")
+    ranked = reranked(model, pair_features(pairs, stage), FIRST_STAGE)
+    return top(verified(ranked.drop("rank"), queries, customers), TOP, "final")
+
+
+def namesakes(people: DataFrame, gold: DataFrame) -> DataFrame:
+    """(customer_id, other_id), both ways: people of one name who are not one person by gold (customer_id, same_id).
+
+    A name of many people gives a row for each two of them, which is what is asked for.
+    """
+    other = people.select("name", F.col("customer_id").alias("other_id"))
+    pairs = people.select("name", "customer_id").join(other, "name").filter("customer_id <> other_id").drop("name")
+    known = gold.select(F.col("customer_id"), F.col("same_id").alias("other_id"))
+    return pairs.join(known.unionByName(known.select(F.col("other_id").alias("customer_id"), F.col("customer_id").alias("other_id"))), ["customer_id", "other_id"], "left_anti")
 
 
 def fit_reranker(labelled: DataFrame, trees: int = 50):

@@ -124,3 +124,10 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 5, pool: int = 30,
     near = dense(queries, allowed)
     fused = reciprocal_rank_fusion([ranked(words, "bm25", pool), ranked(near, "dense", max(k, pool))], k)
     return fused.join(words, ["query_id", "doc_id"], "left").join(near, ["query_id", "doc_id"], "left").fillna(0.0, ["bm25"])
+
+
+def first_seen(results: DataFrame, most: int = 4) -> DataFrame:
+    """(case_id, doc_id, place): at most so many documents a case, in the order in which its queries (query_index, rank) bring them up."""
+    seen = results.groupBy("case_id", "doc_id").agg(F.min(F.struct("query_index", "rank")).alias("at"))
+    order = Window.partitionBy("case_id").orderBy("at", "doc_id")
+    return seen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("case_id", "doc_id", "place")
