@@ -112,6 +112,9 @@ def append_columns(
             compute = compute or make()
             for part in halved(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names=names)
+        # The worker lives on: what this task held goes back.
+        compute = None
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, schema)
 

@@ -44,7 +44,7 @@ SAMPLE_CHARS = 4_000
 SAMPLE_SYMBOLS = 30_000
 TOTAL_SYMBOLS = 240_000
 STRETCH = 512
-BATCH_SYMBOLS = 2_000_000
+BATCH_SYMBOLS = 1_000_000
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 

@@ -56,13 +56,13 @@ CENTRES = 3
 #: Members and shingles of a block of a large bucket, on average.
 BLOCK = 512
 BLOCK_SHINGLES = 500_000
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
