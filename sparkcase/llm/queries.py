@@ -20,5 +20,33 @@ QUERIES = {
         op8_html_extraction, op9_decontamination, op10_sharding,
     )
 }
-#: Digests, automata and trained models have no plain SQL; tests/llm holds brute-force versions.
-ORACLES: dict[str, str] = {}
+#: SQL of three whole queries, by brute force: every vector against every query, every window by its text, every pair
+#: of documents that share a shingle. Trained models, merges by rank, files, and learned spans and templates have none.
+TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"""
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+HITS = f"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(13, len(w)) AS size FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+p AS (SELECT DISTINCT item, size, array_to_string(w[k : k + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM i)),
+d AS (SELECT doc_id, row_number() OVER () AS rid, CASE WHEN text IS NULL THEN [] ELSE {_WORDS} END AS w FROM documents),
+s AS (SELECT DISTINCT size FROM p),
+x AS (SELECT rid, k, s.size, array_to_string(w[k : k + s.size - 1], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS k FROM d) CROSS JOIN s WHERE k + s.size - 1 <= len(w)),
+h AS (SELECT x.rid, x.k, x.size, p.item FROM x JOIN p ON p.size = x.size AND p.win = x.win),
+n AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS place FROM (SELECT DISTINCT rid, k, size FROM h)) GROUP BY 1),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)"""
+CLASSES = f"""WITH RECURSIVE d AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE {_WORDS} END AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS s, count(*) AS c FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS k FROM d) GROUP BY 1, 2),
+n AS (SELECT doc_id, sum(c) AS n FROM b GROUP BY 1),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS shared FROM b x JOIN b y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared) - 1e-9
+  UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.text = y.text AND x.doc_id < y.doc_id WHERE len(x.w) = 0),
+g AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT doc_id AS u, doc_id AS root FROM d UNION SELECT g.v, r.root FROM r JOIN g ON g.u = r.u),
+m AS (SELECT u, min(root) AS root FROM r GROUP BY 1)
+SELECT documents.doc_id, m.root AS class_id FROM documents LEFT JOIN m ON m.u = documents.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_exact_topk": TOP_K, "op3_near_dedup": CLASSES, "op9_decontamination": HITS}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sparkcase.llm import (
     automaton, bpe, components, decontaminate, html, huffman, language, near_dup, pieces, pii, sharding, token_files, topk, urls,
 )
-from sparkcase.llm.queries import QUERIES
+from sparkcase.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
@@ -55,6 +55,20 @@ def test_empty_tables_give_no_rows(spark, tmp_path, name):
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    connection = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found, cursor = QUERIES[name](spark, SF), connection.execute(ORACLES[name])
+    names = sorted(found.columns)
+    assert names == sorted(d[0] for d in cursor.description)
+    order = [[d[0] for d in cursor.description].index(n) for n in names]
+    assert sorted(tuple(r[n] for n in names) for r in found.collect()) == sorted(tuple(r[i] for i in order) for r in cursor.fetchall())
+
+
 # 1. exact top-k
 
 
