@@ -58,8 +58,8 @@ def paired_systems(spark, sf_dir):
     return metrics.paired_wins(rows, "O", "F")
 
 
-@slate("""WITH s AS (SELECT l_orderkey AS case_id, l_partkey % 9 AS doc_id, min(l_linenumber * 1000 + CAST(l_quantity AS BIGINT)) AS at FROM lineitem GROUP BY 1, 2),
-r AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY at, doc_id) AS place FROM s) SELECT * FROM r WHERE place <= 4""")
+@slate("""WITH s AS (SELECT l_orderkey AS case_id, l_partkey % 9 AS doc_id, min(l_linenumber * 1000 + CAST(l_quantity AS BIGINT)) AS seen FROM lineitem GROUP BY 1, 2),
+r AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY seen, doc_id) AS place FROM s) SELECT * FROM r WHERE place <= 4""")
 def first_seen_passages(spark, sf_dir):
     """Order lines as queries that bring up parts' classes: the first four different ones of each order."""
     rows = table(spark, sf_dir, "lineitem").select(
@@ -82,10 +82,10 @@ _BY_KIND = {
     "kyc": "l_linenumber % 3 = 2 AND l_quantity > 45",
 }
 ABLATION = ", ".join(
-    "coalesce(max(CASE WHEN " + " OR ".join(f"({_BY_KIND[e].format(least=_LEAST[least], status=str(status).lower())})" for e in engines) + f" THEN 1 ELSE 0 END), 0) AS {name}"
+    "coalesce(max(CASE WHEN " + " OR ".join(f"({_BY_KIND[e].format(least=_LEAST[least], status=str(status).lower())})" for e in engines) + f" THEN 1 ELSE 0 END), 0) AS \"{name}\""
     for name, engines, least, status in guardrails.CONFIGURATIONS
 )
-_NAMES = ", ".join(name for name, *_ in guardrails.CONFIGURATIONS)
+_NAMES = ", ".join(f'"{name}"' for name, *_ in guardrails.CONFIGURATIONS)
 
 
 @slate(f"""WITH e AS (SELECT *, {_SEVERITY} AS sev FROM lineitem), c AS (SELECT l_orderkey, {ABLATION} FROM e GROUP BY 1)
@@ -123,9 +123,9 @@ def shared_customers(spark, sf_dir):
     return evidence.overlap(o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'P'"), "o_custkey")
 
 
-@slate("""SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS at,
+@slate("""SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS stamp,
   CASE WHEN length(props) > 8 THEN left(props, 8) || '…' ELSE props END AS payload, CASE WHEN regexp_matches(event_type, '^[A-Za-z0-9][A-Za-z0-9_.:-]{0,63}$') THEN event_type END AS safe FROM events""")
 def prompt_fields(spark, sf_dir):
     """Fields as they stand in a prompt: ISO times, shortened payloads, safe ids."""
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", scalar.iso_time(F.col("ts")).alias("at"), scalar.payload(F.col("props"), 8).alias("payload"), scalar.safe_id(F.col("event_type")).alias("safe"))
+    return e.select("event_id", scalar.iso_time(F.col("ts")).alias("stamp"), scalar.payload(F.col("props"), 8).alias("payload"), scalar.safe_id(F.col("event_type")).alias("safe"))
