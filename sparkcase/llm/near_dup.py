@@ -55,7 +55,7 @@ SMALL = 8
 CENTRES = 3
 #: Members and shingles of a block of a large bucket, on average.
 BLOCK = 512
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 200_000
 BATCH_BYTES = 2_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
