@@ -1,24 +1,44 @@
 """A hash-chained, append-only log per case.
 
-Each entry's hash covers its content and the hash before it, so a chain is one
-SQL fold over a case's sorted entries; cases are independent of each other.
+Each entry's hash covers its content and the hash before it, so a case's entries
+are hashed in their order; cases are independent of each other.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 GENESIS = "0" * 64
 
 
 def chained(log: DataFrame) -> DataFrame:
-    """log (case_id, seq, content) with prev_hash and hash."""
-    entries = log.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("e"))
-    start = F.array(F.lit(GENESIS))
-    hashes = F.aggregate("e", start, lambda acc, x: F.array_append(acc, F.sha2(F.concat(F.element_at(acc, -1), F.lit("|"), x["seq"].cast("string"), F.lit("|"), x["content"]), 256)))
-    rows = entries.withColumn("h", hashes).select("case_id", "h", F.posexplode("e").alias("i", "x"))
-    return rows.select("case_id", "x.seq", "x.content", F.get("h", F.col("i")).alias("prev_hash"), F.get("h", F.col("i") + 1).alias("hash"))
+    """log (case_id, seq, content) with prev_hash and hash.
+
+    Cases are dealt out and sorted, and each task's entries stream by with the
+    last hash alone in memory, so a long log costs its length.
+    """
+    kinds = {f.name: f.dataType for f in log.schema.fields}
+    schema = StructType([StructField(c, kinds[c]) for c in ("case_id", "seq", "content")] + [StructField(c, StringType()) for c in ("prev_hash", "hash")])
+
+    def link(batches):
+        case, last = object(), GENESIS
+        for batch in batches:
+            before, after = [], []
+            for c, seq, content in zip(*(batch.column(k).to_pylist() for k in ("case_id", "seq", "content"))):
+                if c != case:
+                    case, last = c, GENESIS
+                before.append(last)
+                last = sha256(f"{last}|{seq}|{content}".encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("case_id", "seq", "content")), pa.array(before, pa.string()), pa.array(after, pa.string())], names=schema.names)
+
+    entries = log.select("case_id", "seq", "content").repartition("case_id").sortWithinPartitions("case_id", "seq", "content")
+    return entries.mapInArrow(link, schema)
 
 
 def broken(chain: DataFrame) -> DataFrame:

@@ -25,14 +25,26 @@ ORDER = (
 )
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """struct of the checkable content of a text: ids, dates, month_days, times, hours, numbers (text), currencies."""
-    rest = F.regexp_replace(text, r"\b[EK]:(?=[A-Za-z0-9])", "")
-    found: dict[str, Column] = {}
-    for kind, pattern in ORDER:
-        found[kind] = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        if kind != "numbers":
-            rest = F.regexp_replace(rest, pattern, " ")
+    def taken(rest: Column, kinds: tuple, found: dict[str, Column]) -> Column:
+        """Takes each kind in turn out of what the kinds before it have left."""
+        kind, pattern = kinds[0]
+        found = {**found, kind: F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))}
+        if len(kinds) == 1:
+            every = F.struct(*[v.alias(k) for k, v in found.items()], rest.alias("rest"))
+            return _bound(every, lambda x: _content({k: x[k] for k in found}, x["rest"]))
+        return _bound(F.regexp_replace(rest, pattern, " "), lambda left: taken(left, kinds[1:], found))
+
+    return _bound(F.regexp_replace(text, r"\b[EK]:(?=[A-Za-z0-9])", ""), lambda rest: taken(rest, ORDER, {}))
+
+
+def _content(found: dict[str, Column], rest: Column) -> Column:
     months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(f"{i + 1:02d}"))])
 
     def prose(x: Column) -> Column:

@@ -7,8 +7,12 @@ use strictly earlier times. Windows that share keys share one shuffle and sort.
 
 from __future__ import annotations
 
+from heapq import heappop, heappush, heappushpop
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 MIN_HISTORY, MIN_DEVIATION, LONG_GAP = 5, 0.25, 30 * 86_400
 SPANS = {"10min": 600, "1h": 3600, "24h": 86_400, "7d": 604_800}
@@ -75,6 +79,35 @@ def with_sequence(df: DataFrame, fields: list[str], length: int = 20) -> DataFra
     return rows.withColumns({"gaps": gaps, "padding": F.lit(length) - F.size("recent")})
 
 
+def with_prior_median(df: DataFrame, value: str, key: str = "customer", time: str = "micros") -> DataFrame:
+    """df with `typical`, the median of the key's values at strictly earlier times.
+
+    Two heaps hold the values of one key while its rows stream by in order of
+    time: each row costs a logarithm, where a window would sort its whole frame.
+    """
+    schema = StructType([*df.schema.fields, StructField("typical", DoubleType())])
+
+    def run(batches):
+        who, now, low, high, waiting = object(), None, [], [], []  # low: negated, its least is the lower half's largest
+        for batch in batches:
+            out = []
+            for k, t, x in zip(*(batch.column(c).to_pylist() for c in (key, time, value))):
+                if k != who:
+                    who, now, low, high, waiting = k, t, [], [], []
+                if t != now:
+                    for v in waiting:
+                        heappush(high, -heappushpop(low, -v))
+                        if len(high) > len(low):
+                            heappush(low, -heappop(high))
+                    now, waiting = t, []
+                out.append(None if not low else -low[0] if len(low) > len(high) else 0.5 * -low[0] + 0.5 * high[0])
+                if x is not None:
+                    waiting.append(float(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=schema.names)
+
+    return df.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, schema)
+
+
 def behaviour(df: DataFrame, amount: str = "amount") -> DataFrame:
     """Facts against strictly earlier rows: counts, typical ratio, seen counterparty and country, identical transfers.
 
@@ -85,7 +118,8 @@ def behaviour(df: DataFrame, amount: str = "amount") -> DataFrame:
     def back(micros: int | None) -> Window:
         return strictly.rangeBetween(Window.unboundedPreceding if micros is None else -micros, -1)
 
-    typical = F.percentile(amount, F.lit(0.5)).over(back(None))
+    df = with_prior_median(df, amount)
+    typical = F.col("typical")
     first = {k: F.min("micros").over(Window.partitionBy("customer", k)) for k in ("counterparty", "country")}
     same = Window.partitionBy("customer", "counterparty", amount).orderBy("micros").rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumns({
@@ -93,7 +127,7 @@ def behaviour(df: DataFrame, amount: str = "amount") -> DataFrame:
         "n_24h": F.count(F.lit(1)).over(back(86_400_000_000)), "typical_ratio": F.when(typical != 0, F.col(amount) / typical),
         "counterparty_seen": first["counterparty"] < F.col("micros"), "country_seen": first["country"] < F.col("micros"),
         "n_identical": F.count(F.lit(1)).over(same),
-    })
+    }).drop("typical")
 
 
 def structuring(df: DataFrame, amount: str = "amount") -> DataFrame:
@@ -113,10 +147,39 @@ def new_cross_border(df: DataFrame) -> DataFrame:
 
 
 def chronological_split(df: DataFrame, time: str = "t", shares: tuple[float, float] = (0.6, 0.8)) -> DataFrame:
-    """Rows with split train, validation or test, by exact quantiles of time."""
-    cuts = df.agg(*[F.percentile(time, F.lit(s)).alias(f"cut{i}") for i, s in enumerate(shares)])  # one row
+    """Rows with split train, validation or test, by exact quantiles of time (cut0, cut1)."""
+    cuts = quantiles(df, time, shares)
     place = F.when(F.col(time) < F.col("cut0"), "train").when(F.col(time) < F.col("cut1"), "validation").otherwise("test")
-    return df.join(F.broadcast(cuts)).withColumn("split", place)
+    return df.withColumns({f"cut{i}": F.lit(c).cast("double") for i, c in enumerate(cuts)}).withColumn("split", place)
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], buckets: int = 2048) -> list[float | None]:
+    """Exact interpolated quantiles of a number, however many rows there are.
+
+    Each pass counts the rows of equal ranges and goes on in the ranges that hold
+    the wanted ranks, until these hold one value each: at most a few thousand
+    counts reach the driver in a pass, and no buffer holds the values.
+    """
+    x = F.col(value)
+    n, least, most = df.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return [None for _ in shares]
+    places = [s * (n - 1) for s in shares]
+    # Wanted rank: the range that holds its value, and how many rows lie before the range.
+    at = {r: (least, most, 0) for p in places for r in (int(p), min(int(p) + 1, n - 1))}
+    while open_ := sorted({a for a in at.values() if a[0] < a[1]}):
+        bucket = F.lit(None).cast("int")
+        for i, (lo, hi, _) in enumerate(open_):
+            step = F.least(F.floor((x - lo) / float(hi - lo) * buckets).cast("int"), F.lit(buckets - 1))
+            bucket = F.when((x >= lo) & (x <= hi), step + i * buckets).otherwise(bucket)
+        counts = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).filter("b is not null").orderBy("b").collect()
+        for i, (lo, hi, before) in enumerate(open_):
+            for row in (r for r in counts if r["b"] // buckets == i):
+                for rank, a in at.items():
+                    if a == (lo, hi, open_[i][2]) and before <= rank < before + row["n"]:
+                        at[rank] = (row["lo"], row["hi"], before)
+                before += row["n"]
+    return [at[int(p)][0] + (at[min(int(p) + 1, n - 1)][0] - at[int(p)][0]) * (p - int(p)) for p in places]
 
 
 def purged(split: DataFrame, episode: str = "episode", time: str = "t") -> DataFrame:

@@ -103,7 +103,9 @@ def judged(rows: DataFrame, schema: Schema) -> DataFrame:
     The first row of a key claims it, even if that row then fails validation.
     """
     names = [f.name for f in schema.fields]
-    first = Window.partitionBy(schema.key).orderBy(ROW)
+    # Rows without a key do not claim one: each is its own group, so that they are no single task.
+    own = F.when(F.col(schema.key).isNull(), F.col(ROW))
+    first = Window.partitionBy(schema.key, own).orderBy(ROW)
     same = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     rows = rows.withColumn("__body", same).withColumns({"__rn": F.row_number().over(first), "__first": F.first("__body").over(first)})
     typed = rows.withColumn("t", F.struct(*[_typed(f).alias(f.name) for f in schema.fields]))

@@ -64,19 +64,31 @@ def normalised(scores: DataFrame, tops: DataFrame) -> DataFrame:
     return scores.join(tops, "query_id").withColumn("bm25_share", share).drop("ceiling")
 
 
-def _in_blocks(queries: DataFrame, documents: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Documents dealt out over blocks by hash, and the stated queries repeated for each block."""
+#: Vectors of a block, and queries that meet it at once, about.
+BLOCK_VECTORS, BLOCK_QUERIES = 20_000, 2_000
+
+
+def _in_blocks(queries: DataFrame, documents: DataFrame, blocks: int | None) -> tuple[DataFrame, DataFrame]:
+    """Documents dealt out over blocks by hash, and the stated queries, in parts, repeated for each block.
+
+    The number of blocks and parts follows the rows, so that no group grows with the tables.
+    """
+    if blocks is None:
+        blocks = max(-(-documents.count() // BLOCK_VECTORS), 1)
+    parts = max(-(-queries.count() // BLOCK_QUERIES), 1)
     d = documents.select("doc_id", "vector", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
-    return queries.select("query_id", F.col("vector").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")), d
+    q = queries.select(
+        "query_id", F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return q, d.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
 
-def dense(queries: DataFrame, documents: DataFrame, blocks: int = 32) -> DataFrame:
+def dense(queries: DataFrame, documents: DataFrame, blocks: int | None = None) -> DataFrame:
     """(query_id, doc_id, dense): the exact product of every stated query with every document, block by block."""
     q, d = _in_blocks(queries, documents, blocks)
-    return d.join(q, "block").select("query_id", "doc_id", dot(F.col("q"), F.col("vector")).alias("dense"))
+    return d.join(q, ["block", "part"]).select("query_id", "doc_id", dot(F.col("q"), F.col("vector")).alias("dense"))
 
 
-def nearest(queries: DataFrame, documents: DataFrame, k: int, blocks: int = 32, places: int = 9) -> DataFrame:
+def nearest(queries: DataFrame, documents: DataFrame, k: int, blocks: int | None = None, places: int = 9) -> DataFrame:
     """(query_id, doc_id, dense, rank): the k best documents of each stated query, itself left out.
 
     Each block yields k rows a query at most, from one matrix product, so what
@@ -98,7 +110,7 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int, blocks: int = 32,
                 out += [(query_id, ids[i], float(scores[i])) for i in order if ids[i] != query_id]
         return pd.DataFrame(out, columns=["query_id", "doc_id", "dense"])
 
-    found = q.groupBy("block").cogroup(d.groupBy("block")).applyInPandas(best, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, dense double")
+    found = q.groupBy("block", "part").cogroup(d.groupBy("block", "part")).applyInPandas(best, f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, dense double")
     return ranked(found.withColumn("s", F.round("dense", places)), "s", k).drop("s")
 
 
@@ -121,9 +133,13 @@ def search(queries: DataFrame, documents: DataFrame, k: int = 5, pool: int = 30,
     """Hybrid retrieval with component scores. documents: doc_id, tokens, vector, trust; the trust filter comes before ranking."""
     allowed = documents if untrusted else documents.filter(F.col("trust") == "trusted")
     words = bm25(queries, allowed)
-    near = dense(queries, allowed)
-    fused = reciprocal_rank_fusion([ranked(words, "bm25", pool), ranked(near, "dense", max(k, pool))], k)
-    return fused.join(words, ["query_id", "doc_id"], "left").join(near, ["query_id", "doc_id"], "left").fillna(0.0, ["bm25"])
+    near = nearest(queries, allowed, max(k, pool))
+    fused = reciprocal_rank_fusion([ranked(words, "bm25", pool), near], k)
+    # The vectors of what the words alone have found are fetched late, for these few rows.
+    vectors = allowed.select("doc_id", "vector").join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
+    scored = fused.join(vectors, "doc_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    scored = scored.withColumn("dense", dot(F.col("q"), F.col("vector"))).drop("q", "vector")
+    return scored.join(words, ["query_id", "doc_id"], "left").fillna(0.0, ["bm25"])
 
 
 def first_seen(results: DataFrame, most: int = 4) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.scalar import wilson
@@ -104,7 +105,8 @@ def _features(spark, sf_dir):
 @slate()
 def anomaly_logistic(spark, sf_dir):
     """A logistic model of the history features fitted on the first 60 % of time; scores, drivers and the split of every event."""
-    rows = H.chronological_split(_features(spark, sf_dir))
+    # The class shares, the scaler, the fit and the scores all read the features: they are computed once.
+    rows = H.chronological_split(_features(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
     model = models.fit("logistic", rows.filter("split = 'train'"))
     out = models.drivers(model, models.scored(model, rows))
     return out.select("transaction_id", "split", "score", F.element_at("drivers", 1)["feature"].alias("first_driver"))
