@@ -29,7 +29,7 @@ SLOTS = 4096
 SHARDS = 24
 OVERHEAD_BYTES = 8
 LAW = "bytes"
-SUBSLOTS = 64
+SUBSLOTS = 16
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -95,10 +95,10 @@ def grow_map(slot_map: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def write_map(slot_map: DataFrame, path: str) -> DataFrame:
-    """Appends a version of a map to its table and reads that version back."""
+def write_map(slot_map: DataFrame, path: str, version: int | None = None) -> DataFrame:
+    """Appends a version of a map to its table and reads that version back; a version that is known need not be looked up."""
     spark = slot_map.sparkSession
-    version = slot_map.agg(F.max("version")).first()[0]
+    version = version or slot_map.agg(F.max("version")).first()[0]
     if version is None:  # a map of an empty table
         return slot_map
     slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
@@ -148,8 +148,8 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
     """
     rows = measured(df, id_col, text_col, slots)
     path = fresh_path(df.sparkSession, "slotmap")
-    first = write_map(build_map(slot_stats(rows, slots), shards), path)
-    second = write_map(grow_map(first, shards), path)
+    first = write_map(build_map(slot_stats(rows, slots), shards), path, 1)
+    second = write_map(grow_map(first, shards), path, 2)
     later = F.broadcast(second.select("vslot", F.col("shard").cast("int").alias("next_shard")))  # at most SLOTS rows
     return assign(rows, first, id_col).join(later, "vslot")
 
