@@ -113,7 +113,7 @@ def test_the_index_skips_segments_only_on_proof():
     far = rng.integers(-30, 5, (4000, 16))
     index = topk.ImpactIndex(np.arange(4040), np.concatenate((near, far)))
     at, scores, share = index.search(near[0], 0, 20)
-    assert share < 0.55
+    assert share <= topk.CHECKS[0]  # at the first look
     exact = index.doubles @ near[0]
     exact[0] = -(1 << 40)
     order = np.lexsort((np.arange(4040), -exact))[:20]
