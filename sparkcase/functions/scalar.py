@@ -93,3 +93,9 @@ def duration_text(seconds: Column) -> Column:
     clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
     days = F.concat(day.cast("string"), F.when(F.abs(day) == 1, F.lit(" day, ")).otherwise(F.lit(" days, ")))
     return F.when(day == 0, clock).otherwise(F.concat(days, clock))
+
+
+def amount_text(x: Column, signed: bool = False) -> Column:
+    """A number with two decimals, half to even as decimals round, with its sign if asked for."""
+    text = F.bround(x.cast("decimal(30,6)"), 2).cast("decimal(30,2)").cast("string")
+    return F.when(x >= 0, F.concat(F.lit("+"), text)).otherwise(text) if signed else text

@@ -18,6 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import metrics
+
 FEATURES = ["log_amount", "z", "above_max", "sum_24h", "n_prior", "n_10min", "n_1h", "n_24h", "n_7d", "log_gap", "hour_off", "n_counterparty", "n_same_amount"]
 
 
@@ -139,3 +141,15 @@ def codes(df: DataFrame, column: str) -> DataFrame:
 
 def bucket(x: Column, n: int = 1024) -> Column:
     return F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+
+
+def scoring_service(split: DataFrame, features: list[str] = FEATURES, label: str = "label") -> DataFrame:
+    """split (train, validation, test) with score, drivers, flagged and in_training_period.
+
+    Fitted on train; the threshold is that of the best F1 on validation.
+    """
+    model = fit("logistic", split.filter("split = 'train'"), features, label)
+    best = metrics.f1_threshold(metrics.curve(scored(model, split.filter("split = 'validation'")), label=label)).first()
+    out = drivers(model, scored(model, split), features)
+    flagged = F.lit(False) if best is None or best["threshold"] is None else F.col("score") >= best["threshold"]
+    return out.withColumns({"flagged": flagged, "in_training_period": F.col("split") == "train"})

@@ -74,3 +74,19 @@ def reconcile(transactions: DataFrame, ledger: DataFrame, as_of: Column | None =
 
 def findings(reconciled: DataFrame) -> DataFrame:
     return reconciled.select("transaction_id", "customer_id", F.explode("findings").alias("f")).select("transaction_id", "customer_id", "f.*")
+
+
+def reconcile_cases(cases: DataFrame, transactions: DataFrame, ledger: DataFrame, **config) -> DataFrame:
+    """The transactions of cases (case_id, transaction_id, as_of), the focus and its context, each judged at its case's time."""
+    focus = cases.select("case_id", "as_of", "transaction_id").join(transactions, "transaction_id")
+    return reconcile(focus, ledger, F.col("as_of"), **config)
+
+
+def with_postings(transactions: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Each transaction with all its postings as one sorted array, empty without any.
+
+    A transaction's postings are few; one with very many should be read from the ledger itself.
+    """
+    columns = [c for c in ledger.columns if c != "transaction_id"]
+    nested = ledger.groupBy("transaction_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("postings"))
+    return transactions.join(nested, "transaction_id", "left").withColumn("postings", F.coalesce("postings", F.array()))

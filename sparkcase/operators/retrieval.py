@@ -147,3 +147,13 @@ def first_seen(results: DataFrame, most: int = 4) -> DataFrame:
     seen = results.groupBy("case_id", "doc_id").agg(F.min(F.struct("query_index", "rank")).alias("at"))
     order = Window.partitionBy("case_id").orderBy("at", "doc_id")
     return seen.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("case_id", "doc_id", "place")
+
+
+def fetched(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of these ids (doc_id), each once."""
+    return documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def stored(documents: DataFrame) -> DataFrame:
+    """One row: how many documents the store holds, and how many it may show by default."""
+    return documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("trust") == "trusted").alias("trusted"))

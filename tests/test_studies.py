@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkcase import sources
 from sparkcase.functions import scalar
-from sparkcase.operators import evidence, generate, guardrails, history, knowledge, metrics, resolution, retrieval
+from sparkcase.operators import evidence, generate, guardrails, history, knowledge, metrics, models, reconcile, resolution, retrieval
 
 
 def rows(df):
@@ -160,3 +160,35 @@ def test_links_out_of_the_folder_are_rejected(spark, tmp_path):
     os.symlink(outside, inside / "c.md")
     good, bad = knowledge.load(spark, str(inside))
     assert [r["text"] for r in good.collect()] == ["a", "b"] and [r["reason"] for r in bad.collect()] == ["outside_folder"]
+
+
+def test_cases_are_reconciled_at_their_own_time(spark):
+    at = lambda d: dt.datetime(2025, 1, d)
+    tx = spark.createDataFrame([("T1", "c", at(1), 10.0, "USD", "R")], "transaction_id string, customer_id string, ts timestamp_ntz, amount double, currency string, reference_id string")
+    led = spark.createDataFrame([("L1", "T1", 10.0, "USD", at(1), "pending", "R")], "ledger_id string, transaction_id string, posted_amount double, currency string, posting_ts timestamp_ntz, status string, reference_id string")
+    cases = spark.createDataFrame([(1, "T1", at(2)), (2, "T1", at(20))], "case_id int, transaction_id string, as_of timestamp_ntz")
+    got = reconcile.reconcile_cases(cases, tx, led).select("case_id", F.transform("findings", lambda f: f["rule_id"]).alias("r"))
+    assert rows(got) == [(1, []), (2, ["REC-010"])]
+    assert [len(r["postings"]) for r in reconcile.with_postings(tx, led.unionByName(led)).collect()] == [2]
+    assert reconcile.with_postings(tx, led.limit(0)).first()["postings"] == []
+
+
+def test_a_store_fetches_and_counts(spark):
+    docs = spark.createDataFrame([(1, "trusted"), (2, "untrusted"), (3, "trusted")], "doc_id int, trust string")
+    assert rows(retrieval.fetched(docs, docs.filter("doc_id > 1").unionByName(docs.filter("doc_id = 3")))) == [(2, "untrusted"), (3, "trusted")]
+    assert rows(retrieval.stored(docs)) == [(3, 2)]
+
+
+def test_scores_with_a_threshold_from_validation(spark):
+    data = spark.range(900).select(F.col("id").alias("transaction_id"), (F.col("id") % 10 == 0).cast("int").alias("label"), (F.rand(3) + F.when(F.col("id") % 10 == 0, 2.0).otherwise(0.0)).alias("log_amount"), F.rand(4).alias("z"),
+                                   F.when(F.col("id") < 540, "train").when(F.col("id") < 720, "validation").otherwise("test").alias("split")).cache()
+    got = models.scoring_service(data, ["log_amount", "z"])
+    test = got.filter("split = 'test'")
+    # The threshold is the least score of validation's positives, so single positives of the test may lie below it.
+    assert 15 <= test.filter("flagged and label = 1").count() <= 18 == test.filter("label = 1").count() and test.filter("flagged and label = 0").count() == 0
+    assert got.filter("in_training_period").count() == 540 and got.first()["drivers"][0]["feature"] == "log_amount"
+
+
+def test_amounts_as_text(spark):
+    got = spark.sql("select 2.675D a, -1.5D b, 0D c").select(*[scalar.amount_text(F.col(c), signed=True) for c in "abc"], scalar.amount_text(F.lit(1234.5)))
+    assert tuple(got.first()) == ("+2.68", "-1.50", "+0.00", "1234.50")
