@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,18 +10,19 @@ FILES = {"customers": "customers.csv", "kyc_records": "kyc_records.csv", "transa
 
 
 def read_raw(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV of strings, every cell as it is (line ends within quotes too), with _row_number from 1 in its file.
+    """A CSV of strings, every cell as it is (line ends within quotes too), with _row_number from 1, over files in order of name.
 
-    A file of quoted line ends cannot be split, so a file is one task; its rows
-    keep their order, and a row's number is its place among those of its file.
-    Files that are too large for that should come as several.
+    A file of quoted line ends cannot be split, so a file is one task, in which
+    its rows keep their order. Files that are too large for that should come as several.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     rows = rows.withColumns({"__file": F.input_file_name(), "__at": F.monotonically_increasing_id()})
-    # Ids ascend within a file's one task; the least of each file is a row a file.
-    first = rows.groupBy("__file").agg(F.min("__at").alias("__first"))
-    return rows.join(first, "__file").withColumn("_row_number", F.col("__at") - F.col("__first") + 1).drop("__file", "__at", "__first")
+    # Ids ascend within a file's one task; what is summed in one order is a row a file.
+    files = rows.groupBy("__file").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = files.select("__file", "__first", before.alias("__before"))
+    return rows.join(first, "__file").withColumn("_row_number", F.col("__at") - F.col("__first") + 1 + F.col("__before")).drop("__file", "__at", "__first", "__before")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
