@@ -39,6 +39,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Ids that are coded at once, about.
 GROUP_IDS = 400_000
+#: Pieces that a worker remembers: about 200 MB at most.
+MEMO_PIECES = 500_000
 FIELDS = [
     T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()),
     T.StructField("payload", T.BinaryType()), T.StructField("blocks", T.ArrayType(T.IntegerType())),
@@ -79,7 +81,7 @@ def _encoder(path: str, narrow: bool) -> Callable[[str], bytes]:
         raw = piece if piece.isascii() else piece.encode().decode("latin-1")
         return packed([t.id for t in tokenize(raw.translate(letters))], narrow)
 
-    added, by_pieces = [t["content"] for t in spec.get("added_tokens", ())], TextEncoder(of_piece)
+    added, by_pieces = [t["content"] for t in spec.get("added_tokens", ())], TextEncoder(of_piece, MEMO_PIECES)
     return lambda text: whole(text) if any(t in text for t in added) else by_pieces(text)
 
 
