@@ -7,17 +7,19 @@ from .decontaminate import op9_decontamination
 from .html import op8_html_extraction
 from .language import op2_language_id
 from .near_dup import op3_near_dedup
+from .packing import op11_packing
 from .pii import op5_pii
 from .sharding import op10_sharding
 from .token_files import op6_token_files
 from .topk import op1_exact_topk
 from .urls import op7_url_filters
+from .whitening import op13_whitening
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_topk, op2_language_id, op3_near_dedup, op4_byte_bpe, op5_pii, op6_token_files, op7_url_filters,
-        op8_html_extraction, op9_decontamination, op10_sharding,
+        op8_html_extraction, op9_decontamination, op10_sharding, op11_packing, op13_whitening,
     )
 }
 #: SQL of three whole queries, by brute force: every vector against every query, every window by its text, every pair
