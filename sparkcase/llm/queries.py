@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_byte_bpe
+from .collocations import op12_collocations
 from .decontaminate import op9_decontamination
 from .html import op8_html_extraction
 from .language import op2_language_id
@@ -19,11 +20,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_topk, op2_language_id, op3_near_dedup, op4_byte_bpe, op5_pii, op6_token_files, op7_url_filters,
-        op8_html_extraction, op9_decontamination, op10_sharding, op11_packing, op13_whitening,
+        op8_html_extraction, op9_decontamination, op10_sharding, op11_packing, op12_collocations, op13_whitening,
     )
 }
-#: SQL of three whole queries, by brute force: every vector against every query, every window by its text, every pair
-#: of documents that share a shingle. Trained models, merges by rank, files, and learned spans and templates have none.
+#: SQL of four whole queries, by brute force: every vector against every query, every window by its text, every pair
+#: of documents that share a shingle, every phrase. Trained models, merges by rank, files, and learned spans and templates have none.
 TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
@@ -51,4 +52,20 @@ r AS (SELECT DISTINCT doc_id AS u, doc_id AS root FROM d UNION SELECT g.v, r.roo
 m AS (SELECT u, min(root) AS root FROM r GROUP BY 1)
 SELECT documents.doc_id, m.root AS class_id FROM documents LEFT JOIN m ON m.u = documents.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_exact_topk": TOP_K, "op3_near_dedup": CLASSES, "op9_decontamination": HITS}
+_GRAM = " UNION ALL ".join(
+    f"SELECT lang, {k} AS size, w[i : i + {k - 1}] AS g FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM p)" for k in range(1, 5)
+)
+PHRASES = f"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+f AS (SELECT lang, size, g, count(*) AS f FROM ({_GRAM}) GROUP BY ALL HAVING count(*) >= 30),
+x AS (SELECT lang, size, g, max(f) AS longer FROM (SELECT lang, size - 1 AS size, g[1 : size - 1] AS g, f FROM f WHERE size > 2 UNION ALL SELECT lang, size - 1, g[2 : size], f FROM f WHERE size > 2) GROUP BY ALL),
+c AS (SELECT f.lang, f.size, f.g, f.f AS a FROM f LEFT JOIN x ON x.lang = f.lang AND x.g = f.g WHERE f.size > 1 AND (longer IS NULL OR 100 * longer::HUGEINT < 80 * f.f::HUGEINT)),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.*, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f)::HUGEINT AS score FROM k
+  JOIN f l ON l.lang = k.lang AND l.g = k.g[1 : k.k] JOIN f r ON r.lang = k.lang AND r.g = k.g[k.k + 1 : k.size]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM b)
+SELECT o.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op1_exact_topk": TOP_K, "op3_near_dedup": CLASSES, "op9_decontamination": HITS, "op12_collocations": PHRASES}
