@@ -6,22 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.injection import pattern_flags
+from ..functions.payload import payload_content
 from ..functions.scalar import rank_of
 
 DECISIONS = ("CLEAR", "REVIEW", "ESCALATE")
 SEVERITIES = ("low", "medium", "high")
 STATUS_RULES = ("REC-009", "REC-010")
+# The currencies that count, and the months' names.
 CURRENCIES = ("USD", "GBP", "EUR", "INR", "AED", "SGD", "CAD", "AUD")
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-#: Kinds of checkable content, in the order in which they are taken out of a text (numbers come last).
-ORDER = (
-    ("ids", r"\b(?:[A-Z]{2,6}-[A-Z0-9]+(?:-[A-Z0-9]+)*|[a-z0-9_]+:[a-z0-9_-]+:\d+)\b"),
-    ("dates", r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?"),
-    ("prose_mdy", rf"(?i)\b{_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?(?:,? \d{{4}})?\b"),
-    ("prose_dmy", rf"(?i)\b\d{{1,2}}(?:st|nd|rd|th)? {_MONTH}\.?(?:,? \d{{4}})?\b"),
-    ("clock_ampm", r"(?i)\b\d{1,2}:\d{2}\s?[ap]\.?m\b"), ("clock", r"\b\d{1,2}:\d{2}(?::\d{2})?\b"), ("ampm", r"(?i)\b\d{1,2}\s?[ap]\.?m\b"),
-    ("numbers", r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?"),
+MONTHS = "january february march april may june july august september october november december".split()
+
+
+def _month() -> str:
+    """Names and short names, all lower, capitalised or all upper; "may" in lower case is a verb."""
+    names = {n for m in MONTHS for n in (m, m[:3])} | {"sept"}
+    forms = {f for n in names for f in (n, n.capitalize(), n.upper()) if f != "may"}
+    return "(?:" + "|".join(sorted(forms, key=lambda f: (-len(f), f))) + ")"
+
+
+_DAY, _YEAR, _NOON = r"\d{1,2}(?:st|nd|rd|th)?", r"(?:,?\s+\d{4})?\b", r"(?i:am|pm|a\.m\.|p\.m\.)(?![A-Za-z])"
+_MDY = rf"{_month()}\.?\s+{_DAY}{_YEAR}"
+#: One pass over a text finds all that can be checked: at each place the first form that fits. A citation's E: or K:
+#: belongs to its id; a chunk's id is document:section:number. Digits that touch letters, hyphens or colons are no number.
+LEXER = "|".join((
+    r"\b(?:[EK]:)?(?:KB-[A-Z]+-\d+(?::[a-z0-9-]+)*|[A-Z]{2,}(?:-[A-Za-z0-9]+)+)\b", r"\b[a-z_][a-z0-9_]*:[a-z0-9_-]+:\d+\b",
+    r"\b\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2})?", rf"\b{_MDY}", rf"\b{_DAY}\s+(?!{_MDY}){_month()}\.?{_YEAR}",
+    rf"\b\d{{1,2}}:\d{{2}}\s?{_NOON}", r"\b\d{1,2}:\d{2}\b", rf"\b\d{{1,2}}\s?{_NOON}",
+    r"(?<![\w.:-])\d[\d,]*(?:\.\d+)?(?![\w:-])", r"\b(?:" + "|".join(CURRENCIES) + r")\b",
+))
+#: What a found piece is: the first that its beginning, or all of it, fits; else it is a number.
+_SORTS = (
+    ("id", r"^[EK]:|^[A-Z]{2,}-|^[a-z_][a-z0-9_]*:"), ("date", r"^\d{4}-\d{2}-\d{2}"), ("currency", r"^[A-Z]{3}$"), ("spoken", r"^[A-Za-z]"),
+    ("noon", r"(?i)^\d{1,2}\s?[ap]\.?m\.?$"), ("clock", ":"), ("spoken", "[A-Za-z]"),
 )
 
 
@@ -30,29 +46,33 @@ def _bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def citation(ref: Column) -> Column:
+    """A reference without the E: or K: that a citation may begin with."""
+    return F.when(F.substring(ref, 1, 2).isin("E:", "K:"), F.substring(ref, F.lit(3), F.length(ref))).otherwise(ref)
+
+
 def tokens(text: Column) -> Column:
     """struct of the checkable content of a text: ids, dates, month_days, times, hours, numbers (text), currencies."""
-    def taken(rest: Column, kinds: tuple, found: dict[str, Column]) -> Column:
-        """Takes each kind in turn out of what the kinds before it have left."""
-        kind, pattern = kinds[0]
-        found = {**found, kind: F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))}
-        if len(kinds) == 1:
-            every = F.struct(*[v.alias(k) for k, v in found.items()], rest.alias("rest"))
-            return _bound(every, lambda x: _content({k: x[k] for k in found}, x["rest"]))
-        return _bound(F.regexp_replace(rest, pattern, " "), lambda left: taken(left, kinds[1:], found))
+    def sort(piece: Column) -> Column:
+        kind = F.lit("number")
+        for name, pattern in reversed(_SORTS):
+            kind = F.when(piece.rlike(pattern), name).otherwise(kind)
+        return F.struct(kind.alias("kind"), piece.alias("piece"))
+
+    return _bound(F.transform(F.regexp_extract_all(text, F.lit(LEXER), F.lit(0)), sort), _content)
 
-    return _bound(F.regexp_replace(text, r"\b[EK]:(?=[A-Za-z0-9])", ""), lambda rest: taken(rest, ORDER, {}))
 
+def _content(found: Column) -> Column:
+    def of(*kinds: str) -> Column:
+        return F.transform(F.filter(found, lambda x: x["kind"].isin(*kinds)), lambda x: x["piece"])
 
-def _content(found: dict[str, Column], rest: Column) -> Column:
-    months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(f"{i + 1:02d}"))])
+    months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m[:3]), F.lit(f"{i + 1:02d}"))])
 
-    def prose(x: Column) -> Column:
+    def spoken(x: Column) -> Column:
         """yyyy-mm-dd, or mm-dd without a year."""
-        named = F.regexp_extract(x, rf"(?i)({_MONTH})", 1)
-        month = F.element_at(months, F.lower(F.substring(named, 1, 3)))
-        day = F.lpad(F.regexp_extract(x, r"\b(\d{1,2})(?:st|nd|rd|th)?\b", 1), 2, "0")
-        year = F.regexp_extract(x, r"(\d{4})\s*$", 1)
+        month = F.element_at(months, F.lower(F.substring(F.regexp_extract(x, f"({_month()})", 1), 1, 3)))
+        day = F.lpad(F.regexp_extract(x, r"(?<!\d)(\d{1,2})(?!\d)", 1), 2, "0")
+        year = F.regexp_extract(x, r"(\d{4})$", 1)
         return F.when(year != "", F.concat_ws("-", year, month, day)).otherwise(F.concat_ws("-", month, day))
 
     def clock(x: Column) -> Column:
@@ -61,27 +81,47 @@ def _content(found: dict[str, Column], rest: Column) -> Column:
         hour = F.when(x.rlike("(?i)[ap]"), hour % 12 + pm).otherwise(hour % 24)
         return F.struct(hour.alias("hour"), F.regexp_extract(x, r":(\d{2})", 1).alias("minute"))
 
-    spoken = F.transform(F.concat(found["prose_mdy"], found["prose_dmy"]), prose)
-    stamped = F.transform(F.filter(found["dates"], lambda d: F.length(d) > 10), lambda d: clock(F.substring(d, 12, 5)))
-    clocks = F.concat(stamped, F.transform(F.concat(found["clock_ampm"], found["clock"]), clock))
-    hours = F.concat(F.transform(clocks, lambda c: c["hour"]), F.transform(F.transform(found["ampm"], clock), lambda c: c["hour"]))
-    return F.struct(
-        F.array_distinct(found["ids"]).alias("ids"),
-        F.array_distinct(F.concat(F.transform(found["dates"], lambda d: F.substring(d, 1, 10)), F.filter(spoken, lambda d: F.length(d) == 10))).alias("dates"),
-        F.array_distinct(F.filter(spoken, lambda d: F.length(d) == 5)).alias("month_days"),
-        F.array_distinct(F.transform(clocks, lambda c: F.format_string("%02d:%s", c["hour"], c["minute"]))).alias("times"),
-        F.array_distinct(hours).alias("hours"),
-        F.transform(found["numbers"], lambda n: F.regexp_replace(n, ",", "")).alias("numbers"),
-        F.array_distinct(F.filter(F.regexp_extract_all(rest, F.lit(r"\b[A-Z]{3}\b"), F.lit(0)), lambda c: c.isin(*CURRENCIES))).alias("currencies"),
+    stamped = F.transform(F.filter(of("date"), lambda d: F.length(d) > 10), lambda d: F.substring(d, 12, 5))
+    parts = F.struct(
+        F.transform(of("spoken"), spoken).alias("days"), F.transform(F.concat(stamped, of("clock")), clock).alias("clocks"),
+        F.transform(of("noon"), lambda x: clock(x)["hour"]).alias("noons"),
     )
+    return _bound(parts, lambda p: F.struct(
+        F.array_distinct(F.transform(of("id"), citation)).alias("ids"),
+        F.array_distinct(F.concat(F.transform(of("date"), lambda d: F.substring(d, 1, 10)), F.filter(p["days"], lambda d: F.length(d) == 10))).alias("dates"),
+        F.array_distinct(F.filter(p["days"], lambda d: F.length(d) == 5)).alias("month_days"),
+        F.array_distinct(F.transform(p["clocks"], lambda c: F.format_string("%02d:%s", c["hour"], c["minute"]))).alias("times"),
+        F.array_distinct(F.concat(F.transform(p["clocks"], lambda c: c["hour"]), p["noons"])).alias("hours"),
+        F.transform(of("number"), lambda n: F.replace(n, F.lit(","), F.lit(""))).alias("numbers"),
+        F.array_distinct(of("currency")).alias("currencies"),
+    ))
 
 
 KINDS = ("ids", "dates", "month_days", "times", "hours", "numbers", "currencies")
 
 
+#: Stands between texts that are read together and fits no form.
+_APART = "\x1f"
+
+
 def evidence_index(evidence: DataFrame) -> DataFrame:
-    """One row per evidence item (case_id, ref, kind, text) with its tokens."""
-    return evidence.select("case_id", "ref", "kind", tokens(F.col("text")).alias("t"))
+    """One row per evidence item (case_id, ref, kind, text) with its tokens.
+
+    Its own reference counts as an id in it. With a column `payload` (JSON text)
+    all its values count too, at any depth: numbers as they are, strings by what
+    they hold, field names as words, and a whole `hour_of_day` as an hour.
+    """
+    own = lambda t, ref: t.withField("ids", F.array_union(t["ids"], F.array(ref)))
+    if "payload" not in evidence.columns:
+        return evidence.select("case_id", "ref", "kind", _bound(tokens(F.col("text")), lambda t: own(t, F.col("ref"))).alias("t"))
+    rows = evidence.select("case_id", "ref", "kind", "text", payload_content(F.col("payload")).alias("p"))
+    words = F.concat_ws(_APART, F.col("text"), F.array_join("p.strings", _APART), F.array_join("p.fields", _APART))
+
+    def joined(t: Column) -> Column:
+        hours = F.when(F.col("p.hour").isNotNull(), F.array_union(t["hours"], F.array("p.hour"))).otherwise(t["hours"])
+        return own(t, F.col("ref")).withField("numbers", F.concat(t["numbers"], F.col("p.numbers"))).withField("hours", hours)
+
+    return rows.select("case_id", "ref", "kind", _bound(tokens(words), joined).alias("t"))
 
 
 def supported(number: Column, available: Column) -> Column:
@@ -116,7 +156,7 @@ def verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     inference that lacks only derived values: unverifiable; else unsupported.
     """
     index = evidence_index(evidence)
-    cited = claims.select("case_id", "claim_id", F.explode("refs").alias("ref")).join(index, ["case_id", "ref"], "left")
+    cited = claims.select("case_id", "claim_id", F.explode(F.array_distinct(F.transform("refs", citation))).alias("ref")).join(index, ["case_id", "ref"], "left")
     known = cited.groupBy("case_id", "claim_id").agg(
         F.count_if(F.col("kind").isNull()).alias("unknown"), F.count_if(F.col("kind") == "evidence").alias("case_items"), F.count("kind").alias("items"))
     have = _gathered(cited.filter("kind is not null"), "case_id", "claim_id")
@@ -161,8 +201,10 @@ FACTS = {"rule_id": "string", "severity": "string", "flagged": "boolean", "other
 
 
 def engine_floor(evidence: DataFrame, **options) -> DataFrame:
-    """(case_id, floor, reasons): REVIEW if any item of the case calls for it, else null; never higher."""
+    """(case_id, floor, reasons): REVIEW if any item of the case calls for it, else null; never higher. Text within a column `payload` (JSON) is read too."""
     columns = {k: F.col(k) if k in evidence.columns else F.lit(None).cast(t) for k, t in FACTS.items()}
+    if "payload" in evidence.columns:
+        columns["text"] = F.concat_ws("\n", columns["text"], payload_content(F.col("payload"))["strings"])
     rows = evidence.select("case_id", floor_reasons(columns, **options).alias("r"))
     return rows.groupBy("case_id").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("reasons")).withColumn(
         "floor", F.when(F.size("reasons") > 0, F.lit("REVIEW"))

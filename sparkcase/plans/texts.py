@@ -307,6 +307,29 @@ def claim_verdicts(spark, sf_dir):
     return guardrails.verdicts(claims, case).select("claim_id", "status")
 
 
+@slate("""WITH x AS (SELECT event_id, hour(ts) AS h, CAST(floor(value * 100) AS DECIMAL(18, 0)) / 100.0 AS amount, CAST(floor(value * 10) AS DECIMAL(18, 0)) / 10.0 AS told FROM events),
+n AS (SELECT *, [amount, h, 3, 24] AS held FROM x)
+SELECT event_id AS claim_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN len(list_filter(held, lambda v: abs(v - told) <= 0.05 + 1e-9)) > 0 THEN 'supported' ELSE 'unsupported' END
+  WHEN 1 THEN CASE WHEN h < 12 THEN 'supported' ELSE 'unsupported' END
+  WHEN 2 THEN CASE WHEN len(list_filter(held, lambda v: abs(v - event_id % 7) <= 0.5 + 1e-9)) > 0 AND len(list_filter(held, lambda v: abs(v - (24 + event_id % 3)) <= 0.5 + 1e-9)) > 0 THEN 'supported' ELSE 'unsupported' END
+  ELSE CASE WHEN event_id % 3 = 0 THEN 'unverifiable' WHEN event_id % 3 = 1 THEN 'supported' ELSE 'unsupported' END END AS status FROM n""")
+def payload_claims(spark, sf_dir):
+    """Claims that quote what the payloads of events hold: amounts as rounded, hours, words of field names, and the item's own id."""
+    e, key = table(spark, sf_dir, "events"), F.col("event_id")
+    cents, tenths = (F.floor(F.col("value") * k).cast("decimal(18,0)") for k in (100, 10))
+    payload = F.to_json(F.struct(
+        (cents / 100).cast("decimal(18,2)").alias("amount"), F.hour("ts").alias("hour_of_day"), F.struct(F.array(F.struct(F.lit(3).alias("seen_in_prior_24_h"))).alias("windows"), F.col("event_type").alias("type")).alias("detail")))
+    case = e.select(F.col("user_id").alias("case_id"), F.concat(F.lit("EV-"), key.cast("string")).alias("ref"), F.lit("evidence").alias("kind"), F.lit("event").alias("text"), payload.alias("payload"))
+    noon = F.when(F.hour("ts") % 12 == 0, 12).otherwise(F.hour("ts") % 12)
+    claim = (
+        F.when(key % 4 == 0, F.concat(F.lit("an amount of "), (tenths / 10).cast("decimal(18,1)").cast("string"))).when(key % 4 == 1, F.concat(F.lit("at "), noon.cast("string"), F.lit(" am")))
+        .when(key % 4 == 2, F.concat(F.lit("seen "), (key % 7).cast("string"), F.lit(" times in "), (24 + key % 3).cast("string"), F.lit(" hours")))
+        .when(key % 3 == 0, F.concat(F.lit("of type "), "event_type")).otherwise(F.concat(F.lit("EV-"), (key + key % 3 - 1).cast("string"), F.lit(" is of this case")))
+    )
+    claims = e.select(F.col("user_id").alias("case_id"), key.alias("claim_id"), claim.alias("claim"), F.lit("fact").alias("claim_kind"), F.array(F.concat(F.lit("E:EV-"), key.cast("string"))).alias("refs"))
+    return guardrails.verdicts(claims, case).select("claim_id", "status")
+
+
 @slate("WITH x AS (SELECT conv_id, turn, regexp_extract_all(text || ' [1,234.5] ' || CAST(conv_id AS VARCHAR) || ' and 7.25', '[0-9][0-9,]*(?:[.][0-9]+)?') AS n FROM conversations WHERE NOT regexp_matches(text, '[0-9]')) SELECT conv_id, turn, array_to_string(list_transform(n, lambda v: replace(v, ',', '')), ' ') AS numbers FROM x")
 def claim_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike("[0-9]")).select(
