@@ -24,9 +24,11 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,59 +43,103 @@ from .pieces import Memo, packed
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 4096
 END_ID = 1
-#: Words that a worker remembers, with and without marks: about 200 MB at most.
-MEMO_WORDS = 400_000
+#: Words that a worker remembers, with and without marks, and as many older ones: about 200 MB at most.
+MEMO_WORDS = 700_000
 #: Marks that a word is remembered without. No apostrophe: the pattern joins it to letters.
 MARKS = '.,;:!?"()[]{}|-_/<>*#=+&%'
+#: A mark next to another, and letters that change otherwise when lowered first: such texts are split as they are.
+_MARK_RUN = re.compile(r"[,.;:!?](?=\s)(?<=[^\w\s].|_.)", re.DOTALL)
+_CASE_ODD = re.compile("[\u0300-\u036f\u03a3\u0130]")
 #: The pre-tokenizing pattern under which white space only divides (a fixed value of the vocabulary file).
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str, narrow: bool) -> Callable[[str], bytes]:
-    """text -> ids as little-endian integers of 32 bits (narrow: 16), as the tokenizers library gives them.
+class TextEncoder:
+    """texts -> their ids as little-endian integers of 32 bits (narrow: 16), as the tokenizers library gives them.
 
-    Where the vocabulary drops white space and no rule looks across it, each
-    word between white space is encoded by the library once. Texts with an added
-    token or with control characters that only Python takes for white space, and
-    texts under any other vocabulary, go through the library whole.
+    Where the vocabulary drops white space and no rule looks across it, the words
+    between white space that are not remembered are encoded together, once each:
+    each word of letters alone ends in one token that can only end a word, by
+    which the ids are told apart. Marks round a word are tokens of their own, so
+    words are remembered without them. Texts with an added token or with control
+    characters that only Python takes for white space, and texts under any other
+    vocabulary, go through the library whole.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    spec = json.loads(tokenizer.to_str())
-
-    def whole(text: str) -> bytes:
-        return packed(tokenizer.encode(text, add_special_tokens=False).ids, narrow)
 
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    kinds = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", ())}
-    divides = steps[0].get("pattern") == {"Regex": WORDWISE} and steps[0].get("behavior") == "Removed" and kinds <= {"NFC", "Replace", "Lowercase"}
-    if not divides:
-        return whole
-    added = [t["content"] for t in spec.get("added_tokens", ())] + ["\x1c", "\x1d", "\x1e", "\x1f"]
-    letters, model = bytes(range(97, 123)), tokenizer.model
-
-    def of_core(core: str) -> bytes:
-        if core.isascii() and not core.encode().translate(None, letters):
-            return packed([t.id for t in model.tokenize(core)], narrow)
-        return whole(core)
+    def __init__(self, path: str, narrow: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.narrow = Tokenizer.from_file(path), narrow
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        kinds = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", ())}
+        end = spec["model"].get("end_of_word_suffix")
+        self.divides = bool(end) and steps[0].get("pattern") == {"Regex": WORDWISE} and steps[0].get("behavior") == "Removed" and kinds <= {"NFC", "Replace", "Lowercase"}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if end and t.endswith(end)]] = True
+        self.whole_only = [t["content"] for t in spec.get("added_tokens", ())] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = Memo(self.whole, 10_000)
+
+    def whole(self, text: str) -> bytes:
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids, self.narrow)
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text; single marks before white space stand alone, and A-Z are lowered, where this changes no id."""
+        if not _MARK_RUN.search(text) and (text.isascii() or not _CASE_ODD.search(text)):
+            text = text.lower()
+            for mark in ",.;:!?":
+                text = text.replace(mark + " ", f" {mark} ").replace(mark + "\n", f" {mark} ")
+        return text.split()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.split(t) if t and self.divides and not any(x in t for x in self.whole_only) else None for t in texts]
+        fresh = set(chain.from_iterable(w for w in split if w)).difference(self.words)
+        if len(self.words) + len(fresh) > MEMO_WORDS:
+            self.older, self.words = self.words, {}
+            fresh = set(chain.from_iterable(w for w in split if w))
+        self.learn(fresh)
+        known = self.words.__getitem__
+        return [b"" if not t else self.whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split)]
+
+    def learn(self, fresh: set[str]) -> None:
+        words, older = self.words, self.older
+        for word in fresh.intersection(older):
+            words[word] = older[word]
+        rest = [w for w in fresh if w not in words] if older else fresh
+        marked = [(w, w.strip(MARKS)) for w in rest if not w.isalpha()]
+        new = {w for w in rest if w.isalpha()}
+        new.update(core for _, core in marked if core.isalpha() and core not in words)
+        plain = list(new)
+        for at in range(0, len(plain), 2_000):
+            some = plain[at : at + 2_000]
+            words.update(zip(some, self.together(some)))
+        for word, core in marked:
+            if core.isalpha():
+                first = word.index(core)
+                before, after = word[:first], word[first + len(core) :]
+                words[word] = (self.marks[before] if before else b"") + words[core] + (self.marks[after] if after else b"")
+            else:
+                words[word] = self.marks[word]
 
-    cores = Memo(of_core, MEMO_WORDS)
+    def together(self, some: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, from one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(some):  # a letter that lower-cases to more than letters
+            return [self.whole(w) for w in some]
+        width = 2 if self.narrow else 4
+        data, at = ids.astype("<u2" if self.narrow else "<u4").tobytes(), [0, *(ends * width).tolist()]
+        return [data[i:j] for i, j in zip(at, at[1:])]
 
-    def of_word(word: str) -> bytes:
-        """Marks round a word are tokens of their own, so words are remembered without them, in lower case."""
-        core = word.strip(MARKS)
-        if not core or not (core[0].isalnum() and core[-1].isalnum()):
-            return whole(word)
-        first = word.index(core)
-        before, after = word[:first], word[first + len(core) :]
-        ids = cores[core.lower() if core.isascii() else core]
-        return (words[before] if before else b"") + ids + (words[after] if after else b"")
 
-    words = Memo(of_word, MEMO_WORDS // 2)
-    return lambda text: whole(text) if any(t in text for t in added) else b"".join(map(words.__getitem__, text.split()))
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, narrow: bool) -> TextEncoder:
+    """One for each worker: what it remembers stays there over tasks."""
+    return TextEncoder(path, narrow)
 
 
 def pieces(df: DataFrame, vocabulary: str, limit: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -113,8 +159,8 @@ def pieces(df: DataFrame, vocabulary: str, limit: int, end_id: int, id_col: str,
         for batch in batches:
             for part in halved(batch):
                 rows, number, ids, crcs, place = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    data = (encode(text) if text else b"") + end
+                for i, found in enumerate(encode(part.column(1).to_pylist())):
+                    data = found + end
                     for k, at in enumerate(range(0, len(data), limit * width)):
                         ids.append(data[at : at + limit * width])
                         rows.append(i)
