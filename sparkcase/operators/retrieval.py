@@ -1,7 +1,7 @@
 """BM25, dense and fused retrieval as joins and aggregates.
 
-documents: (doc_id, tokens array); queries: (query_id, tokens array). Only the
-postings of query terms are joined; statistics are partial aggregates.
+documents: (doc_id, tokens array), or their WordIndex; queries: (query_id, tokens
+array). Words are looked up in a written index over blocks of documents.
 """
 
 from __future__ import annotations
@@ -12,50 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import dot
+from . import wordindex
+from .wordindex import B, K1, WordIndex, idf
 
-K1, B, RRF_K = 1.5, 0.75, 60
+RRF_K = 60
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, length)"""
-    terms = documents.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return terms.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def statistics(documents: DataFrame) -> DataFrame:
-    """One row: n documents and their mean length."""
-    return documents.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-
-
-def idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
-
-
-def term_weights(posts: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(term, doc_id, weight); stats is one row, so the join is a broadcast of it."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    tf, norm = F.col("tf"), 1 - b + b * F.col("length") / F.col("avgdl")
-    return posts.join(df, "term").join(F.broadcast(stats)).select(
-        "term", "doc_id", (idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * norm)).alias("weight"),
-    )
+def bm25(queries: DataFrame, documents: DataFrame | WordIndex) -> DataFrame:
+    """(query_id, doc_id, bm25): each query's distinct terms count once; documents without a shared term are absent."""
+    return wordindex.scores(queries, _index(documents))
 
 
-def bm25(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, doc_id, bm25): each query's distinct terms count once; documents without a shared term are absent."""
-    posts = postings(documents)
-    wanted = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    weights = term_weights(posts.join(wanted.select("term").distinct(), "term", "left_semi"), statistics(documents))
-    return wanted.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("bm25"))
+def _index(documents: DataFrame | WordIndex) -> WordIndex:
+    return documents if isinstance(documents, WordIndex) else wordindex.build(documents)
 
 
-def ceilings(queries: DataFrame, documents: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def ceilings(queries: DataFrame, documents: DataFrame | WordIndex, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, ceiling): the score of a document that equals the query; repeated terms count by their number, unseen ones too."""
-    stats = statistics(documents)
-    df = documents.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    index = _index(documents)
     own = queries.select("query_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    own = own.groupBy("query_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).join(df, "term", "left").fillna(0, ["df"]).join(F.broadcast(stats))
+    own = own.groupBy("query_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = own.join(index.frequencies(own.select("term").distinct()), "term", "left").fillna(0, ["df"])
     tf = F.col("tf")
-    weight = idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
+    weight = idf(F.lit(int(index.stats["n"])), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.lit(index.stats["avgdl"])))
     return own.groupBy("query_id").agg(F.sum(weight).alias("ceiling"))
 
 
@@ -132,14 +111,16 @@ def reciprocal_rank_fusion(lists: list[DataFrame], k: int, constant: int = RRF_K
 def search(queries: DataFrame, documents: DataFrame, k: int = 5, pool: int = 30, untrusted: bool = False) -> DataFrame:
     """Hybrid retrieval with component scores. documents: doc_id, tokens, vector, trust; the trust filter comes before ranking."""
     allowed = documents if untrusted else documents.filter(F.col("trust") == "trusted")
-    words = bm25(queries, allowed)
+    index = wordindex.build(allowed)
+    words = wordindex.best(queries, index, pool)
     near = nearest(queries, allowed, max(k, pool))
-    fused = reciprocal_rank_fusion([ranked(words, "bm25", pool), near], k)
+    fused = reciprocal_rank_fusion([words, near], k)
     # The vectors of what the words alone have found are fetched late, for these few rows.
     vectors = allowed.select("doc_id", "vector").join(fused.select("doc_id").distinct(), "doc_id", "left_semi")
     scored = fused.join(vectors, "doc_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
     scored = scored.withColumn("dense", dot(F.col("q"), F.col("vector"))).drop("q", "vector")
-    return scored.join(words, ["query_id", "doc_id"], "left").fillna(0.0, ["bm25"])
+    # What the vectors alone have found gets its own score by words too.
+    return scored.join(bm25(queries, index), ["query_id", "doc_id"], "left").fillna(0.0, ["bm25"])
 
 
 def first_seen(results: DataFrame, most: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import injection, similarity, text
-from ..operators import audit, guardrails, knowledge, quality, resolution, retrieval
+from ..operators import audit, guardrails, knowledge, quality, resolution, retrieval, wordindex
 from ..session import table
 from .common import Slate, rounded
 
@@ -35,8 +35,18 @@ ce AS (SELECT query_id, sum(ln(1 + (n - coalesce(df, 0) + 0.5::double) / (coales
 @slate(BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(bm25, 4) AS bm25, rank FROM r WHERE rank <= 5")
 def bm25_words(spark, sf_dir):
     """The five best documents of each benchmark item by BM25."""
-    scores = retrieval.bm25(_asks(spark, sf_dir), _docs(spark, sf_dir)).withColumn("s", F.round("bm25", 6))
-    return rounded(retrieval.ranked(scores, "s", 5).select("query_id", "doc_id", "bm25", F.col("rank").cast("long").alias("rank")), "bm25", places=4)
+    found = wordindex.best(_asks(spark, sf_dir), wordindex.build(_docs(spark, sf_dir)), 5)
+    return rounded(found.select("query_id", "doc_id", "bm25", F.col("rank").cast("long").alias("rank")), "bm25", places=4)
+
+
+@slate(BM25.replace("SELECT item_id AS query_id,", "SELECT doc_id AS query_id,").replace("FROM benchmark", "FROM documents WHERE doc_id % 100 = 0").replace("AS tokens FROM documents WHERE", "[1:3] AS tokens FROM documents WHERE") + """, f AS (SELECT q.query_id, d.doc_id, coalesce(bm25, 0) AS bm25 FROM q CROSS JOIN d LEFT JOIN s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(bm25, 4) AS bm25, rank FROM r WHERE rank <= 60""")
+def bm25_filled(spark, sf_dir):
+    """The 60 best documents by the first three words of every hundredth document; lists that find fewer go on with score 0."""
+    docs = _docs(spark, sf_dir)
+    asks = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.slice("tokens", 1, 3).alias("tokens"))
+    found = wordindex.best(asks, wordindex.build(docs), 60, fill=True)
+    return rounded(found.select("query_id", "doc_id", "bm25", F.col("rank").cast("long").alias("rank")), "bm25", places=4)
 
 
 @slate(BM25 + " SELECT query_id, round(ceiling, 4) AS ceiling FROM ce")
@@ -46,7 +56,7 @@ def bm25_selfscore(spark, sf_dir):
 
 @slate(BM25 + ", m AS (SELECT s.query_id, doc_id, CASE WHEN ceiling > 0 THEN least(1, greatest(0, bm25 / ceiling)) ELSE 0 END AS x FROM s JOIN ce ON ce.query_id = s.query_id) SELECT query_id, count(*) AS n, round(max(x), 4) AS best FROM m GROUP BY 1")
 def bm25_normalised(spark, sf_dir):
-    asks, docs = _asks(spark, sf_dir), _docs(spark, sf_dir)
+    asks, docs = _asks(spark, sf_dir), wordindex.build(_docs(spark, sf_dir))
     rows = retrieval.normalised(retrieval.bm25(asks, docs), retrieval.ceilings(asks, docs))
     return rounded(rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("bm25_share").alias("best")), "best", places=4)
 
@@ -87,7 +97,7 @@ f AS (SELECT query_id, doc_id, sum(1.0::double / (60 + rank)) AS rrf FROM u GROU
 SELECT query_id, doc_id, round(rrf, 6) AS rrf, rank FROM k WHERE rank <= 5""")
 def rrf_fusion(spark, sf_dir):
     """Reciprocal rank fusion of a lexical and a dense list of 30 each."""
-    words = retrieval.ranked(retrieval.bm25(_asks(spark, sf_dir), _docs(spark, sf_dir)).withColumn("s", F.round("bm25", 6)), "s", 30)
+    words = wordindex.best(_asks(spark, sf_dir), wordindex.build(_docs(spark, sf_dir)), 30)
     near = retrieval.nearest(*_vectors(spark, sf_dir), 30).withColumn("query_id", F.floor(F.col("query_id") / 25).cast("long"))
     fused = retrieval.reciprocal_rank_fusion([words, near], 1_000).drop("rank").withColumn("s", F.round("rrf", 9))
     return rounded(retrieval.ranked(fused, "s", 5).select("query_id", "doc_id", "rrf", F.col("rank").cast("long").alias("rank")), "rrf")

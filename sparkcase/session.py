@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +25,21 @@ def session(app: str = "sparkcase", master: str | None = None, **settings: str)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a local session without it gets one of its own."""
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
+        return found
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written to the shared folder and read back: computed once, lineage cut, safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/sparkcase-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
