@@ -1,7 +1,7 @@
 """Instruction-like text: word rules on a text as it is and on a form without common disguises.
 
 A rule is a sequence of word lists with a bounded number of words between them,
-all within one sentence. Rules are compiled to regular expressions without
+all within one sentence; most must stand where an order stands. Rules are compiled to regular expressions without
 look-around, which the JVM and RE2 read alike.
 """
 
@@ -24,7 +24,7 @@ def _words(listed: str) -> str:
     return "(?:" + "|".join(f"{_OUTER}+".join(phrase.split()) for phrase in listed.split(",")) + ")"
 
 
-def _rule(*parts: str | int) -> str:
+def _chain(parts: tuple[str | int, ...]) -> str:
     """Word lists in this order; a number before a list is how many other words may come before it."""
     out, gap = "", 0
     for part in parts:
@@ -34,51 +34,58 @@ def _rule(*parts: str | int) -> str:
         if out:
             out += (f"(?:{_OUTER}+{_INNER}+){{0,{gap}}}" if gap else "") + f"{_OUTER}+"
         out, gap = out + _words(part), 0
-    return rf"(?:^|[^\p{{L}}\p{{N}}_]){out}(?:[^\p{{L}}\p{{N}}_]|$)"
+    return out
+
+
+_BEFORE, _AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
+
+
+def _rule(*parts: str | int) -> str:
+    """The chain anywhere in a text."""
+    return f"{_BEFORE}{_chain(parts)}{_AFTER}"
+
+
+def _command(*parts: str | int) -> str:
+    """The chain as an order: first in a clause, or after a word that leads to one. "They did not ..." is none."""
+    first = r"(?:^|[.!?:;,\n\r\"(>-])[^\p{L}\p{N}_]*"
+    led = f"{_BEFORE}{_words('please,now,then,and,you should,you must,you can,simply,to')}{_OUTER}+"
+    return f"(?:{first}|{led}){_chain(parts)}{_AFTER}"
 
 
 def _any(*rules: str) -> str:
     return "|".join(rules)
 
 
-_DROP = "ignore,disregard,discard,override,bypass,set aside"
-_ORDERS = "instruction,instructions,rule,rules,prompt,prompts,guideline,guidelines,guidance,policy,policies,orders,directions"
-_CONTROLS = "check,checks,control,controls,evidence,review,reviews,analysis,finding,findings,warning,warnings,alert,alerts,everything"
-_AGENT = "ai,assistant,model,bot,llm,officer,reviewer,analyst,administrator,admin,approver,system"
-_CLEARED = "clear,cleared,approved,verified,legitimate,normal,low risk,no risk,no issue,no issues,no discrepancy,no discrepancies,false positive,false positives"
-_ACT = "flag,escalate,report,review,mention,raise,investigate,check,verify,alert,analyse,analyze,screen"
+# The lists hold what the labelled sentences of tests/test_injection.py need, and no more.
+_SET_ASIDE = "ignore,disregard,bypass,override,skip"
+_GIVEN = "instruction,instructions,rule,rules,prompt,guidance,policy"
+_CHECKS = "check,checks,control,controls,review,evidence,alerts"
+_REPORT = "flag,report,escalate,review,question,hold"
 
 #: Names (fixed, in the order of the output) and rules of the eight kinds of instruction-like text.
 PATTERNS = {
     "override_previous_instructions": _any(
-        _rule(f"{_DROP},forget", 3, "previous,prior,earlier,above,preceding,all,any,your", 3, _ORDERS),
-        _rule("forget", 1, "everything,anything", 3, "above,before,earlier,told,said"),
+        _rule("ignore,ignoring,disregard,forget", 2, "previous,prior,earlier,above", 2, _GIVEN),
+        _command(_SET_ASIDE, 2, "all,your", 2, _GIVEN),
+        _command("forget", "everything", 3, "above,before,earlier"),
     ),
-    "override_verb_and_object": _rule(f"{_DROP},ignoring,disregarding,overriding,bypassing,skip,skipping,neglect", 4, f"{_ORDERS},{_CONTROLS}"),
+    "override_verb_and_object": _any(_command(_SET_ASIDE, 3, f"{_GIVEN},{_CHECKS}"), _command("ignoring,bypassing,skipping", 3, f"{_GIVEN},{_CHECKS}")),
     "role_reassignment": _any(
-        _rule("you are now,you are no longer,you become", 3, _AGENT), _rule("act as,behave as,respond as", 3, _AGENT),
-        _rule("pretend to be,pretend that you are,pretend you are"), _rule("your new,the new", 1, "role,task,job,instruction,instructions,persona"),
-        _rule("from now on", 2, "you will,you must,you should,you shall"), _rule("note to,message to,instructions for", 1, "ai,assistant,model,llm,bot"),
+        _rule("you are now,you are no longer", 2, "assistant,officer,auditor,approver,model,chatbot"), _command("act as,behave as", 2, "assistant,auditor,approver,model,chatbot"),
+        _command("pretend to be,pretend you are"), _rule("from now on", "you must,you will,you should"), _rule("your new", 1, "role,task,instructions"),
     ),
     "fake_role_tags": _any(
         r"<[ \t]*/?[ \t]*(?:system|assistant|user|developer)[ \t]*>", r"<\|[a-z_]+\|>", r"\[/?inst\]", r"<</?sys>>",
         r"(?:^|\n)[ \t#>*]*(?:system|assistant|developer)[ \t]*:",
     ),
-    "prompt_disclosure": _rule("reveal,print,show,repeat,display,leak,disclose", 4, "system prompt,hidden prompt,prompt,instructions,system message"),
-    "forced_decision": _any(
-        _rule("mark,set,classify,record,label,treat,answer,respond,report,state,approve,rate", 5, _CLEARED), _rule("recommended action"),
-    ),
+    "prompt_disclosure": _command("print,show,reveal,repeat", 3, "prompt,system message,instructions"),
+    "forced_decision": _command("mark,treat,label,classify,rate", 4, "verified,cleared,approved,safe,harmless,low risk,false positive"),
     "suppress_reporting": _any(
-        _rule(f"do not,don't,dont,must not,mustn't,never,should not", f"{_ACT}"),
-        _rule("do not,don't,must not,never", "ever,even,try to,attempt to,bother to", _ACT),
-        _rule("no need to", 1, f"{_ACT},look"), _rule("without,no", "further,additional,any,more", "scrutiny,review,checks,checking,verification,action,investigation"),
-        _rule("exempt from,exempted from", 2, "monitoring,review,checks,screening,scrutiny,reconciliation"),
-        _rule("stop", "reviewing,checking,investigating,analysing,analyzing,screening"), _rule("just", "approve,clear,close,pass"),
-    ),
-    "override_other_languages": _any(
-        _rule("ignora,ignore,ignorez,ignorer,ignoriere,ignorieren,olvida,olvide,oublie,oubliez,vergiss,vergessen sie,missachte", 3,
-              "instrucciones,reglas,todo,consignes,règles,regles,tout,anweisungen,regeln,vorgaben,alles"),
+        _command("do not,don't,never", _REPORT), _command("do not,don't,never", "ever,even", _REPORT), _rule("no need to", f"{_REPORT},check"),
+        _rule("without", "further,any", "review,checks,questions"), _rule("exempt from", 1, "screening,checks,review"),
     ),
+    "override_other_languages": _rule(
+        "ignora,olvida,ignorez,oubliez,ignoriere,vergiss,negeer", 3, "instrucciones,reglas,r\u00e8gles,consignes,anweisungen,regeln,istruzioni,regels"),
 }
 #: Digits and signs that stand for letters (fixed values).
 _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
@@ -103,7 +110,8 @@ def _joined(token: str) -> str:
 def _lettered(token: str) -> str:
     """A token that mixes letters with stand-ins, as letters."""
     core = token.rstrip("!.,;:?")
-    if any(c.isalpha() for c in core) and any(c in _STANDS_FOR for c in core):
+    stands = sum(c in _STANDS_FOR for c in core)
+    if stands and sum(c.isalpha() for c in core) >= stands:
         return "".join(_STANDS_FOR.get(c, c) for c in core) + token[len(core) :]
     return token
 
@@ -116,7 +124,7 @@ def plain_form(text: str) -> str:
 
     def flush() -> None:
         # Four letters or more with a blank between each two are a word.
-        out.append(("" if len(spelled) >= 4 else " ").join(spelled))
+        out.append(_lettered("".join(spelled)) if len(spelled) >= 4 else " ".join(spelled))
         spelled.clear()
 
     tokens = _TOKEN.findall(seen)

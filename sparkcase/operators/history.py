@@ -10,10 +10,13 @@ from __future__ import annotations
 from heapq import heappop, heappush, heappushpop
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..session import written
+
 MIN_HISTORY, MIN_DEVIATION, LONG_GAP = 5, 0.25, 30 * 86_400
 SPANS = {"10min": 600, "1h": 3600, "24h": 86_400, "7d": 604_800}
 BAND, BAND_START, BAND_DAYS, BAND_COUNT = 10_000.0, 0.9, 30, 3
@@ -79,33 +82,104 @@ def with_sequence(df: DataFrame, fields: list[str], length: int = 20) -> DataFra
     return rows.withColumns({"gaps": gaps, "padding": F.lit(length) - F.size("recent")})
 
 
-def with_prior_median(df: DataFrame, value: str, key: str = "customer", time: str = "micros") -> DataFrame:
-    """df with `typical`, the median of the key's values at strictly earlier times.
+#: A key of more rows is split over tasks, into times of about so many rows.
+HOT_ROWS = 200_000
+
+
+class _Halves:
+    """The lower and the upper half of numbers that come one by one; `below` others are smaller and were never seen."""
+
+    def __init__(self, values=(), below: int = 0, n: int = 0):
+        values = sorted(values)
+        middle = (n + 1) // 2 - below
+        self.low, self.high, self.below, self.n = [-v for v in reversed(values[:middle])], values[middle:], below, n
+        self.now, self.waiting = None, []
+
+    def add(self, v: float) -> None:
+        self.n += 1
+        heappush(self.high, -heappushpop(self.low, -v))
+        if self.below + len(self.low) < (self.n + 1) // 2:
+            heappush(self.low, -heappop(self.high))
+
+    def seen(self, t, x: float | None) -> float | None:
+        """The median of the values of times before t; x is the value at t. Rows come in order of time."""
+        if t != self.now:
+            for v in self.waiting:
+                self.add(v)
+            self.now, self.waiting = t, []
+        if x is not None:
+            self.waiting.append(float(x))
+        return None if not self.n else -self.low[0] if self.n % 2 else 0.5 * -self.low[0] + 0.5 * self.high[0]
+
+
+def with_prior_median(df: DataFrame, value: str, key: str = "customer", time: str = "micros", most: int = HOT_ROWS) -> DataFrame:
+    """df with `typical`, the median of the key's values at strictly earlier times; keys and times may be null, and rows may repeat.
 
     Two heaps hold the values of one key while its rows stream by in order of
     time: each row costs a logarithm, where a window would sort its whole frame.
+    Keys of more than `most` rows are split into times, each of which is one
+    task: while its rows come, the median moves by no more ranks than it has
+    rows, so of all earlier values it needs only those of so many ranks round
+    their median, and how many lie below. These follow from counts by time and
+    range of values; what is sent is about four times the rows of such keys.
     """
     schema = StructType([*df.schema.fields, StructField("typical", DoubleType())])
 
     def run(batches):
-        who, now, low, high, waiting = object(), None, [], [], []  # low: negated, its least is the lower half's largest
+        who, halves = object(), None
         for batch in batches:
             out = []
             for k, t, x in zip(*(batch.column(c).to_pylist() for c in (key, time, value))):
                 if k != who:
-                    who, now, low, high, waiting = k, t, [], [], []
-                if t != now:
-                    for v in waiting:
-                        heappush(high, -heappushpop(low, -v))
-                        if len(high) > len(low):
-                            heappush(low, -heappop(high))
-                    now, waiting = t, []
-                out.append(None if not low else -low[0] if len(low) > len(high) else 0.5 * -low[0] + 0.5 * high[0])
-                if x is not None:
-                    waiting.append(float(x))
+                    who, halves = k, _Halves()
+                out.append(halves.seen(t, x))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=schema.names)
 
-    return df.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, schema)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter((F.col("__n") > most) & F.col(key).isNotNull())
+    largest = counts.agg(F.max("__n")).head()[0]
+    if largest is None:
+        return df.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, schema)
+    hot = counts.select(key)
+    rest = df.join(hot, key, "left_anti").select(*df.columns)
+    rest = rest.repartition(key).sortWithinPartitions(key, time).mapInArrow(run, schema)
+    return rest.unionByName(_split_medians(df.join(hot, key, "left_semi").select(*df.columns), schema, value, key, time, -(-largest // most)))
+
+
+def _split_medians(df: DataFrame, schema: StructType, value: str, key: str, time: str, parts: int) -> DataFrame:
+    """with_prior_median for keys of many rows: `parts` times and as many ranges of values a key."""
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    edges = df.groupBy(key).agg(F.percentile_approx(time, shares, 20 * parts).alias("__times"), F.percentile_approx(value, shares, 20 * parts).alias("__values"))
+
+    def at(x: str, ends: str) -> Column:
+        """How many ends lie at or below x; 0 where x is null."""
+        return F.coalesce(F.aggregate(ends, F.lit(0), lambda n, e: n + F.when(e <= F.col(x), 1).otherwise(0)), F.lit(0))
+
+    placed = df.join(edges, key).withColumns({"__part": at(time, "__times"), "__range": at(value, "__values")}).drop("__times", "__values")
+    placed = written(placed, "hot-history")
+    valued = placed.filter(F.col(value).isNotNull())
+    cells = valued.groupBy(key, "__part", "__range").agg(F.count(F.lit(1)).alias("n"))
+    grid = edges.select(key, F.explode(F.sequence(F.lit(0), F.lit(len(shares)))).alias("__part")).withColumn("__range", F.explode(F.sequence(F.lit(0), F.lit(len(shares)))))
+    cells = grid.join(cells, [key, "__part", "__range"], "left").fillna(0, ["n"])
+    earlier = Window.partitionBy(key, "__range").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    part, upward = Window.partitionBy(key, "__part"), Window.partitionBy(key, "__part").orderBy("__range")
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    cells = cells.withColumns({"m": F.sum("before").over(part), "own": F.sum("n").over(part), "upto": F.sum("before").over(upward)})
+    middle, reach = F.floor(F.col("m") / 2), F.col("own") + 2
+    needed = cells.filter((F.col("before") > 0) & (F.col("upto") >= middle - reach) & (F.col("upto") - F.col("before") <= middle + reach))
+    needed = needed.withColumn("below", F.min(F.col("upto") - F.col("before")).over(part)).select(
+        F.col(key).alias("__key"), F.col("__part").alias("__to"), F.col("__range").alias("__of"), "m", "below")
+    sent = valued.join(needed, (F.col(key) == F.col("__key")) & (F.col("__range") == F.col("__of")) & (F.col("__part") < F.col("__to"))).select(
+        "__key", F.col("__to").alias("__at"), "m", "below", F.col(value).cast("double").alias("v"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(schema.names[:-1])
+        if not left.num_rows:
+            return left.append_column("typical", pa.array([], pa.float64()))
+        halves = _Halves(right["v"].to_pylist(), right["below"][0].as_py(), right["m"][0].as_py()) if right.num_rows else _Halves()
+        left = left.take(pc.sort_indices(left, [(time, "ascending")], null_placement="at_start"))
+        return left.append_column("typical", pa.array([halves.seen(t, x) for t, x in zip(left[time].to_pylist(), left[value].to_pylist())], pa.float64()))
+
+    return placed.groupBy(key, "__part").cogroup(sent.groupBy("__key", "__at")).applyInArrow(run, schema)
 
 
 def behaviour(df: DataFrame, amount: str = "amount") -> DataFrame:

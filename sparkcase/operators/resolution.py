@@ -37,14 +37,14 @@ def lexical(queries: DataFrame, entries: DataFrame, by: str = "words") -> DataFr
 
 
 def candidates_by_trigram(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """(query_id, customer_id, q_name, name): pairs that share a trigram: blocking instead of every pair."""
+    """(query_id, customer_id, q_name, name): pairs that share a trigram: plain blocking, for pairs to describe; fuzzyjoin loses no match."""
     left = queries.select("query_id", F.col("name").alias("q_name"), F.explode(F.array_distinct(trigrams(F.col("name")))).alias("gram"))
     right = entries.select("customer_id", "name", F.explode(F.array_distinct(trigrams(F.col("name")))).alias("gram"))
     return left.join(right, "gram").select("query_id", "customer_id", "q_name", "name").distinct()
 
 
 def fuzzy(pairs: DataFrame) -> DataFrame:
-    """(query_id, customer_id, score): best token-sort ratio of the aliases of candidate pairs."""
+    """(query_id, customer_id, score): best token-sort ratio of the aliases of given pairs; fuzzyjoin finds all pairs from a threshold on."""
     scored = pairs.withColumn("score", token_sort_ratio(F.col("q_name"), F.col("name")))
     return scored.groupBy("query_id", "customer_id").agg(F.max("score").alias("score"))
 
@@ -148,11 +148,10 @@ def first_stage(queries: DataFrame, entries: DataFrame, dense_scores: DataFrame,
 
     dense_scores: (query_id, customer_id, score), the best alias of each customer.
     """
-    lists = {
-        "bm25": lexical(queries, entries), "bm25_char": lexical(queries, entries, "trigrams"), "dense": dense_scores,
-        "fuzzy": fuzzy(candidates_by_trigram(queries, entries)),
-    }
+    lists = {"bm25": lexical(queries, entries), "bm25_char": lexical(queries, entries, "trigrams"), "dense": dense_scores}
     best = top(hybrid(lists["bm25_char"], lists["dense"]), k).select("query_id", "customer_id", F.col("score").alias("hybrid"), "rank")
+    names = queries.select("query_id", F.col("name").alias("q_name"))
+    lists["fuzzy"] = fuzzy(best.select("query_id", "customer_id").join(names, "query_id").join(entries.select("customer_id", "name"), "customer_id"))
     for name, scores in lists.items():
         best = best.join(scores.select("query_id", "customer_id", F.col("score").alias(name)), ["query_id", "customer_id"], "left")
     return best.fillna(0.0, list(lists))

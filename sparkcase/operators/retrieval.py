@@ -47,7 +47,7 @@ def normalised(scores: DataFrame, tops: DataFrame) -> DataFrame:
 BLOCK_VECTORS, BLOCK_QUERIES = 20_000, 2_000
 
 
-def _in_blocks(queries: DataFrame, documents: DataFrame, blocks: int | None) -> tuple[DataFrame, DataFrame]:
+def _in_blocks(queries: DataFrame, documents: DataFrame, blocks: int | None, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Documents dealt out over blocks by hash, and the stated queries, in parts, repeated for each block.
 
     The number of blocks and parts follows the rows, so that no group grows with the tables.
@@ -55,9 +55,9 @@ def _in_blocks(queries: DataFrame, documents: DataFrame, blocks: int | None) ->
     if blocks is None:
         blocks = max(-(-documents.count() // BLOCK_VECTORS), 1)
     parts = max(-(-queries.count() // BLOCK_QUERIES), 1)
-    d = documents.select("doc_id", "vector", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
+    d = documents.select("doc_id", "vector", *more, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     q = queries.select(
-        "query_id", F.col("vector").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        "query_id", F.col("vector").alias("q"), *[F.col(c).alias(f"q_{c}") for c in more], F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     return q, d.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
 
@@ -67,14 +67,16 @@ def dense(queries: DataFrame, documents: DataFrame, blocks: int | None = None) -
     return d.join(q, ["block", "part"]).select("query_id", "doc_id", dot(F.col("q"), F.col("vector")).alias("dense"))
 
 
-def nearest(queries: DataFrame, documents: DataFrame, k: int, blocks: int | None = None, places: int = 9) -> DataFrame:
+def nearest(queries: DataFrame, documents: DataFrame, k: int, blocks: int | None = None, places: int = 9, clip: bool = False, within: str | None = None) -> DataFrame:
     """(query_id, doc_id, dense, rank): the k best documents of each stated query, itself left out.
 
+    clip: scores below 0 count as 0. within: only documents that have the query's value in this column count.
+
     Each block yields k rows a query at most, from one matrix product, so what
     is shuffled to be merged grows with queries, not with pairs. Scores that
     are equal in `places` decimals are ordered by doc_id.
     """
-    q, d = _in_blocks(queries, documents, blocks)
+    q, d = _in_blocks(queries, documents, blocks, (within,) if within else ())
     kind = {c: t for c, t in [*q.dtypes, *d.dtypes]}
 
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -83,9 +85,12 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int, blocks: int | None
             held = held.sort_values("doc_id", kind="stable")
             ids = held["doc_id"].to_numpy()
             matrix = np.stack([np.asarray(v, np.float64) for v in held["vector"]])
-            for query_id, vector in zip(asked["query_id"], asked["q"]):
+            kinds = held[within].to_numpy() if within else None
+            for query_id, vector, own in zip(asked["query_id"], asked["q"], asked[f"q_{within}"] if within else asked["query_id"]):
                 scores = matrix @ np.asarray(vector, np.float64)
-                order = np.argsort(-np.round(scores, places), kind="stable")[: k + 1]
+                scores = np.maximum(scores, 0.0) if clip else scores
+                among = np.flatnonzero(kinds == own) if within else np.arange(len(ids))
+                order = among[np.argsort(-np.round(scores[among], places), kind="stable")[: k + 1]]
                 out += [(query_id, ids[i], float(scores[i])) for i in order if ids[i] != query_id]
         return pd.DataFrame(out, columns=["query_id", "doc_id", "dense"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import injection, similarity, text
-from ..operators import audit, guardrails, knowledge, quality, resolution, retrieval, wordindex
+from ..operators import audit, fuzzyjoin, guardrails, knowledge, quality, resolution, retrieval, wordindex
 from ..session import table
 from .common import Slate, rounded
 
@@ -105,8 +105,12 @@ def rrf_fusion(spark, sf_dir):
 
 @slate(f"WITH {DENSE}, h AS (SELECT query_id, doc_id, 0.5::double * greatest(0, least(1, s)) + 0.5::double * CASE WHEN query_id % 7 = doc_id % 7 THEN 1 ELSE 0 END AS x FROM pr), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, doc_id) AS rank FROM h) SELECT query_id, doc_id, round(x, 5) AS score, rank FROM r WHERE rank <= 5")
 def hybrid_fusion(spark, sf_dir):
-    near = retrieval.dense(*_vectors(spark, sf_dir)).filter("query_id <> doc_id")
-    rows = near.select("query_id", F.col("doc_id").alias("customer_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dense"))).alias("score"))
+    """Half the product with each vector, half whether ids are of one class: of either kind of document only each query's nearest can be among the best."""
+    kind = lambda df, c: df.withColumn("kind", F.col(c) % 7)
+    q, d = _vectors(spark, sf_dir)
+    q, d = kind(q, "query_id"), kind(d, "doc_id")
+    near = retrieval.nearest(q, d, 5, clip=True).unionByName(retrieval.nearest(q, d, 5, clip=True, within="kind"))
+    rows = near.select("query_id", F.col("doc_id").alias("customer_id"), F.least(F.lit(1.0), F.col("dense")).alias("score")).distinct()
     other = rows.withColumn("score", (F.col("query_id") % 7 == F.col("customer_id") % 7).cast("double"))
     mixed = resolution.hybrid(rows, other).withColumn("s", F.round("score", 9))
     return rounded(resolution.top(mixed, 5, "s").select("query_id", F.col("customer_id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank")), "score", places=5)
@@ -170,10 +174,18 @@ def jw_pairs_all(spark, sf_dir):
 
 @slate()
 def fuzzy_pairs(spark, sf_dir):
-    """Parts against benchmark-free names: pairs that share a trigram, by token-sort ratio, the three best."""
+    """The three most alike parts, from a token-sort ratio of 0.75 on, of every hundredth part's name with its words turned round."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("customer_id"), F.col("p_name").alias("name"))
     asks = parts.filter("customer_id % 100 = 0").select(F.col("customer_id").alias("query_id"), F.concat_ws(" ", F.reverse(F.split("name", " "))).alias("name"))
-    return rounded(resolution.top(resolution.fuzzy(resolution.candidates_by_trigram(asks, parts)), 3), "score").withColumn("rank", F.col("rank").cast("long"))
+    return rounded(resolution.top(fuzzyjoin.join(asks, parts, 0.75), 3), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@slate()
+def fuzzy_openings(spark, sf_dir):
+    """All documents whose first 60 letters have a token-sort ratio of 0.8 or more with those of a document with an id divisible by 100."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("customer_id"), F.substring("text", 1, 60).alias("name"))
+    asks = docs.filter("customer_id % 100 = 0").withColumnRenamed("customer_id", "query_id")
+    return rounded(fuzzyjoin.join(asks, docs, 0.8).withColumnRenamed("customer_id", "doc_id"), "score")
 
 
 @slate("SELECT a.c_custkey AS query_id, b.c_custkey AS customer_id FROM customer a JOIN customer b ON b.c_name = a.c_name AND a.c_nationkey = b.c_nationkey")
