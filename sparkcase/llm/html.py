@@ -3,7 +3,9 @@
 Tags are read as browsers do in the common cases: void elements, raw text in
 script and style, and end tags implied by what follows (p, li, dt, dd, option,
 table parts). Invisible are head parts, scripts, styles, templates, comments,
-and elements hidden by attribute or inline style. Everything else is emitted in
+closed dialogs, and elements hidden by attribute, inline style or the page's own
+style rules on tags, classes and ids; what is made visible again inside an element
+of hidden visibility is emitted. Everything else is emitted in
 order: blocks on their own lines, paragraphs and headings apart by an empty
 line, list items with bullets or numbers (from the list's start or their own
 value) indented by nesting, preformatted text as it is, text of svg and math, and
@@ -12,15 +14,17 @@ included. A cell of more than ALIGNED characters in a line goes over its column'
 edge, so that no line is padded to it; its text is whole.
 
 Nulls: a null page has a null text and 0 blocks; an empty one an empty text. An
-empty table gives no rows. Pages of any length are rendered whole; elements
-nested beyond MAX_DEPTH are not indented further, but hide their text if hidden.
-Repeated rows are rendered alike; columns named like the outputs are replaced.
+empty table gives no rows. Pages of any length and depth are rendered whole: lists,
+quotes and tables within LEVELS others of their kind get no further marks and
+columns, but each block, item and cell still has lines of its own. NUL characters
+go, as in browsers. Repeated rows are rendered alike; columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -38,8 +42,8 @@ HIDDEN = frozenset(
 )
 SVG_HIDDEN = frozenset("desc defs metadata symbol".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset hr".split())
-BLOCK = APART | frozenset("html body div article section nav header footer aside main address li dt dd form details summary figcaption center tr caption svg:text".split())
-CLOSES_P = BLOCK - frozenset("html body tr caption".split())
+BLOCK = APART | frozenset("html body div article section nav header footer aside main address li dt dd form details summary figcaption center tr caption legend menu dir hgroup option optgroup svg:text".split())
+CLOSES_P = BLOCK - frozenset("html body tr caption legend option optgroup svg:text".split())
 #: An opening tag ends these open elements, up to a border.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -49,7 +53,7 @@ IMPLIED_END = {
     "body": ({"head"}, set()),
 }
 SCOPES = frozenset("table td th html body button".split())
-MAX_DEPTH = 200
+LEVELS = 60
 ALIGNED = 120
 #: Fixed limits of the HTML standard.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
@@ -59,7 +63,59 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 _INTEGER = re.compile(r"\s*([+-]?[0-9]{1,9})(?![0-9])")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_STYLE_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_SHOWS = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_STYLE_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:[.#][a-zA-Z_-][\w-]*)*)\Z")
+
+
+def _declared(style: str) -> dict[str, tuple[bool, bool]]:
+    """display and visibility of a style's declarations: whether they show, and whether they are important."""
+    return {k.lower(): (v.lower() not in (("none",) if k.lower() == "display" else ("hidden", "collapse")), bool(strong)) for k, v, strong in _SHOWS.findall(style)}
+
+
+class Styles:
+    """The rules of a page's style elements that show or hide, for selectors of one element: a tag, classes, an id.
+
+    Rules within at-rules (other media) and for elements within others are left out.
+    """
+
+    def __init__(self):
+        self.rules: list[tuple[str, frozenset[str], frozenset[str], dict, tuple]] = []
+
+    def read(self, text: str) -> None:
+        text, kept, depth, at_rule = _COMMENT.sub(" ", text), [], 0, False
+        for piece in re.split(r"([{}])", text):
+            if piece == "{":
+                depth += 1
+            elif piece == "}":
+                depth = max(depth - 1, 0)
+            elif not depth:
+                head = piece.rpartition(";")[2] if "@" in piece else piece
+                at_rule = head.lstrip().startswith("@")
+            if not at_rule:
+                kept.append(piece if depth or piece in "{}" else head)
+        for selectors, body in _STYLE_RULE.findall("".join(kept)):
+            if declared := _declared(body):
+                for selector in selectors.split(","):
+                    if (m := _SELECTOR.match(selector.strip())) and m[0]:
+                        names = re.findall(r"[.#][^.#]+", m[2])
+                        ids, classes = (frozenset(n[1:] for n in names if n[0] == c) for c in "#.")
+                        tag = (m[1] or "*").lower()
+                        self.rules.append((tag, ids, classes, declared, (len(ids), len(classes), tag != "*", len(self.rules))))
+
+    def of(self, node: Node) -> dict[str, bool]:
+        """display and visibility of an element, where a rule or its own style sets them."""
+        found: dict[str, tuple] = {}
+        if self.rules:
+            ids, classes = {node.attribute("id")}, set((node.attribute("class") or "").split())
+            for tag, its_ids, its_classes, declared, weight in self.rules:
+                if tag in ("*", node.tag) and its_ids <= ids and its_classes <= classes:
+                    for k, (shows, strong) in declared.items():
+                        found[k] = max(found.get(k, ()), (strong, False, weight, shows))
+        for k, (shows, strong) in _declared(node.attribute("style") or "").items() if node.attributes else ():
+            found[k] = max(found.get(k, ()), (strong, True, (), shows))
+        return {k: v[-1] for k, v in found.items()}
 
 
 class Node:
@@ -78,69 +134,57 @@ class Node:
         found = _INTEGER.match(self.attribute(name) or "")
         return int(found[1]) if found else None
 
-    def visible(self) -> bool:
+    def shown(self, styles: Styles) -> tuple[bool, bool | None]:
+        """Whether the element is displayed, and whether its text is made visible or hidden (None: as around it)."""
         if self.tag in HIDDEN:
-            return False
-        if not self.attributes:
-            return True
-        return self.attribute("hidden") is None and not _STYLE_HIDES.search(self.attribute("style") or "")
-
-
-def parse(html: str) -> Node:
-    """The element tree of a page."""
-    root = Node("#root")
+            return False, None
+        if not self.attributes and not styles.rules:
+            return self.tag != "dialog", None
+        if self.attribute("hidden") is not None or self.tag == "dialog" and self.attribute("open") is None:
+            return False, None
+        set_ = styles.of(self)
+        return set_.get("display", True), set_.get("visibility")
+
+
+def parse(html: str) -> tuple[Node, Styles]:
+    """The element tree of a page, and its own style rules."""
+    root, styles = Node("#root"), Styles()
     stack, at = [root], 0
-    # Beyond MAX_DEPTH: the open elements that are not nested, each with whether its text is hidden, and their number by tag.
-    beyond: list[tuple[str, bool]] = []
-    held: Counter[str] = Counter()
+    places: defaultdict[str, list[int]] = defaultdict(list)  # by tag: where in the stack it is open
 
     def drop(i: int) -> None:
-        held.subtract(tag for tag, _ in beyond[i:])
-        del beyond[i:]
+        for node in reversed(stack[i:]):
+            places[node.tag].pop()
+        del stack[i:]
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=0)
+
+    def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
+        stack.append(node)
 
     def close(names, borders) -> None:
-        if any(held[x] > 0 for x in names):
-            for i in range(len(beyond) - 1, -1, -1):
-                if beyond[i][0] in borders:
-                    return
-                if beyond[i][0] in names:
-                    drop(i)
-                    if not any(held[x] > 0 for x in names):
-                        break
-        if any(held[x] > 0 for x in borders):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in borders:
-                return
-            if stack[i].tag in names:
-                drop(0)
-                del stack[i:]
+        """Ends all open elements of these names up to a border."""
+        border, first = last(borders), 0
+        while (i := last(names)) > border:
+            first = i
+            drop(first)
 
     while m := _TOKEN.match(html, at):
         at = m.end()
         end, tag, attributes, text = m.groups()
-        hidden = bool(beyond) and beyond[-1][1]
         if text is not None:
-            if not hidden:
-                stack[-1].children.append(text)
+            stack[-1].children.append(text)
         elif tag is None:
-            if m[0] == "<" and not hidden:
+            if m[0] == "<":
                 stack[-1].children.append("<")
         elif end:
             tag = tag.lower()
-            if tag == "text" and any(x.tag == "svg:text" for x in stack):
+            if tag == "text" and places["svg:text"]:
                 tag = "svg:text"
-            if stack[-1].tag not in RAW and held[tag] > 0:
-                drop(next(i for i in range(len(beyond) - 1, -1, -1) if beyond[i][0] == tag))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag not in RAW:
-                        drop(0)
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            if places[tag] and (tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or places[tag][-1] >= last(("table", "td", "th"))):
+                drop(places[tag][-1])
         else:
             tag = tag.lower()
             if tag in CLOSES_P:
@@ -150,97 +194,120 @@ def parse(html: str) -> Node:
             if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 row = Node("tr")
                 stack[-1].children.append(row)
-                stack.append(row)
-            hidden = bool(beyond) and beyond[-1][1]
-            if tag in SVG_HIDDEN or tag == "text":
-                if any(x.tag == "svg" for x in stack):
-                    attributes, tag = (attributes, "svg:text") if tag == "text" else (f" hidden {attributes}", tag)
+                push(row)
+            if (tag in SVG_HIDDEN or tag == "text") and places["svg"]:
+                attributes, tag = (attributes, "svg:text") if tag == "text" else (f" hidden {attributes}", tag)
             node = Node(tag, attributes)
-            if not hidden:
-                stack[-1].children.append(node)
+            stack[-1].children.append(node)
             if tag in RAW:
                 stop = re.compile(f"</{tag}", re.I).search(html, at)
                 node.children.append(html[at : stop.start() if stop else len(html)])
                 at = stop.start() if stop else len(html)
-                stack.append(node)
+                if tag == "style":
+                    styles.read(node.children[0])
+                push(node)
             elif tag not in VOID and not attributes.rstrip().endswith("/"):
-                if len(stack) < MAX_DEPTH and not beyond:
-                    stack.append(node)
-                else:
-                    beyond.append((tag, hidden or not node.visible()))
-                    held[tag] += 1
-    return root
+                push(node)
+    return root, styles
 
 
 class Renderer:
     """Lines of text; a block break starts a new line, an apart break also leaves one empty."""
 
-    def __init__(self):
+    def __init__(self, styles: Styles, level: int = 0, seen: bool = True):
+        self.styles, self.level, self.seen = styles, level, seen
         self.lines: list[str] = []
-        self.inline: list[str] = []
+        self.inline: list[str | None] = []  # None is a line break
         self.gap = False
         self.blocks = 0
 
     def flush(self) -> None:
-        text = _SPACES.sub(" ", "".join(self.inline)).strip(" \0")
+        if not self.inline:
+            return
+        parts: list[list[str]] = [[]]
+        for x in self.inline:
+            if x is None:
+                parts.append([])
+            else:
+                parts[-1].append(x)
         self.inline = []
-        if text:
-            self.add(text.replace("\0", "\n").split("\n"))
+        lines = [_SPACES.sub(" ", "".join(p).replace("\0", "")).strip(" ") for p in parts]
+        filled = [i for i, line in enumerate(lines) if line]
+        if filled:
+            self.add(lines[filled[0] : filled[-1] + 1])
 
     def add(self, lines: list[str]) -> None:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
         self.blocks += 1
-        self.lines += [line.strip(" ") for line in lines]
+        self.lines += lines
 
-    def nested(self, node: Node) -> list[str]:
-        inner = Renderer()
+    def nested(self, node: Node, seen: bool) -> list[str]:
+        inner = Renderer(self.styles, self.level + 1, seen)
         inner.walk(node)
         inner.flush()
         self.blocks += inner.blocks
         return inner.lines
 
-    def walk(self, node: Node) -> None:
-        number = (node.number("start") if node.tag == "ol" else None) or 0
-        number -= node.tag == "ol" and node.number("start") is not None
-        for child in node.children:
+    def walk(self, top: Node) -> None:
+        """Renders what is in an element; plain blocks and inline elements of any depth need no recursion."""
+        # Open elements: the node, its children, the next number of a list, whether text is visible, and the break after it.
+        open_ = [(top, iter(top.children), _first_number(top), self.seen, None)]
+        deep = self.level >= LEVELS
+        while open_:
+            node, children, number, seen, after = open_[-1]
+            child = next(children, None)
+            if child is None:
+                open_.pop()
+                if after is not None:
+                    self.flush()
+                    self.gap |= after
+                continue
             if isinstance(child, str):
-                self.inline.append(unescape(child) if "&" in child else child)
+                if seen:
+                    self.inline.append(unescape(child) if "&" in child else child)
                 continue
             tag = child.tag
-            if not child.visible():
+            displayed, visible = child.shown(self.styles)
+            if not displayed:
                 continue
+            visible = seen if visible is None else visible
             if tag == "br":
-                self.inline.append("\0")
+                self.inline.append(None)
             elif tag == "img":
-                self.inline.append(child.attribute("alt") or "")
+                self.inline.append((child.attribute("alt") or "") if visible else "")
             elif tag == "input":
-                if (child.attribute("type") or "").lower() in ("submit", "button", "reset"):
+                if visible and (child.attribute("type") or "").lower() in ("submit", "button", "reset"):
                     self.inline.append(child.attribute("value") or "")
-            elif tag not in BLOCK:
-                self.walk(child)
+            elif tag not in BLOCK and not (deep and tag in ("td", "th")):
+                open_.append((child, iter(child.children), None, visible, None))
             else:
                 self.flush()
-                self.gap |= tag in APART and not (tag in ("ul", "ol", "dl") and node.tag == "li")
+                apart = tag in APART and not (tag in ("ul", "ol", "dl") and node.tag == "li")
+                self.gap |= apart
                 if tag == "pre":
-                    self.raw(child)
+                    self.raw(child, visible)
+                elif tag == "hr":
+                    self.whole(["---"])
+                elif deep or tag not in ("table", "li", "dd", "blockquote"):
+                    open_.append((child, iter(child.children), _first_number(child), visible, apart))
+                    continue
                 elif tag == "table":
-                    self.whole(self.aligned(child))
+                    self.whole(self.aligned(child, visible))
                 elif tag == "li":
                     own = child.number("value")
-                    number = number + 1 if own is None else own
-                    mark = f"{number}. " if node.tag == "ol" else "- "
-                    lines = self.nested(child)
+                    now = number if own is None and number is not None else own or 0
+                    if number is not None:
+                        step = -1 if node.attribute("reversed") is not None else 1
+                        open_[-1] = (node, children, now + step, seen, after)
+                    mark = f"{now}. " if node.tag == "ol" else "- "
+                    lines = self.nested(child, visible)
                     self.whole([(mark if i == 0 else " " * len(mark)) + line if line else line for i, line in enumerate(lines)])
-                elif tag in ("dd", "blockquote"):
-                    self.whole(["    " + line if line else line for line in self.nested(child)])
-                elif tag == "hr":
-                    self.whole(["---"])
                 else:
-                    self.walk(child)
+                    self.whole(["    " + line if line else line for line in self.nested(child, visible)])
                 self.flush()
-                self.gap |= tag in APART and not (tag in ("ul", "ol", "dl") and node.tag == "li")
+                self.gap |= apart
 
     def whole(self, lines: list[str]) -> None:
         """Adds lines whose indentation stays."""
@@ -251,63 +318,86 @@ class Renderer:
             self.blocks += 1
             self.lines += [line.rstrip(" ") for line in lines]
 
-    def raw(self, node: Node) -> None:
-        text, stack = [], [node]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                text.append(unescape(x))
+    def raw(self, node: Node, seen: bool) -> None:
+        """Preformatted text as it is; blocks within it have lines of their own."""
+        text: list[str] = []
+        open_ = [(iter(node.children), seen, False)]
+
+        def fresh_line() -> None:
+            if text and not next((t for t in reversed(text) if t), "\n").endswith("\n"):
+                text.append("\n")
+
+        while open_:
+            children, visible, block = open_[-1]
+            x = next(children, None)
+            if x is None:
+                open_.pop()
+                if block:
+                    fresh_line()
+            elif isinstance(x, str):
+                text.append(unescape(x).replace("\0", "") if visible else "")
             elif x.tag == "br":
                 text.append("\n")
-            elif x.visible():
-                stack += reversed(x.children)
+            else:
+                displayed, own = x.shown(self.styles)
+                own = visible if own is None else own
+                if displayed and x.tag == "img":
+                    text.append((x.attribute("alt") or "") if own else "")
+                elif displayed:
+                    if x.tag in BLOCK:
+                        fresh_line()
+                    open_.append((iter(x.children), own, x.tag in BLOCK))
         self.whole("".join(text).replace("\r\n", "\n").strip("\n").split("\n"))
 
-    def aligned(self, table: Node) -> list[str]:
+    def aligned(self, table: Node, seen: bool) -> list[str]:
         rows, captions = [], []
         # What lies between the parts of a table comes before it, as in browsers.
         stray = Node("#stray")
 
-        def leave() -> None:
+        def leave(visible: bool) -> None:
             if stray.children:
-                captions.extend(self.nested(stray))
+                captions.extend(self.nested(stray, visible))
                 stray.children = []
 
-        def cell(node: Node) -> tuple[list[str], int, int]:
+        def cell(node: Node, visible: bool) -> tuple[list[str], int, int]:
             """The cell's lines and how many columns and rows it spans."""
             columns, down = (min(max(node.number(k) or 1, 1), most) for k, most in (("colspan", MOST_COLUMNS), ("rowspan", MOST_ROWS)))
-            return self.nested(node), columns, down
-
-        def cells(node: Node, row: list[tuple[list[str], int, int]]) -> None:
-            for child in node.children:
-                if not isinstance(child, str) and child.visible() and child.tag in ("td", "th"):
-                    row.append(cell(child))
-                elif not isinstance(child, str) and child.visible() and child.tag == "form":
-                    cells(child, row)
-                else:
-                    stray.children.append(child)
-
-        def collect(node: Node) -> None:
-            for child in node.children:
-                if isinstance(child, str):
-                    stray.children.append(child)
-                elif not child.visible():
-                    continue
-                elif child.tag == "tr":
-                    rows.append([])
-                    cells(child, rows[-1])
-                elif child.tag == "caption":
-                    leave()
-                    captions.extend(self.nested(child))
-                elif child.tag in ("tbody", "thead", "tfoot", "form"):
-                    collect(child)
-                elif child.tag in ("td", "th"):  # in a form outside rows
-                    rows.append([cell(child)])
+            return self.nested(node, visible), columns, down
+
+        # Parts of the table that are open: their children, whether text is visible, and the row that cells go to.
+        open_: list[tuple[Iterator, bool, list | None]] = [(iter(table.children), seen, None)]
+        while open_:
+            children, around, row = open_[-1]
+            child = next(children, None)
+            if child is None:
+                open_.pop()
+                continue
+            if isinstance(child, str):
+                stray.children.append(child if around else "")
+                continue
+            displayed, visible = child.shown(self.styles)
+            visible = around if visible is None else visible
+            if not displayed:
+                continue
+            if child.tag in ("td", "th"):
+                if row is None:  # in a form outside rows
+                    rows.append([cell(child, visible)])
                 else:
-                    stray.children.append(child)
+                    row.append(cell(child, visible))
+            elif child.tag == "form":
+                open_.append((iter(child.children), visible, row))
+            elif row is None and child.tag == "tr":
+                rows.append([])
+                open_.append((iter(child.children), visible, rows[-1]))
+            elif row is None and child.tag == "caption":
+                leave(around)
+                captions.extend(self.nested(child, visible))
+            elif row is None and child.tag in ("tbody", "thead", "tfoot"):
+                open_.append((iter(child.children), visible, None))
+            else:
+                stray.children.append(child)
 
-        collect(table)
-        leave()
+        leave(seen)
         placed, held = [], {}  # held: for a column, how many rows a cell above still takes
         for r in rows:
             at, line = 0, []
@@ -345,10 +435,21 @@ class Renderer:
         return out
 
 
+def _first_number(node: Node) -> int | None:
+    """The number of a list's first item."""
+    if node.tag not in ("ol", "ul", "menu", "dir"):
+        return None
+    start = node.number("start")
+    if start is None and node.attribute("reversed") is not None:
+        return sum(not isinstance(x, str) and x.tag == "li" for x in node.children)
+    return 1 if start is None else start
+
+
 def rendered(html: str) -> tuple[str, int]:
     """The visible text of a page and its number of blocks."""
-    renderer = Renderer()
-    renderer.walk(parse(html))
+    root, styles = parse(html)
+    renderer = Renderer(styles)
+    renderer.walk(root)
     renderer.flush()
     return "\n".join(renderer.lines), renderer.blocks
 
