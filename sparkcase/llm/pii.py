@@ -4,22 +4,23 @@ Base spans of four kinds (email, ip, card, phone) come from patterns and their
 checks. No pattern matches a line's end, so spans are looked for line by line,
 in the lines that can hold one. The method then adds information-theoretic
 spans: a protected entity is a base span's value, its contexts are the lines
-that hold it. For a term t that shares lines with entity c, the corpus gives the
-pointwise mutual information
+that hold it. For a term t that stands within REACH code points of entity c, the
+corpus gives the pointwise mutual information
     PMI(c; t) = log2(N * n(c, t) / (n(c) * n(t))),
 n counting lines of all documents (a line once, however often it holds c or t;
-terms inside base spans share no line with c), and c's own information
-log2(N / n(c)). A term whose PMI reaches DISCLOSURE of the entity's information
-reveals it: its occurrences in the entity's lines become spans of kind `term`.
-So that one line and its copies prove nothing, a term must share SUPPORT
-different lines. sanitised() then generalises the terms and removes the base
-values.
+terms inside base spans are not near c), and c's own information log2(N / n(c)).
+A term whose PMI reaches DISCLOSURE of the entity's information reveals it: its
+occurrences in the entity's lines become spans of kind `term`. So that chance
+proves nothing, a term must share SUPPORT different lines with c, or be a name: a
+word that begins with a capital within NEAR code points of c, and in no line of
+the corpus but c's. Copies of a line are one line here, and add nothing.
+sanitised() then generalises the terms and removes the base values.
 
 Only DataFrame and SQL functions are used. Lines with an entity are collapsed to
-different lines with counts before anything is paired; entities and terms that
-lie in fewer than SUPPORT of these cannot reveal anything and go first, so a
-line of many unique values is paired with nothing. n(t) is counted over all
-lines of the corpus, summed within each task before terms are shuffled.
+different lines with counts before anything is paired. An occurrence of an entity
+is paired with the terms in its reach alone, so a very long line of many values
+gives pairs in proportion to its length. n(t) is counted over all lines of the
+corpus, summed within each task before terms are shuffled, if any pair is left.
 
 Positions are code points, ends exclusive. Nulls: a null text is an empty one;
 a null id is kept. Repeated rows get the same spans. An empty table gives no
@@ -49,9 +50,12 @@ HINTS = {
     "email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]",
     "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]",
 }
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{N}]++"
+NAME = r"(?<![\p{L}\p{N}])\p{Lu}[\p{L}\p{N}]++"
 DISCLOSURE = 0.9
 SUPPORT = 2
+#: Code points on either side of an entity in which terms, and names that need no second line, are near it.
+REACH, NEAR = 200, 40
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -167,31 +171,60 @@ def _terms(line: Column) -> Column:
 
 
 def context_lines(hits: DataFrame) -> DataFrame:
-    """The different lines of hits (line, spans): line, n (how many rows have it), entities, and masked, the line with its base spans blank."""
+    """The different lines of hits (line, spans): line, n (how many rows have it), spans, entities, and masked, the line with its base spans blank."""
     lines = hits.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.first("spans").alias("spans"))
     masked = replaced(F.col("line"), F.col("spans"), lambda s, before: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], before))))
-    return lines.select("line", "n", F.array_distinct(F.transform("spans", _entity)).alias("entities"), masked.alias("masked"))
+    return lines.select("line", "n", "spans", F.array_distinct(F.transform("spans", _entity)).alias("entities"), masked.alias("masked"))
+
+
+#: Code points of the pieces in which a line is looked up, more than REACH.
+_PIECE = 2_048
+
+
+def _pieces(line: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(line) / _PIECE).cast("int")), lambda i: line.substr(i * _PIECE + 1, F.lit(_PIECE)))
+
+
+def _around(pieces: Column, size: Column, span: Column, reach: int) -> Column:
+    """What stands within reach of a span on either side in a line of this size, without words that are cut off."""
+    def two(first: Column) -> Column:
+        return F.concat(*[F.coalesce(F.get(pieces, first + i), F.lit("")) for i in (0, 1)])
+
+    at = F.greatest(F.floor(span["start"] / _PIECE).cast("int") - 1, F.lit(0))
+    begin = F.greatest(span["start"] - reach, F.lit(0))
+    before = two(at).substr(begin - at * _PIECE + 1, span["start"] - begin)
+    last = F.floor(span["end"] / _PIECE).cast("int")
+    after = two(last).substr(span["end"] - last * _PIECE + 1, F.lit(reach))
+    before = F.regexp_replace(before, F.when(begin > 0, r"^[\p{L}\p{N}]+").otherwise("^$"), F.lit(""))
+    after = F.regexp_replace(after, F.when(size > span["end"] + reach, r"[\p{L}\p{N}]++$").otherwise("^$"), F.lit(""))
+    return F.concat_ws("\n", before, after)
 
 
 def disclosing_terms(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, terms) for lines as context_lines gives them and all texts (text)."""
-    lines = lines.withColumn("at", F.monotonically_increasing_id())  # of a written table: one number a line
-    in_lines = lines.select("at", "n", F.explode("entities").alias("entity"))
-    own = written(in_lines.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SUPPORT).drop("k"), "entities")
-    of_lines = lines.select("at", F.explode(_terms(F.col("masked"))).alias("term"))
-    often = written(of_lines.groupBy("term").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= SUPPORT).select("term"), "often")
-    pairs = in_lines.join(own.select("entity"), "entity").join(of_lines.join(often, "term"), "at")
-    joint = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("k"))
-    joint = written(joint.filter(F.col("k") >= SUPPORT).drop("k"), "joint")
+    """(entity, terms) for lines as context_lines gives them, written with a number `at` each, and all texts (text)."""
+    own = written(lines.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_c")), "entities")
+    # What is round each span is cut out before spans become rows, so that no row holds the line.
+    cuts = _bound(_pieces(F.col("masked")), lambda p: F.transform("spans", lambda s: F.struct(
+        _entity(s).alias("entity"), _around(p, F.col("size"), s, REACH).alias("reach"), _around(p, F.col("size"), s, NEAR).alias("near"))))
+    met = lines.withColumn("size", F.length("masked")).select("at", "n", F.explode(cuts).alias("c")).select(
+        "at", "n", "c.entity", _terms(F.col("c.reach")).alias("terms"), F.transform(F.regexp_extract_all("c.near", F.lit(NAME), F.lit(0)), F.lower).alias("names"))
+    pairs = met.select("at", "n", "entity", "names", F.explode("terms").alias("term")).groupBy("at", "entity", "term").agg(
+        F.first("n").alias("n"), F.max(F.array_contains("names", F.col("term"))).alias("named"))
+    joint = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), (F.count(F.lit(1)) >= SUPPORT).alias("often"), F.max("named").alias("named"))
+    joint = written(joint.filter(F.col("often") | F.col("named")), "joint")
+    if not joint.take(1):
+        return own.filter("false").select("entity", F.array().cast("array<string>").alias("terms"))
     every = texts.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
     words = every.select(F.explode(_terms(F.col("line"))).alias("term"))
     n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(joint.select("term").distinct(), "term")
     n = texts.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)))).first()[0] or 1
     information = F.log2(F.lit(float(n)) / F.col("n_c"))
-    pmi = F.log2(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    # A term that touches a base span may not be one by itself in the line as it is.
+    there = F.greatest("n_t", "n_ct")
+    pmi = F.log2(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * there))
     return (
-        joint.join(own, "entity").join(written(n_t, "terms"), "term")
-        .filter((information > 0) & (pmi >= DISCLOSURE * information))
+        joint.join(own, "entity").join(written(n_t, "terms"), "term", "left").fillna(0, ["n_t"])
+        .filter((information > 0) & (pmi >= DISCLOSURE * information) & (F.col("often") | (there == F.col("n_ct"))))
         .groupBy("entity").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     )
 
@@ -204,10 +237,11 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     of_kind = [F.filter(every, (lambda kind: lambda s: s["kind"] == kind)(k)) for k in KINDS]
     base = rows.select("id", "text_hash", F.concat(*of_kind).alias("base"))
     hits = rows.filter(F.size("hits") > 0).select("id", "text_hash", F.explode("hits").alias("h")).select("id", "text_hash", "h.*")
-    lines = written(context_lines(hits.select("line", "spans")), "lines")
+    lines = written(context_lines(hits.select("line", "spans")).withColumn("at", F.monotonically_increasing_id()), "lines")
     revealing = written(disclosing_terms(lines, docs.select("text")), "revealing")
-    told = lines.select("line", "masked", F.explode("entities").alias("entity")).join(revealing, "entity")
-    told = told.groupBy("line").agg(F.first("masked").alias("masked"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("told"))
+    # Lines themselves are joined late: no row of an entity holds one.
+    told = lines.select("at", F.explode("entities").alias("entity")).join(revealing, "entity")
+    told = told.groupBy("at").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("told")).join(lines.select("at", "line", "masked"), "at")
     spans = F.filter(located(F.col("masked"), TERM, "term"), lambda s: F.array_contains("told", F.lower(s["value"])))
     of_line = written(told.select("line", spans.alias("spans")).filter(F.size("spans") > 0), "told")
     here = hits.select("id", "text_hash", "start", "line").distinct().join(of_line, "line")
