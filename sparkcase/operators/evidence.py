@@ -83,15 +83,88 @@ def retrieval_queries(findings: DataFrame) -> DataFrame:
     return rows.groupBy("case_id").agg(F.array_sort(F.collect_set("query")).alias("queries"))
 
 
+def _payload(name: str, kind: str | None = None) -> Column:
+    value = F.get_json_object("payload", f"$.{name}")
+    return value.try_cast(kind) if kind else value
+
+
+def _fixed(name: str, places: int) -> Column:
+    return _payload(name, f"decimal(38,{places})").cast("string")
+
+
+def statements(evidence: DataFrame) -> DataFrame:
+    """(case_id, evidence_id, statement): what each kind of evidence states by its typed fields, as training targets.
+
+    evidence: (case_id, evidence_id, source, description, payload as JSON). The kind follows from the id's prefix, the source
+    and the fields that are there; kinds that state nothing (thin history, unknown payloads) have no row. All but the template's
+    own words come from the payload, so a statement's numbers are those of its evidence.
+    """
+    return evidence.select("case_id", "evidence_id", _told().alias("statement")).filter("statement IS NOT NULL")
+
+
+def _told() -> Column:
+    e, text = F.col("evidence_id"), F.concat
+    rank, others = _payload("own_record_rank", "int"), F.coalesce(F.size(F.from_json(_payload("other_strong_candidates"), "array<string>")), F.lit(0))
+    own = F.when(rank > 0, text(F.lit("the customer's own record is at rank "), rank.cast("string"))).otherwise(F.lit("the customer's own record is not among the first candidates"))
+    more = F.when(others > 0, text(F.lit("; other strong candidates: "), others.cast("string"))).otherwise(F.lit(""))
+    verdict = F.when(_payload("flagged") == "true", F.lit("it flagged the transaction")).otherwise(F.lit("it did not flag the transaction"))
+    return (
+        F.when(e.startswith("KYCM-"), text(F.lit("For KYC document "), _payload("document_id"), F.lit(" "), own, more))
+        .when(e.startswith("KYC-") & _payload("kyc_status").isNotNull(), text(F.lit("The KYC status is "), _payload("kyc_status"), F.lit("; the account has existed for "), _payload("account_age_days"), F.lit(" days")))
+        .when((F.col("source") == "transaction") & _payload("amount").isNotNull(), text(
+            F.lit("Transaction "), _payload("transaction_id"), F.lit(" is a "), _payload("type"), F.lit(" of "), _fixed("amount", 2), F.lit(" "), _payload("currency"), F.lit(" by "), _payload("channel")))
+        .when(e.startswith("ANOM-"), text(F.lit("The anomaly score is "), _fixed("probability", 3), F.lit(" with alerts from "), _fixed("threshold", 3), F.lit("; "), verdict))
+        .when(e.startswith("BEH-") & (_payload("prior_transactions", "int") >= 5), text(
+            F.lit("The amount is "), _payload("typical_prior_amount_ratio"), F.lit(" times what was typical before, over "), _payload("prior_transactions"), F.lit(" transactions")))
+        .when(e.startswith("REC-") & _payload("rule_id").isNotNull(), F.col("description"))
+        .when(e.endswith("-OK"), text(F.lit("The transaction agrees with ledger record "), _payload("ledger_id")))
+    )
+
+
+def conclusions(evidence: DataFrame, floors: DataFrame) -> DataFrame:
+    """(case_id, decision, summary, statement, cited): the closing inference of each case and what it rests on.
+
+    floors: (case_id, floor, reasons), as engine_floor gives them. A case with a floor needs a person and cites the items that may
+    have called for it; another one cites its first two records of reconciliation or transaction.
+    """
+    calls = F.col("evidence_id").startswith("KYCM-") | F.col("evidence_id").startswith("ANOM-") | (F.col("evidence_id").startswith("REC-") & _payload("rule_id").isNotNull())
+    plain = F.col("evidence_id").startswith("REC-") | F.col("evidence_id").startswith("TXN")
+    least = lambda condition: F.min(F.when(condition, F.col("evidence_id")))
+    second = evidence.join(evidence.filter(plain).groupBy("case_id").agg(F.min("evidence_id").alias("first")), "case_id").filter(plain & (F.col("evidence_id") > F.col("first")))
+    by_case = evidence.groupBy("case_id").agg(F.collect_set(F.when(calls, F.col("evidence_id"))).alias("calls"), least(plain).alias("first"), F.min("evidence_id").alias("any"))
+    by_case = by_case.join(second.groupBy("case_id").agg(F.min("evidence_id").alias("second")), "case_id", "left").join(floors, "case_id", "left")
+    review = F.col("floor").isNotNull()
+    cited = F.when(review & (F.size("calls") > 0), F.array_sort("calls")).otherwise(F.array_compact(F.array(F.coalesce("first", "any"), F.when(~review, F.col("second")))))
+    return by_case.select(
+        "case_id", F.when(review, "REVIEW").otherwise("CLEAR").alias("decision"),
+        F.when(review, F.concat(F.lit("For a person to look at: "), F.array_join(F.array_distinct("reasons"), "; "))).otherwise(F.lit("No check has found a problem.")).alias("summary"),
+        F.when(review, F.lit("The checks call for a person's decision before this case is closed")).otherwise(F.lit("No check found a problem; on this evidence the transaction looks routine")).alias("statement"),
+        F.transform(cited, lambda x: F.concat(F.lit("E:"), x)).alias("cited"))
+
+
 def templated_findings(evidence: DataFrame) -> DataFrame:
-    """A statement for each evidence item by its source, as training targets: (case_id, statements)."""
-    text = F.concat(F.initcap("source"), F.lit(": "), "description", F.lit(" [E:"), "evidence_id", F.lit("]"))
-    return evidence.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", text.alias("s")))), lambda x: x["s"]).alias("statements"))
+    """A statement for each evidence item, as training targets: (case_id, statements); by its kind's fields where it has them, else its description."""
+    plain = F.concat(F.initcap("source"), F.lit(": "), "description")
+    text = F.coalesce(_told(), plain) if "payload" in evidence.columns else plain
+    rows = evidence.select("case_id", "evidence_id", F.concat(text, F.lit(" [E:"), "evidence_id", F.lit("]")).alias("s"))
+    return rows.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", "s"))), lambda x: x["s"]).alias("statements"))
+
+
+#: What could end or open a part of a prompt.
+_FENCE = r"(?i)<(?=\s*/?\s*(?:evidence|passages)\b)"
+
+
+def fenced(text: Column) -> Column:
+    """A text as data: no tag in it can open or close a part of a prompt."""
+    return F.regexp_replace(text, _FENCE, "&lt;")
 
 
 def prompt(statements: Column, passages: Column) -> Column:
-    """The prompt of a case: evidence as fenced data, passages after it."""
-    return F.concat(F.lit("<evidence>\n"), F.array_join(statements, "\n"), F.lit("\n</evidence>\n<passages>\n"), F.array_join(passages, "\n"), F.lit("\n</passages>"))
+    """The prompt of a case: evidence as fenced data, passages after it; neither can close its fence."""
+    def part(name: str, lines: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>\n"), fenced(F.array_join(lines, "\n")), F.lit(f"\n</{name}>"))
+
+    return F.concat(part("evidence", statements), F.lit("\n"), part("passages", passages))
 
 
 def sampled(cases: DataFrame, group: str, per_group: int, seed: int) -> DataFrame:

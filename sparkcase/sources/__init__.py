@@ -87,6 +87,54 @@ def upsert(spark: SparkSession, path: str, changes: DataFrame, key: str, version
     return newest.select(key, "x.*")
 
 
+#: Buckets of a merged table: a change rewrites those that it touches.
+BUCKETS = 64
+
+
+def current(spark: SparkSession, path: str, touched: list[int] | None = None) -> DataFrame | None:
+    """The rows of a table that merge() keeps: of each bucket (or of these buckets), its newest generation; null if nothing has been merged yet."""
+    places = _places(spark, path)
+    if places is None:
+        return None
+    rows = spark.read.parquet(f"{path}/rows")
+    rows = rows if touched is None else rows.filter(F.col("bucket").isin(touched))
+    return rows.join(F.broadcast(places.select("bucket", "generation")), ["bucket", "generation"], "left_semi").drop("bucket", "generation")  # a row a bucket
+
+
+def _places(spark: SparkSession, path: str) -> DataFrame | None:
+    """(bucket, generation) of the newest version of the table of places."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/places")
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return None
+    every = spark.read.schema("bucket int, generation int, version int").parquet(f"{path}/places")
+    return every.filter(F.col("version") == every.agg(F.max("version")).head()[0]).select("bucket", "generation", "version")
+
+
+def merge(spark: SparkSession, path: str, changes: DataFrame, key: str, version: str, buckets: int = BUCKETS) -> DataFrame:
+    """Merges changed rows into a table and returns its current rows: the greatest version of each key.
+
+    Only buckets (by hash of the key) that hold a changed key are read and written anew, as a new generation; a small table of
+    places then says which generation of each bucket counts, so readers see the old rows until it is there, and a failed merge
+    leaves nothing behind but files that no one reads. The number of buckets stays that of the first merge. Null is a key.
+    Equal versions of a key: the greatest row by its columns in order.
+    """
+    old = _places(spark, path)
+    held = [] if old is None else old.collect()  # a row a bucket
+    n = len(held) or buckets
+    place = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    touched = sorted(r[0] for r in changes.select(place).distinct().collect())  # a number a bucket
+    if touched or not held:
+        last = max((r["version"] for r in held), default=0)
+        rows = changes if old is None else changes.unionByName(current(spark, path, touched), allowMissingColumns=True)
+        others = [c for c in rows.columns if c != key]
+        newest = rows.groupBy(key).agg(F.max(F.struct(version, *[c for c in others if c != version])).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in others])
+        newest.withColumns({"generation": F.lit(last + 1), "bucket": place}).repartition("bucket").write.mode("append").partitionBy("generation", "bucket").parquet(f"{path}/rows")
+        generations = {r["bucket"]: r["generation"] for r in held} or dict.fromkeys(range(n), 0)
+        places = [(b, last + 1 if b in touched else g, last + 1) for b, g in generations.items()]
+        spark.createDataFrame(places, "bucket int, generation int, version int").coalesce(1).write.mode("append").parquet(f"{path}/places")
+    return current(spark, path)
+
+
 def markdown(df: DataFrame, limit: int = 200) -> str:
     """A small report table as Markdown."""
     rows = df.limit(limit).collect()
