@@ -25,6 +25,7 @@ import functools
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -54,6 +55,11 @@ _CASE_ODD = re.compile("[\u0300-\u036f\u03a3\u0130]")
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+def _of_letters(word: str) -> bool:
+    """Whether a word is letters alone, and stays so when it is normalised and lowered."""
+    return word.isalpha() and (word.isascii() or "\u0130" not in word and unicodedata.normalize("NFC", word).isalpha())
+
+
 class TextEncoder:
     """texts -> their ids as little-endian integers of 32 bits (narrow: 16), as the tokenizers library gives them.
 
@@ -89,7 +95,7 @@ class TextEncoder:
 
     def split(self, text: str) -> list[str]:
         """The words of a text; single marks before white space stand alone, and A-Z are lowered, where this changes no id."""
-        if not _MARK_RUN.search(text) and (text.isascii() or not _CASE_ODD.search(text)):
+        if not _MARK_RUN.search(text) and (text.isascii() or not _CASE_ODD.search(text) and unicodedata.is_normalized("NFC", text)):
             text = text.lower()
             for mark in ",.;:!?":
                 text = text.replace(mark + " ", f" {mark} ").replace(mark + "\n", f" {mark} ")
@@ -110,15 +116,15 @@ class TextEncoder:
         for word in fresh.intersection(older):
             words[word] = older[word]
         rest = [w for w in fresh if w not in words] if older else fresh
-        marked = [(w, w.strip(MARKS)) for w in rest if not w.isalpha()]
-        new = {w for w in rest if w.isalpha()}
-        new.update(core for _, core in marked if core.isalpha() and core not in words)
+        new = {w for w in rest if _of_letters(w)}
+        marked = [(w, core if _of_letters(core := w.strip(MARKS)) else "") for w in rest if w not in new]
+        new.update(core for _, core in marked if core and core not in words)
         plain = list(new)
         for at in range(0, len(plain), 2_000):
             some = plain[at : at + 2_000]
             words.update(zip(some, self.together(some)))
         for word, core in marked:
-            if core.isalpha():
+            if core:
                 first = word.index(core)
                 before, after = word[:first], word[first + len(core) :]
                 words[word] = (self.marks[before] if before else b"") + words[core] + (self.marks[after] if after else b"")

@@ -81,7 +81,7 @@ def test_sequences_hold_all_ids(odd, tokenizer):
 @pytest.mark.parametrize("seed", range(3))
 def test_words_encode_as_the_library_does(tokenizer, seed):
     rng, encode = random.Random(seed), packing.encoder(PATH, False)
-    letters = ["a", "B", "the", "'s", "'", "'Ll", " ", "\n", "\t", ".", "!?", "-", "\"", "1", "23", "é", "é", "́", "İ", "Σ", "中", "\xa0", " ", "​", "\x1c", "\x00", "<|endoftext|>", "가", "가", "\U0001F642", "_", "²"]
+    letters = ["a", "B", "the", "'s", "'", "'Ll", " ", "\n", "\t", ".", "!?", "-", "\"", "1", "23", "é", "é", "́", "İ", "Σ", "中", "\xa0", " ", "​", "\x1c", "\x00", "<|endoftext|>", "가", "가", "\U0001F642", "_", "²", "\u0958", "\ufb2a", "\u212b"]
     for _ in range(1500):
         texts = ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(3)]
         for text, found in zip(texts, encode(texts)):
