@@ -116,7 +116,7 @@ class TextEncoder:
         for word in fresh.intersection(older):
             words[word] = older[word]
         rest = [w for w in fresh if w not in words] if older else fresh
-        new = {w for w in rest if _of_letters(w)}
+        new = {w for w in rest if w.isalpha() and (w.isascii() or _of_letters(w))}
         marked = [(w, core if _of_letters(core := w.strip(MARKS)) else "") for w in rest if w not in new]
         new.update(core for _, core in marked if core and core not in words)
         plain = list(new)
