@@ -5,20 +5,26 @@ entries: (customer_id, name, birth, address struct) with one row an alias; queri
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import band
-from ..functions.similarity import jaro_winkler_udf, token_set_udf, token_sort_ratio
+from ..functions.similarity import jaro_winkler_block, jaro_winkler_udf, token_set_udf, token_sort_ratio
 from ..functions.text import name_parts, trigrams, words
+from ..session import written
 from . import retrieval
 
 ALPHA, FIRST_STAGE, TOP = 0.5, 20, 5
 BIRTH_WEIGHT, ADDRESS_WEIGHT = 0.6, 0.4
+#: Names of either side that meet at once, about, and such blocks of one task.
+LEFT_NAMES, RIGHT_NAMES, TASK_BLOCKS = 512, 2_048, 8
 ADDRESS_WEIGHTS = {"number": 0.25, "street": 0.25, "city": 0.30, "country": 0.20}
 
 
@@ -49,6 +55,35 @@ def fuzzy(pairs: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "customer_id").agg(F.max("score").alias("score"))
 
 
+def jaro_winkler_within(left: DataFrame, right: DataFrame, left_names: int = LEFT_NAMES, right_names: int = RIGHT_NAMES) -> DataFrame:
+    """(left_id, right_id, score): Jaro-Winkler of every row (left_id, name, key) with every row (right_id, name, key) of its key; rows without a name meet nothing.
+
+    The rows of a key meet in blocks of bounded size, so neither its number of rows
+    nor how few keys there are bounds how far the work is spread.
+    """
+    left, right = (df.filter("name IS NOT NULL") for df in (left, right))
+    many = lambda df, c, size: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(c))
+    sizes = written(many(left, "parts_l", left_names).join(many(right, "parts_r", right_names), "key"), "sizes")
+    blocks = sizes.agg(F.sum(F.col("parts_l").cast("long") * F.col("parts_r"))).first()[0] or 0
+    tasks = max(-(-blocks // TASK_BLOCKS), min(blocks, left.sparkSession.sparkContext.defaultParallelism), 1)
+
+    def dealt(df: DataFrame, own: str, other: str, id_col: str) -> DataFrame:
+        there = df.join(F.broadcast(sizes) if blocks < 100_000 else sizes, "key")
+        part = F.pmod(F.xxhash64(id_col, "name"), F.col(f"parts_{own}")).cast("int").alias(own)
+        rows = there.select("key", id_col, "name", part, F.explode(F.sequence(F.lit(0), F.col(f"parts_{other}") - 1)).alias(other))
+        return rows.repartition(tasks, "key", "l", "r").groupBy("key", "l", "r")
+
+    schema = T.StructType([T.StructField("left_id", left.schema["left_id"].dataType), T.StructField("right_id", right.schema["right_id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (t["name"].combine_chunks().dictionary_encode() for t in (a, b))
+        scores = jaro_winkler_block(x.dictionary.to_pylist(), y.dictionary.to_pylist())[np.ix_(x.indices.to_numpy(), y.indices.to_numpy())]
+        of_a, of_b = np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a))
+        return pa.table({"left_id": a["left_id"].take(pa.array(of_a)), "right_id": b["right_id"].take(pa.array(of_b)), "score": scores.ravel()})
+
+    return dealt(left, "l", "r", "left_id").cogroup(dealt(right, "r", "l", "right_id")).applyInArrow(run, schema)
+
+
 def hybrid(first: DataFrame, second: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """alpha * first + (1 - alpha) * second, each already the best of a customer's aliases; a missing score is 0."""
     a = first.withColumnRenamed("score", "a")
