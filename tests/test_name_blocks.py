@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from sparkcase.functions.similarity import jaro_winkler, jaro_winkler_block
-from sparkcase.operators import resolution
+from sparkcase.functions.similarity import indel, jaro_winkler, jaro_winkler_block
+from sparkcase.operators import fuzzyjoin, resolution
 
 
 @pytest.mark.parametrize("letters", ["ab", "abc é\U0001f600", "abcdefgh"])
@@ -30,3 +30,17 @@ def test_every_row_of_a_key_meets_every_other_in_small_blocks(spark):
     found = sorted(tuple(r) for r in df.collect())
     assert found == sorted((i, j, jaro_winkler(x, y)) for i, x, k in left for j, y, n in right if x is not None and k == n)
     assert resolution.jaro_winkler_within(a.limit(0), b).collect() == []
+
+
+@pytest.mark.parametrize("block_entries,block_queries", [(40, 15), (8_192, 2_048)])
+def test_fuzzy_blocks_equal_all_pairs(spark, block_entries, block_queries):
+    """Texts of frequent letter pairs, with lengths round one word of bits, beyond it, and too short to share a pair."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ab cé") for _ in range(n)).strip() for n in (60, 63, 64, 65, 70, 12, 5, 3)]
+    edit = lambda t, n: "".join(c for c in t if rng.random() > n / 40) + rng.choice(["", "a", "b"])
+    names = [" ".join(sorted(edit(rng.choice(base), rng.randint(0, 8)).split())) for _ in range(150)] + ["a" * 64, "a" * 63 + "b", "", "\U0001f600" * 20]
+    frame = lambda rows, key: spark.createDataFrame(list(enumerate(rows)), f"{key} int, name string")
+    found = fuzzyjoin.matches(frame(names[::3], "q"), frame(names, "e"), 0.8, block_entries=block_entries, block_queries=block_queries)
+    want = {(a, b, indel(a, b)) for a in names[::3] for b in names if indel(a, b) >= 0.8}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(want) and set(rows) == want
