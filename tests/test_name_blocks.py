@@ -44,3 +44,17 @@ def test_fuzzy_blocks_equal_all_pairs(spark, block_entries, block_queries):
     want = {(a, b, indel(a, b)) for a in names[::3] for b in names if indel(a, b) >= 0.8}
     rows = [tuple(r) for r in found.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_best_customers_of_repeated_names(spark):
+    """Names with many customers, customers and queries with several names."""
+    rng = random.Random(2)
+    names = ["red bolt", "bolt red", "red bolts", "rod bolt", "old anvil", "old anvils", "hot ring"]
+    entries = spark.createDataFrame([(rng.randint(0, 80), rng.choice(names)) for _ in range(300)] + [(90, None)], "customer_id int, name string")
+    queries = spark.createDataFrame([(i // 2, rng.choice(names)) for i in range(30)] + [(99, None), (98, "zz")], "query_id int, name string")
+    every = resolution.top(fuzzyjoin.join(queries, entries, 0.75), 4)
+    found = fuzzyjoin.best(queries, entries, 0.75, 4)
+    assert found.columns == every.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())) and every.count() == 60
+    # Before the ids of a name multiply, each name has brought its four first customers at most.
+    assert fuzzyjoin.best(queries, entries, 0.75, 1).filter("rank > 1").count() == 0
