@@ -6,6 +6,7 @@ import pytest
 
 from sparkcase.functions.similarity import indel, jaro_winkler, jaro_winkler_block
 from sparkcase.operators import fuzzyjoin, resolution
+from sparkcase.plans import QUERIES
 
 
 @pytest.mark.parametrize("letters", ["ab", "abc é\U0001f600", "abcdefgh"])
@@ -58,3 +59,15 @@ def test_best_customers_of_repeated_names(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, every.collect())) and every.count() == 60
     # Before the ids of a name multiply, each name has brought its four first customers at most.
     assert fuzzyjoin.best(queries, entries, 0.75, 1).filter("rank > 1").count() == 0
+
+
+def test_trigrams_of_parts_are_counted_without_a_table_of_both(spark, tmp_path):
+    """Keys that come twice, null keys and null names count as in SQL; no aggregate holds pairs of trigram and part."""
+    rows = [(1, "red red"), (1, "red bolt"), (2, "red"), (None, "red"), (3, None), (4, ""), (None, "a")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["trigram_stats"](spark, str(tmp_path))
+    found = {r["gram"]: (r["n"], r["parts"]) for r in df.collect()}
+    assert found == {"^re": (5, 2), "red": (5, 2), "ed$": (5, 2), "^bo": (1, 1), "bol": (1, 1), "olt": (1, 1), "lt$": (1, 1), "^a$": (1, 0)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("[", 1)[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert keys and not any("gram" in k and "p_partkey" in k for k in keys)
