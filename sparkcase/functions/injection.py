@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,23 +39,40 @@ def _chain(parts: tuple[str | int, ...]) -> str:
     return out
 
 
+class Rule(str):
+    """A regular expression with what each text that meets it must hold: of one of its ways, one word of each list, in lower case."""
+
+    ways: tuple[tuple[tuple[str, ...], ...], ...] = ()
+
+
+def _with(pattern: str, *ways: tuple[tuple[str, ...], ...]) -> Rule:
+    out = Rule(pattern)
+    out.ways = ways
+    return out
+
+
+def _lists(parts: tuple[str | int, ...]) -> tuple[tuple[str, ...], ...]:
+    """The longest word of each phrase of the lists of a chain."""
+    return tuple(tuple({max(phrase.split(), key=len): None for phrase in part.split(",")}) for part in parts if isinstance(part, str))
+
+
 _BEFORE, _AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:[^\p{L}\p{N}_]|$)"
 
 
-def _rule(*parts: str | int) -> str:
+def _rule(*parts: str | int) -> Rule:
     """The chain anywhere in a text."""
-    return f"{_BEFORE}{_chain(parts)}{_AFTER}"
+    return _with(f"{_BEFORE}{_chain(parts)}{_AFTER}", _lists(parts))
 
 
-def _command(*parts: str | int) -> str:
+def _command(*parts: str | int) -> Rule:
     """The chain as an order: first in a clause, or after a word that leads to one. "They did not ..." is none."""
     first = r"(?:^|[.!?:;,\n\r\"(>-])[^\p{L}\p{N}_]*"
     led = f"{_BEFORE}{_words('please,now,then,and,you should,you must,you can,simply,to')}{_OUTER}+"
-    return f"(?:{first}|{led}){_chain(parts)}{_AFTER}"
+    return _with(f"(?:{first}|{led}){_chain(parts)}{_AFTER}", _lists(parts))
 
 
-def _any(*rules: str) -> str:
-    return "|".join(rules)
+def _any(*rules: Rule) -> Rule:
+    return _with("|".join(rules), *(way for rule in rules for way in rule.ways))
 
 
 # The lists hold what the labelled sentences of tests/test_injection.py need, and no more.
@@ -75,8 +94,8 @@ PATTERNS = {
         _command("pretend to be,pretend you are"), _rule("from now on", "you must,you will,you should"), _rule("your new", 1, "role,task,instructions"),
     ),
     "fake_role_tags": _any(
-        r"<[ \t]*/?[ \t]*(?:system|assistant|user|developer)[ \t]*>", r"<\|[a-z_]+\|>", r"\[/?inst\]", r"<</?sys>>",
-        r"(?:^|\n)[ \t#>*]*(?:system|assistant|developer)[ \t]*:",
+        _with(r"<[ \t]*/?[ \t]*(?:system|assistant|user|developer)[ \t]*>", (("<",), ("system", "assistant", "user", "developer"))), _with(r"<\|[a-z_]+\|>", (("<|",), ("|>",))),
+        _with(r"\[/?inst\]", (("inst]",),)), _with(r"<</?sys>>", (("sys>>",),)), _with(r"(?:^|\n)[ \t#>*]*(?:system|assistant|developer)[ \t]*:", ((":",), ("system", "assistant", "developer"))),
     ),
     "prompt_disclosure": _command("print,show,reveal,repeat", 3, "prompt,system message,instructions"),
     "forced_decision": _command("mark,treat,label,classify,rate", 4, "verified,cleared,approved,safe,harmless,low risk,false positive"),
@@ -142,17 +161,45 @@ def plain_form(text: str) -> str:
     return "".join(out)
 
 
+#: What a text must hold for its plain form to be another: a stand-in, or letters set apart. Texts beyond ASCII are always looked at.
+_DISGUISED = re.compile(r"[^\x00-\x7f]|[0134578@$!]|\w[-._*~|]\w[-._*~|]\w|\w \w \w \w")
+
+
+def _unlike(text: str | None) -> str | None:
+    if text is None or not _DISGUISED.search(text):
+        return None
+    plain = plain_form(text)
+    return None if plain == text else plain
+
+
 @F.pandas_udf(StringType())
-def _plain_form(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else plain_form(s))
+def _other_form(x: pd.Series) -> pd.Series:
+    """The plain form of a text, null if it is the text itself."""
+    return x.map(_unlike)
+
+
+#: Letters beyond ASCII that regular expressions without case take for an ASCII letter.
+_FOLDED = ("\u017f\u212a\u0131\u0130", "skii")
+
+
+def _may_meet(low: Column, rule: Rule) -> Column:
+    """Whether a text in lower case holds the words that the rule cannot do without."""
+    one_of = lambda listed: reduce(or_, (F.contains(low, F.lit(w)) for w in listed))
+    return reduce(or_, (reduce(and_, map(one_of, way)) for way in rule.ways))
 
 
 def pattern_flags(text: Column) -> Column:
-    """Names of the rules that a text meets as it is; JVM regular expressions only."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?iu){p}"), F.lit(name)) for name, p in PATTERNS.items()]))
+    """Names of the rules that a text meets as it is; JVM regular expressions only, and only where their words are."""
+
+    def flags(x: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(_may_meet(x["low"], p) & x["text"].rlike(f"(?iu){p}"), F.lit(name)) for name, p in PATTERNS.items()]))
+
+    # In an array of one, so that the lower case is made once.
+    seen = F.array(F.struct(text.alias("text"), F.lower(F.translate(text, *_FOLDED)).alias("low")))
+    return F.element_at(F.transform(seen, flags), 1)
 
 
 def injection_flags(text: Column) -> Column:
     """Names of the rules that a text or its plain form meets, in their order."""
-    both = F.concat(pattern_flags(text), pattern_flags(_plain_form(text)))
+    both = F.concat(pattern_flags(text), pattern_flags(_other_form(text)))
     return F.array_intersect(F.array(*map(F.lit, PATTERNS)), both)
