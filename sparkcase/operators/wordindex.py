@@ -5,10 +5,11 @@ term of a block with the places of its documents and their term frequencies, so
 term of most documents is split by block, and a row a block with the documents'
 ids and lengths. Statistics are sums over these rows.
 
-The best k documents of each query come in two rounds. A block's highest possible
-score for a query follows from each term's largest frequency and shortest document
-there. First the blocks of the highest bounds are scored; then, of the others,
-those whose bound reaches the k-th best score found so far. That is exact.
+The best k documents of each query come in two rounds. Blocks are dealt to groups,
+and each group is met by all queries at once, each different set of terms as one
+query. The first round scores about the root of the number of groups; its k-th best
+score is a floor for the second, which returns only what reaches it, and leaves a
+query out where the terms' largest impacts in the group stay below it. That is exact.
 
 A null list of tokens is an empty one; null terms do not count. Documents of one id
 are scored each for itself. An empty table or a query without terms finds nothing,
@@ -17,6 +18,7 @@ but filled lists then hold the first ids with score 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -35,8 +37,10 @@ K1, B = 1.5, 0.75
 BLOCK_DOCS, BLOCK_TOKENS = 2_048, 500_000
 #: Queries that meet a block at once, about.
 BLOCK_QUERIES = 2_000
-#: Blocks of the highest bounds that are scored first.
-FIRST_BLOCKS = 2
+#: Documents and tokens of a group of blocks in which the best documents are searched, and the queries and their terms that
+#: meet it at once, about.
+GROUP_DOCS, GROUP_TOKENS = 8_192, 4_000_000
+GROUP_QUERIES, GROUP_TERMS = 30_000, 300_000
 #: Bounds and scores are sums in another order: such a difference is none.
 SLACK = 1e-9
 
@@ -152,9 +156,8 @@ def _impact(tf: Column, length: Column, avgdl: float, k1: float, b: float) -> Co
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(avgdl)))
 
 
-def _scored(pairs: DataFrame, index: WordIndex, k: int | None, k1: float, b: float, parts: int, tie: float = 0.0) -> DataFrame:
-    """(query_id, doc_id, bm25) of pairs (block, query_id, terms of (term, idf), floor): the matching documents of each pair's
-    block, or those of its k best scores (those less than tie below the k-th too) that reach the floor.
+def _scored(pairs: DataFrame, index: WordIndex, k1: float, b: float, parts: int) -> DataFrame:
+    """(query_id, doc_id, bm25) of pairs (block, query_id, terms of (term, idf)): the matching documents of each pair's block.
 
     Queries meet a block in parts, so no group grows with their number.
     """
@@ -164,7 +167,7 @@ def _scored(pairs: DataFrame, index: WordIndex, k: int | None, k1: float, b: flo
     used = pairs.select(F.explode("terms.term").alias("term")).distinct()
     rows = index.rows.filter("ids IS NOT NULL").unionByName(index.rows.join(used, "term", "left_semi"))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = pairs.select(*[F.col(c).alias(c) for c in ("block", "query_id", "terms", "floor")], F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"))
+    pairs = pairs.select(*[F.col(c).alias(c) for c in ("block", "query_id", "terms")], F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found_q, found_d, found_s, ids = [], [], [], None
@@ -180,7 +183,7 @@ def _scored(pairs: DataFrame, index: WordIndex, k: int | None, k1: float, b: flo
             norm = k1 * (1 - b + b * lengths / avgdl) if avgdl else None
             terms = {t: (p, tf * (k1 + 1) / (tf + norm[p])) for t, (p, tf) in terms.items()}
             queries = right["query_id"].combine_chunks()
-            for i, (held, floor) in enumerate(zip(right["terms"].to_pylist(), right["floor"].to_pylist())):
+            for i, held in enumerate(right["terms"].to_pylist()):
                 scores = np.zeros(len(ids))
                 matched = np.zeros(len(ids), bool)
                 for t in held:
@@ -188,10 +191,6 @@ def _scored(pairs: DataFrame, index: WordIndex, k: int | None, k1: float, b: flo
                         scores[got[0]] += t["idf"] * got[1]
                         matched[got[0]] = True
                 at = np.flatnonzero(matched)
-                if k is not None and len(at) > k:
-                    floor = max(floor or 0.0, float(np.partition(scores[at], -k)[-k]) - SLACK - tie)
-                if floor is not None:
-                    at = at[scores[at] >= floor]
                 found_q.append(np.full(len(at), i))
                 found_d.append(at)
                 found_s.append(scores[at])
@@ -209,33 +208,110 @@ def _pairs(weights: DataFrame, index: WordIndex, k1: float, b: float) -> DataFra
     return met.groupBy("block", "query_id").agg(F.collect_list(F.struct("term", "idf")).alias("terms"), F.sum(F.col("idf") * F.col("impact")).alias("bound"))
 
 
-def _parts(queries: DataFrame) -> int:
-    return max(-(-queries.count() // BLOCK_QUERIES), 1)
-
-
 def scores(queries: DataFrame, index: WordIndex, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, bm25) of all documents that share a term with a query."""
     pairs = _pairs(_weights(wanted(queries), index), index, k1, b)
-    return _scored(pairs.select("block", "query_id", "terms", F.lit(None).cast("double").alias("floor")), index, None, k1, b, _parts(queries))
+    return _scored(pairs, index, k1, b, max(-(-queries.count() // BLOCK_QUERIES), 1))
+
+
+def _best_of_groups(asked: DataFrame, used: DataFrame, index: WordIndex, groups: range, of: int, k: int, k1: float, b: float, parts: int, tie: float) -> DataFrame:
+    """(query, doc_id, bm25) of asked (query long, terms, idfs, floor): of each of these groups of blocks the k best documents of
+    each query, those less than tie below the k-th too, if they reach the floor. used: the queries' terms.
+
+    A group's documents are scored in one array for a query after the other; queries meet it in parts.
+    """
+    avgdl = index.stats["avgdl"]
+    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("doc_id", index.rows.schema["ids"].dataType.elementType), T.StructField("bm25", T.DoubleType())])
+    group = F.pmod(F.xxhash64("block"), F.lit(of)).cast("int")
+    own, held = [x.withColumn("group", group).filter(F.col("group").between(groups.start, groups.stop - 1)) for x in (index.blocks, index.terms.drop("most", "least"))]
+    rows = own.unionByName(held.join(used, "term", "left_semi"), allowMissingColumns=True)
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(groups.start), F.lit(groups.stop - 1))))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = pa.Table.from_batches([], pa.schema([("query", pa.int64()), ("doc_id", left.schema.field("ids").type.value_type), ("bm25", pa.float64())]))
+        held, own = left.filter(pc.is_valid(left["term"])), left.filter(pc.is_valid(left["ids"]))
+        if not held.num_rows or not right.num_rows:
+            return empty
+        # The documents of the blocks, one after the other, and where each block begins.
+        blocks, ids = own["block"].to_numpy(), own["ids"].combine_chunks().flatten()
+        lengths = own["lengths"].combine_chunks().flatten().to_numpy()
+        begins = np.concatenate(([0], np.cumsum(pc.list_value_length(own["ids"]).to_numpy())[:-1]))
+        by_block = np.argsort(blocks)
+        # The entries of a term stand together, over all blocks.
+        coded = held["term"].combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")
+        held = held.select(["block", "places", "tfs"]).take(pa.array(order))
+        sizes = pc.list_value_length(held["places"]).to_numpy()
+        base = begins[by_block[np.searchsorted(blocks, held["block"].to_numpy(), sorter=by_block)]]
+        places = held["places"].combine_chunks().flatten().to_numpy() + np.repeat(base, sizes)
+        impacts = held["tfs"].combine_chunks().flatten().to_numpy().astype(float)
+        norm = k1 * (1 - b + b * lengths / avgdl)
+        impacts *= (k1 + 1) / (impacts + norm[places])
+        ends = np.cumsum(np.bincount(codes[order], weights=sizes).astype(np.int64))
+        starts = np.concatenate(([0], ends[:-1]))
+        # The terms of the queries, as places in the two arrays; a query's bound is the sum of its terms' largest impacts.
+        asked_terms = right["terms"].combine_chunks()
+        of_query = np.repeat(np.arange(right.num_rows), pc.list_value_length(asked_terms).to_numpy())
+        term = pc.fill_null(pc.index_in(asked_terms.flatten(), value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+        idfs = right["idfs"].combine_chunks().flatten().to_numpy()
+        of_query, term, idfs = of_query[term >= 0], term[term >= 0], idfs[term >= 0]
+        bounds = np.bincount(of_query, weights=idfs * np.maximum.reduceat(impacts, starts)[term], minlength=right.num_rows)
+        floors = pc.fill_null(right["floor"], 0.0).to_numpy()
+        cuts = np.searchsorted(of_query, np.arange(right.num_rows + 1))
+        scores = np.zeros(len(ids))
+        found_q, found_d, found_s = [], [], []
+        first, last, weight = starts[term].tolist(), ends[term].tolist(), idfs.tolist()
+        for i in np.flatnonzero((bounds > 0) & (bounds >= floors - SLACK)).tolist():
+            for j in range(cuts[i], cuts[i + 1]):
+                scores[places[first[j] : last[j]]] += weight[j] * impacts[first[j] : last[j]]
+            at = np.flatnonzero(scores >= floors[i]) if floors[i] > 0 else np.flatnonzero(scores)
+            some = scores[at]
+            if len(at) > k:
+                reach = some >= np.partition(some, -k)[-k] - SLACK - tie
+                at, some = at[reach], some[reach]
+            if len(at):
+                found_q.append(np.full(len(at), i))
+                found_d.append(at)
+                found_s.append(some)
+            scores.fill(0.0)
+        if not found_q:
+            return empty
+        return pa.table({"query": right["query"].combine_chunks().take(pa.array(np.concatenate(found_q))), "doc_id": ids.take(pa.array(np.concatenate(found_d))), "bm25": np.concatenate(found_s)})
+
+    return rows.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInArrow(run, schema)
 
 
-def best(queries: DataFrame, index: WordIndex, k: int, places: int = 6, fill: bool = False, first_blocks: int = FIRST_BLOCKS, k1: float = K1, b: float = B) -> DataFrame:
+def best(queries: DataFrame, index: WordIndex, k: int, places: int = 6, fill: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, bm25, rank): the k best documents of each query; scores equal in so many decimals are ordered by doc_id.
 
     fill: lists of fewer than k matches go on with the first ids that did not match, at score 0.
     """
-    pairs = written(_pairs(_weights(wanted(queries), index), index, k1, b), "bounds")
-    high = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    numbered = pairs.withColumn("at", F.row_number().over(high))
-    none, tie, parts = F.lit(None).cast("double"), 10.0**-places, _parts(queries)
-    early = written(_scored(numbered.filter(F.col("at") <= first_blocks).select("block", "query_id", "terms", none.alias("floor")), index, k, k1, b, parts, tie), "early")
-    lists = early.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bm25"))))
-    floors = lists.filter(F.col("n") == k).select("query_id", (F.col("bm25") - SLACK - tie).alias("floor"))
-    later = numbered.filter(F.col("at") > first_blocks).join(floors, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
-    every = early.unionByName(_scored(later.select("block", "query_id", "terms", "floor"), index, k, k1, b, parts, tie))
-    found = ranked(every, places, k)
+    queries = written(queries.select("query_id", "tokens"), "queries")
+    held = _weights(wanted(queries), index).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("held"))
+    # Queries of the same terms are one.
+    sets = held.groupBy("held").agg(F.collect_list("query_id").alias("ids")).withColumn("query", F.monotonically_increasing_id())
+    sets = written(sets.select("query", F.col("held.term").alias("terms"), F.col("held.idf").alias("idfs"), "ids"), "sets")
+    size = sets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).head()
+    parts = max(-(-size["n"] // GROUP_QUERIES), -(-size["terms"] // GROUP_TERMS), 1)
+    n, tie = index.stats["n"], 10.0**-places
+    groups = max(-(-n // GROUP_DOCS), math.ceil(n * (index.stats["avgdl"] or 0) / GROUP_TOKENS), 1)
+    firsts = range(math.isqrt(groups)) if groups > 2 else range(groups)
+    used = written(sets.select(F.explode("terms").alias("term")).distinct(), "used")
+    asked = sets.select("query", "terms", "idfs", F.lit(None).cast("double").alias("floor"))
+    every = _best_of_groups(asked, used, index, firsts, groups, k, k1, b, parts, tie)
+    if len(firsts) < groups:
+        every = early = written(every, "early")
+        lists = early.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bm25"))))
+        floors = lists.filter(F.col("n") == k).select("query", (F.col("bm25") - SLACK - tie).alias("floor"))
+        asked = asked.drop("floor").join(floors, "query", "left")
+        every = early.unionByName(_best_of_groups(asked, used, index, range(len(firsts), groups), groups, k, k1, b, parts, tie))
+    found = ranked(every.withColumnRenamed("query", "query_id"), places, k).withColumnRenamed("query_id", "query")
+    found = found.join(sets.select("query", F.explode("ids").alias("query_id")), "query").select("query_id", "doc_id", "bm25", "rank")
     if not fill:
         return found
+    found = written(found, "found")
     firsts = index.blocks.select(F.explode("ids").alias("doc_id")).orderBy("doc_id").limit(k)  # k ids
     short = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").fillna(0, ["n"]).filter(F.col("n") < k)
     rest = short.join(F.broadcast(firsts)).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("bm25"))

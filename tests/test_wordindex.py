@@ -99,3 +99,34 @@ def test_ids_may_be_structs_and_tables_empty(spark):
     assert [(r["doc_id"]["id"], r["rank"]) for r in found] == [(2, 1), (1, 2)]
     assert wordindex.best(asks, wordindex.build(docs.limit(0)), 2, fill=True).collect() == []
     assert wordindex.best(asks.limit(0), wordindex.build(docs), 2, fill=True).collect() == []
+
+
+@pytest.mark.parametrize("fill", [False, True])
+def test_best_over_groups_and_parts(spark, monkeypatch, fill):
+    """Two rounds over many groups, queries in parts, queries of the same terms, one of which names a term twice."""
+    for name, value in (("GROUP_DOCS", 30), ("GROUP_QUERIES", 4), ("GROUP_TERMS", 20)):
+        monkeypatch.setattr(wordindex, name, value)
+    queries, documents, _, docs = data(spark, 4)
+    queries += [(200 + q, list(reversed(tokens or [])) + (tokens or [])[:1]) for q, tokens in queries]
+    asks = spark.createDataFrame(queries, "query_id long, tokens array<string>")
+    same(lists(wordindex.best(asks, wordindex.build(docs, 8), 9, fill=fill).collect()), brute(queries, documents, 9, fill=fill))
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_sent_do_not_grow_with_blocks_times_queries(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, [f"w{rng.randrange(60)}" for _ in range(20)]) for i in range(600)], "doc_id long, tokens array<string>").repartition(2)
+    asks = spark.createDataFrame([(q, [f"w{rng.randrange(60)}" for _ in range(3)]) for q in range(2_100)], "query_id long, tokens array<string>")
+    index = wordindex.build(docs, 4)
+    held, before = index.rows.count(), shuffled(spark)
+    found = wordindex.best(asks, index, 5, fill=True).collect()
+    assert len(found) == 2_100 * 5
+    sent = shuffled(spark) - before
+    assert sent < 4 * held + 5 * len(found)  # 150 blocks and 2,100 queries: 315,000 pairs
